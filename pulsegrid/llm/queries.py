@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm.quality_rules import op3_quality_rules
+from pulsegrid.llm import decontaminate, mixing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_quality_rules": op3_quality_rules,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op9_mixing": mixing.op9_mixing,
+    "op10_decontamination": decontaminate.op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_mixing": mixing.OP9_SQL}
