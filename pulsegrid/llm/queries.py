@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import decontaminate, line_dedup, mixing, ngram_join, quality_rules
+from pulsegrid.llm import decontaminate, line_dedup, mixing, ngram_join, quality_rules, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_mixing": mixing.op9_mixing,
     "op10_decontamination": decontaminate.op10_decontamination,
