@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import decontaminate, line_dedup, mixing, ngram_join, quality_rules, toxicity
+from pulsegrid.llm import decontaminate, line_dedup, mixing, ngram_join, quality_rules, toxicity, url_filter, warc_fixity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_url_filter": url_filter.op6_url_filter,
+    "op7_warc_fixity": warc_fixity.op7_warc_fixity,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_mixing": mixing.op9_mixing,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {"op9_mixing": mixing.OP9_SQL}
+ORACLES: dict[str, str] = {
+    "op6_url_filter": url_filter.OP6_SQL,
+    "op7_warc_fixity": warc_fixity.OP7_SQL,
+    "op9_mixing": mixing.OP9_SQL,
+}
