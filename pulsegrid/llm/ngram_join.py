@@ -2,10 +2,10 @@
 
 A document is its set of distinct word shingles. Equal sets are one class; only class
 representatives are joined. Two sets x, y (x the smaller) with Jaccard >= t differ in at
-most d = floor((1 - t) / t * |x|) shingles, so when the shingle space is dealt into more
-than d parts, some part that x fills is equal in both. Hashes of the parts, dealt per
-size level, bring all linked sets into one candidate block (a document's number of keys
-follows its size, and no frequent shingle is a key by itself).
+most d = floor((1 - t) / t * |x|) shingles, so when x fills more than d parts of the shingle
+space, some part is equal in both. Hashes of the parts, dealt per size level, bring all
+linked sets of a level into one candidate block (a document's number of keys follows its
+size, and in all but the smallest sets a key needs two or three shingles of the set).
 
 Each block is joined by a signature tree: leaves are sets ordered by smallest shingles,
 inner nodes hold the OR of their children's token bitmaps, the range of sizes and the
@@ -71,56 +71,80 @@ class Levels:
     def differences(self, size: int) -> int:
         return (self.den - self.num) * size // self.num
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
+    def keys(self, s: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, bool]]:
+        """(level, keys, weak keys, weak keys needed) on each level of a set.
+
+        As the smaller of a linked pair, a set with more than d parts of ``least`` shingles
+        or more surely shares one of those with its partner. Other filled parts are weak
+        keys: they count only where some member of their group has too few full parts.
+        """
         n = len(s)
         own = int(np.searchsorted(self.low, n, "right")) - 1
         out = []
         for level in (own, own - 1):
             if level < 0 or level < own and n > (self.low[own] - 1) * self.den // self.num:
                 continue
-            d = self.differences(self.low[level + 1] - 1)
+            top = self.low[level + 1] - 1
+            d = self.differences(top)
             if d == 0:  # linked only if equal
+                out.append((level, np.zeros(0, np.uint64), np.zeros(0, np.uint64), False))
                 continue
-            # every part that is filled and equal in both counts; the margin makes parts outnumber differences
-            # although some are empty: the chance of a miss is below 1e-9, small sets are dealt twice
-            small = self.low[level + 1] <= 41
-            parts = 2 * d + 6 if small else d + d // 8 + 8
-            for salt in range(2 if small else 1):
+            parts, least, salts = (2 * d + 6, 1, 2) if top <= 25 else (2 * d, 2, 2) if top <= 60 else (d + d // 4 + 10, 2, 1) if top <= 600 else (d + d // 4 + 20, 3, 1)
+            full, weak, short = [], [], True
+            for salt in range(salts):
                 t = mix(s ^ _C) if salt else s
                 part = ((t >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 part = part[order]
                 first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
                 sums = np.add.reduceat(mix(t[order] ^ _B), first)
-                out.append(mix(sums ^ mix((np.uint64(level * 4 + salt + 1) << np.uint64(32)) + part[first].astype(np.uint64))))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+                key = mix(sums ^ mix((np.uint64(level * 4 + salt + 1) << np.uint64(32)) + part[first].astype(np.uint64)))
+                enough = np.diff(np.append(first, n)) >= least
+                full.append(key[enough])
+                weak.append(key[~enough])
+                # a larger set needs no full parts of its own
+                short &= n <= top and int(enough.sum()) <= self.differences(n)
+            out.append((level, np.concatenate(full), np.concatenate(weak), short))
+        return out
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, values)])
+    flat = np.concatenate(values).view(np.int64) if values else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, h1, h2, keys) of each row; a set repeated within a task has keys once."""
+    """(doc_id, n, h1, h2, level, own, keys, weak, short): a row for each row of ``docs`` (``own``) and each further level.
+
+    A set repeated within a task has keys once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = Levels(num, den), set()
+        none = np.zeros(0, np.uint64)
         for b in batches:
             buf, off = string_parts(b.column(1))
+            ids = b.column(0).to_pylist()
             for i, j in slices(off):
-                n, h1, h2, keys = [], [], [], []
-                for s in sets_of(buf[off[i] : off[j]], off[i : j + 1] - off[i], k):
+                rows, keys, weak = [], [], []
+                for at, s in enumerate(sets_of(buf[off[i] : off[j]], off[i : j + 1] - off[i], k), i):
                     a, c = identity(s)
-                    n.append(len(s))
-                    h1.append(a)
-                    h2.append(c)
-                    keys.append(np.zeros(0, np.int64) if a in seen else levels.keys(s).view(np.int64))
+                    new = a not in seen and len(s)
+                    for level, full, rest, short in levels.keys(s) if new else [(0, none, none, False)]:
+                        own = not rows or rows[-1][7] != at
+                        rows.append((ids[at], len(s), a, c, level, own, short, at))
+                        keys.append(full)
+                        weak.append(rest)
                     if len(seen) < SEEN:
                         seen.add(a)
-                ends = np.cumsum([0, *map(len, keys)])
-                flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())
+                col = lambda i, t: pa.array([r[i] for r in rows], t)  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],
-                    names=["doc_id", "n", "h1", "h2", "keys"],
+                    [*(col(i, pa.int64()) for i in range(4)), col(4, pa.int32()), col(5, pa.bool_()), col(6, pa.bool_()), _lists(keys), _lists(weak)],
+                    names=["doc_id", "n", "h1", "h2", "level", "own", "short", "keys", "weak"],
                 )
 
-    schema = "doc_id long, n long, h1 long, h2 long, keys array<long>"
+    schema = "doc_id long, n long, h1 long, h2 long, level int, own boolean, short boolean, keys array<long>, weak array<long>"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -230,10 +254,17 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, chunk: i
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     sig = stage(signatures(docs, k, num, den), "signatures")
     nodes = stage(sig.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    key = W.partitionBy("key").orderBy("h1")
-    pairs = sig.select("h1", F.explode("keys").alias("key")).withColumn("hub", F.first("h1").over(key.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    blocks = connected_components(pairs.where("h1 <> hub").select(F.col("h1").alias("u"), F.col("hub").alias("v")))
-    members = nodes.where("rep is not null").join(blocks.withColumnRenamed("node", "h1"), "h1")
+    node = F.xxhash64("h1", "level")
+    strong = sig.select(node.alias("node"), F.explode("keys").alias("key"))
+    needed = stage(sig.where("short").select(F.explode("weak").alias("key")).distinct(), "needed")
+    if needed.count() <= 1_000_000:  # 8 bytes each
+        needed = F.broadcast(needed)
+    weak = sig.select(node.alias("node"), F.explode("weak").alias("key")).join(needed, "key").select("node", "key")
+    by_key = W.partitionBy("key").orderBy("node")
+    pairs = strong.union(weak).withColumn("hub", F.first("node").over(by_key.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    blocks = connected_components(pairs.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")))
+    placed = sig.where("n > 0 and size(keys) + size(weak) > 0").select("n", "h1", "h2", node.alias("node")).distinct()
+    members = placed.join(blocks, "node").join(nodes.where("rep is not null"), ["n", "h1", "h2"])
     sizes = members.groupBy("root").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"), F.count("*").alias("m")).where("m > 1")
     members = members.join(sizes, "root").select("rep", F.col("h1").alias("want"), F.col("root").alias("block"), "chunks", F.pmod(F.xxhash64("h2"), F.col("chunks")).cast("int").alias("own"))
     members = stage(members, "members")
@@ -262,7 +293,7 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, chunk: i
     links = cells.groupBy("block", "a", "b").applyInPandas(join_cell, "u long, v long")
     joined = connected_components(links)
     named = nodes.join(joined, F.col("rep") == F.col("node"), "left").select("n", "h1", "h2", F.coalesce("root", "rep").alias("component_id"))
-    out = sig.select("doc_id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
+    out = sig.where("own").select("doc_id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"))
 
 
