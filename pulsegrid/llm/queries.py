@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import decontaminate, line_dedup, mixing, ngram_join, quality_rules, suffix_dedup, toxicity, url_filter, warc_fixity
+from pulsegrid.llm import decontaminate, line_dedup, mixing, ngram_join, pii_surrogates, quality_rules, suffix_dedup, toxicity, url_filter, warc_fixity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_pii_surrogates": pii_surrogates.op2_pii_surrogates,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
