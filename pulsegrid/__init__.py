@@ -1,0 +1 @@
+"""PySpark-native analysis of event rasters, traces and spectra."""

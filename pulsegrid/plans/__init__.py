@@ -1 +1 @@
-
+"""Registered queries and pipelines."""

@@ -1 +1 @@
-
+"""Reading and writing rasters, traces, matrices and results."""
