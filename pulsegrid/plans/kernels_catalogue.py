@@ -1,5 +1,192 @@
-"""Registered queries whose result SQL cannot express; tests compare them with plain NumPy."""
+"""Registered queries whose result SQL cannot express; tests compare their kernels with plain code.
+
+Rasters and traces of nations by ship day (one recording a region) keep the per-recording
+kernels at the size they are meant for; every row of the tables takes part.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pulsegrid.operators import assemblies, components, latent, loss, raster, sce, sequences, signals, spatial, spectral, surrogates, trains, transitions, waves
+from pulsegrid.sources import tables as S
+
+N_DAYS = 2600
+
+
+def nation_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(recording_id, cell, frame, value): quantity shipped by each nation's suppliers per day."""
+    line, sup, nat = (S.table(spark, d, x) for x in ("lineitem", "supplier", "nation"))
+    t = line.join(sup, line["l_suppkey"] == sup["s_suppkey"]).join(nat, sup["s_nationkey"] == nat["n_nationkey"])
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("int")
+    key = [F.col("n_regionkey").cast("string").alias("recording_id"), F.col("s_nationkey").cast("int").alias("cell"), day.alias("frame")]
+    return t.groupBy(*key).agg(F.sum("l_quantity").alias("value"))
+
+
+def busy_days(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Days on which a nation ships more than nine tenths of its days."""
+    lines = nation_lines(spark, d)
+    cut = lines.groupBy("recording_id", "cell").agg(F.percentile("value", F.lit(0.9)).alias("cut"))
+    s = lines.join(cut, ["recording_id", "cell"]).where("value > cut").select("recording_id", "cell", "frame")
+    return s, S.recordings_of(s, N_DAYS), S.cells_of(s)
+
+
+OPTIONS = sequences.SequenceOptions(low=1, high=8, min_len=3, min_reps=2, branches=2, max_depth=5)
+
+
+def beam_paths(spark, d):
+    s, r, _ = busy_days(spark, d)
+    return sequences.beam_paths(transitions.transitions(s, r, 1, 8), OPTIONS, 25)
+
+
+def sequence_search(spark, d):
+    s, r, _ = busy_days(spark, d)
+    paths = sequences.beam_paths(transitions.transitions(s, r, 1, 8), OPTIONS, 25)
+    return sequences.without_contained(sequences.find_sequences(s, paths, OPTIONS), OPTIONS)
+
+
+def significant_sequences(spark, d):
+    s, r, c = busy_days(spark, d)
+    return sequences.significant_sequences(s, r, c, OPTIONS, 5)[1]
+
+
+def best_order(spark, d):
+    s, r, c = busy_days(spark, d)
+    return sequences.significant_sequences(s, r, c, OPTIONS, 2)[0]
+
+
+def order_loss(spark, d):
+    s, r, c = busy_days(spark, d)
+    orders = c.groupBy("recording_id").agg(F.sort_array(F.collect_set("cell")).alias("cells")).withColumn("order_id", F.lit(0))
+    return loss.score_orders(s, r, orders, 1, 8)
+
+
+def graph_paths(spark, d):
+    s, r, _ = busy_days(spark, d)
+    return waves.find_graph_sequences(s, r, 1, 8, 10)[0]
+
+
+def graph_waves(spark, d):
+    s, r, _ = busy_days(spark, d)
+    return waves.find_graph_sequences(s, r, 1, 8, 10, slopes=(-2.0, 0.0, 2.0), error_rate=0.4)[1]
+
+
+def order_repetitions(spark, d):
+    s, _, c = busy_days(spark, d)
+    return waves.order_repetitions(s, c.groupBy("recording_id").agg(F.sort_array(F.collect_set("cell")).alias("cells")), 1, 8)
+
+
+def _events(spark, d):
+    s = S.event_spikes(S.table(spark, d, "events"))
+    r = S.recordings_of(s, 720)
+    e = sce.detect(s, r, 1, sce.detection_threshold(s, r, 1, 100))
+    return s, r, e
+
+
+def kmeans_events(spark, d):
+    s, _, e = _events(spark, d)
+    return assemblies.cluster_events(sce.sce_cells(s, e), [2, 3, 4], n_surrogates=10, trials=10)
+
+
+def assembly_cells(spark, d):
+    s, _, e = _events(spark, d)
+    cells = sce.sce_cells(s, e)
+    k = assemblies.cluster_events(cells, [3], n_surrogates=5, trials=10)
+    return assemblies.assemblies(cells, k.select("recording_id", "sce_id", "label"), n_surrogates=100)[0]
+
+
+def peak_events(spark, d):
+    s, r, _ = _events(spark, d)
+    return sce.detect_peaks(s, r)
+
+
+def sce_no_redundancy(spark, d):
+    s, r, _ = _events(spark, d)
+    return sce.detect_no_redundancy(s, r, 3, sce.detection_threshold(s, r, 3, 20))
+
+
+def trace_events(spark, d):
+    t = nation_lines(spark, d)
+    rec = t.select("recording_id").distinct().withColumn("n_frames", F.lit(N_DAYS))
+    return sce.detect_on_traces(t, rec, n_cells=1)
+
+
+def fca_merges(spark, d):
+    s, _, _ = busy_days(spark, d)
+    return trains.cluster_trains(s.withColumn("t", F.col("frame").cast("double")), 50, sigma=3.0, early_stop=False)
+
+
+def train_jitter(spark, d):
+    s, _, _ = busy_days(spark, d)
+    return surrogates.uniform_jitter(s.withColumn("t", F.col("frame").cast("double")).drop("frame"), 5.0, 1)
+
+
+def train_dither(spark, d):
+    s, _, _ = busy_days(spark, d)
+    return surrogates.dithered(s.withColumn("t", F.col("frame").cast("long")).drop("frame"), 5, 0, N_DAYS, 1)
+
+
+def smoothed(spark, d):
+    return signals.smooth(nation_lines(spark, d), 11, "hamming")
+
+
+def savitzky_golay(spark, d):
+    return signals.savitzky_golay(nation_lines(spark, d))
+
+
+def band_passed(spark, d):
+    return signals.band_pass(nation_lines(spark, d), 0.05, 0.2, 1.0, 3)
+
+
+def blurred(spark, d):
+    return signals.gauss_blur(nation_lines(spark, d), 5.0)
+
+
+def _signal(spark, d):
+    return nation_lines(spark, d).select(F.col("cell").alias("segment"), F.col("frame").alias("sample"), "value")
+
+
+def morlet_spectrum(spark, d):
+    o = spectral.WaveletOptions(0.02, 0.4, 12)
+    return spectral.power_spectrum(spectral.morlet_power(_signal(spark, d), 1.0, o))
+
+
+def welch_spectrum(spark, d):
+    return spectral.welch_change(_signal(spark, d).withColumn("sample", F.col("sample").cast("int")), 30.0)
+
+
+def oscillations(spark, d):
+    o = spectral.WaveletOptions(0.02, 0.4, 12)
+    raw = spectral.morlet_power(_signal(spark, d), 1.0, o)
+    return spectral.episodes(raw, spectral.thresholds(spectral.background_fit(raw), 1.0))
+
+
+def component_order(spark, d):
+    return components.order_by_components(nation_lines(spark, d).where("frame >= 0"), 3, 30)
+
+
+def latent_fit(spark, d):
+    t = nation_lines(spark, d)
+    stim = t.select("recording_id", (F.col("frame") % 7).alias("k"), F.col("frame").alias("t")).distinct()
+    return latent.fit_models(t, stim, [{"n_factors": 2, "alternations": 1, "rounds": 4}])
+
+
+def graph_colours(spark, d):
+    s, r, _ = busy_days(spark, d)
+    return spatial.colour_graphs(transitions.top_followers(transitions.transitions(s, r, 1, 8), 2), "recording_id")
+
+
+def run_transitions(spark, d):
+    s, r, _ = busy_days(spark, d)
+    return transitions.run_transitions(raster.runs(s), s, r, 1, 8)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        beam_paths, sequence_search, significant_sequences, best_order, order_loss, graph_paths, graph_waves, order_repetitions, kmeans_events, assembly_cells, peak_events,
+        sce_no_redundancy, trace_events, fca_merges, train_jitter, train_dither, smoothed, savitzky_golay, band_passed, blurred, morlet_spectrum, welch_spectrum, oscillations,
+        component_order, latent_fit, graph_colours, run_transitions,
+    )
+}
