@@ -16,13 +16,20 @@ def look_ahead(spikes: DataFrame, recordings: DataFrame, low: int, high: int, by
     ``skip(recording_id, frame)`` frames are not searched.
     """
     key = ["recording_id", *by]
-    lo, hi = F.greatest(F.lit(0), F.col("frame") + low), F.least(F.col("frame") + high, F.col("n_frames")) - 1
-    src = spikes.join(recordings.select("recording_id", "n_frames"), "recording_id").where(lo <= hi)
-    src = src.select(*key, F.col("cell").alias("src"), F.col("frame").alias("src_frame"), F.explode(F.sequence(lo, hi.cast("int"))).alias("frame"))
+    start = F.greatest(F.lit(0), F.col("frame") + low)
+    stop = F.least(F.col("frame") + high, F.col("n_frames")) - 1
     if skip is not None:
-        src = src.join(skip.select("recording_id", "frame").distinct(), ["recording_id", "frame"], "left_anti")
-    met = src.join(spikes.withColumnRenamed("cell", "dst"), [*key, "frame"]).where("src <> dst")
-    return met.groupBy(*key, "src", "src_frame", "dst").agg(F.min(F.col("frame") - F.col("src_frame")).alias("lag"))
+        gone = skip.select("recording_id", "frame").distinct()
+        found = spikes.join(gone, ["recording_id", "frame"], "left_anti")
+    else:
+        found = spikes
+    # a spike is the first of its cell in a window iff the cell's spike before it lies ahead of the window
+    before = F.lag("frame").over(W.partitionBy(*key, "cell").orderBy("frame"))
+    dst = found.select(*key, F.col("cell").alias("dst"), "frame", F.coalesce(before, F.lit(-1)).alias("before"))
+    src = spikes.join(recordings.select("recording_id", "n_frames"), "recording_id").where(start <= stop)
+    src = src.select(*key, F.col("cell").alias("src"), F.col("frame").alias("src_frame"), start.alias("start"), F.explode(F.sequence(start, stop.cast("int"))).alias("frame"))
+    met = src.join(dst, [*key, "frame"]).where("src <> dst and before < start")
+    return met.select(*key, "src", "src_frame", "dst", (F.col("frame") - F.col("src_frame")).alias("lag"))
 
 
 def transitions(spikes: DataFrame, recordings: DataFrame, low: int, high: int, rates: DataFrame | None = None, no_reverse: bool = False, by: list[str] = (), skip: DataFrame | None = None) -> DataFrame:
