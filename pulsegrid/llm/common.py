@@ -39,7 +39,27 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def release(*staged: DataFrame) -> None:
+    """Delete staged tables that no later step reads."""
+    for df in staged:
+        spark = df.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until ``df`` has no such column."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n = "_" + n
+        out.append(n)
+    return out
 
 
 def lower_ascii(c: Column) -> Column:
@@ -65,7 +85,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     minima joined back to the edge list, staged in the shared folder; nothing but a
     row count and a checksum reaches the driver.
     """
-    spark = edges.sparkSession
     e = edges.where("u is not null and v is not null and u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     ).distinct()
@@ -82,7 +101,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = e2.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             e2.select("u", F.col("m").alias("v"))
         ).distinct()
-        e = stage(small, "edges")
+        old, e = e, stage(small, "edges")
+        release(old)
         now = _sum_of(e)
         if now == last:
             break

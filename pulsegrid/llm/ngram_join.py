@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import connected_components, stage, table
+from pulsegrid.llm.common import connected_components, fresh, release, stage, table
 from pulsegrid.llm.textkernel import Words, mix, shingles, slices, string_parts
 
 #: Shingles of a chunk of a block on average; two chunks meet in one task.
@@ -71,12 +71,12 @@ class Levels:
     def differences(self, size: int) -> int:
         return (self.den - self.num) * size // self.num
 
-    def keys(self, s: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, bool]]:
-        """(level, keys, weak keys, weak keys needed) on each level of a set.
+    def keys(self, s: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, int]]:
+        """(level, keys, weak keys, need) on each level of a set.
 
-        As the smaller of a linked pair, a set with more than d parts of ``least`` shingles
-        or more surely shares one of those with its partner. Other filled parts are weak
-        keys: they count only where some member of their group has too few full parts.
+        A set with q parts of ``least`` shingles or more, and at most d differences from a
+        linked partner, shares ``need`` = q - d of those with it. Other filled parts are weak
+        keys: they count only where some member of their group has no such bound.
         """
         n = len(s)
         own = int(np.searchsorted(self.low, n, "right")) - 1
@@ -87,10 +87,10 @@ class Levels:
             top = self.low[level + 1] - 1
             d = self.differences(top)
             if d == 0:  # linked only if equal
-                out.append((level, np.zeros(0, np.uint64), np.zeros(0, np.uint64), False))
+                out.append((level, np.zeros(0, np.uint64), np.zeros(0, np.uint64), 1))
                 continue
             parts, least, salts = (2 * d + 6, 1, 2) if top <= 25 else (2 * d, 2, 2) if top <= 60 else (d + d // 4 + 10, 2, 1) if top <= 600 else (d + d // 4 + 20, 3, 1)
-            full, weak, short = [], [], True
+            full, weak, need = [], [], 0
             for salt in range(salts):
                 t = mix(s ^ _C) if salt else s
                 part = ((t >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -102,9 +102,9 @@ class Levels:
                 enough = np.diff(np.append(first, n)) >= least
                 full.append(key[enough])
                 weak.append(key[~enough])
-                # a larger set needs no full parts of its own
-                short &= n <= top and int(enough.sum()) <= self.differences(n)
-            out.append((level, np.concatenate(full), np.concatenate(weak), short))
+                need += max(0, int(enough.sum()) - self.differences(min(n, top)))
+            # of a pair of this level the smaller has its size, and its bound is enough for both
+            out.append((level, np.concatenate(full), np.concatenate(weak), need if n <= top else max(need, 1)))
         return out
 
 
@@ -115,7 +115,7 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, h1, h2, level, own, keys, weak, short): a row for each row of ``docs`` (``own``) and each further level.
+    """(doc_id, n, h1, h2, level, own, need, keys, weak): a row for each row of ``docs`` (``own``) and each further level.
 
     A set repeated within a task has keys once.
     """
@@ -131,20 +131,20 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 for at, s in enumerate(sets_of(buf[off[i] : off[j]], off[i : j + 1] - off[i], k), i):
                     a, c = identity(s)
                     new = a not in seen and len(s)
-                    for level, full, rest, short in levels.keys(s) if new else [(0, none, none, False)]:
+                    for level, full, rest, need in levels.keys(s) if new else [(0, none, none, 1)]:
                         own = not rows or rows[-1][7] != at
-                        rows.append((ids[at], len(s), a, c, level, own, short, at))
+                        rows.append((ids[at], len(s), a, c, level, own, need, at))
                         keys.append(full)
                         weak.append(rest)
                     if len(seen) < SEEN:
                         seen.add(a)
                 col = lambda i, t: pa.array([r[i] for r in rows], t)  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
-                    [*(col(i, pa.int64()) for i in range(4)), col(4, pa.int32()), col(5, pa.bool_()), col(6, pa.bool_()), _lists(keys), _lists(weak)],
-                    names=["doc_id", "n", "h1", "h2", "level", "own", "short", "keys", "weak"],
+                    [*(col(i, pa.int64()) for i in range(4)), col(4, pa.int32()), col(5, pa.bool_()), col(6, pa.int32()), _lists(keys), _lists(weak)],
+                    names=["doc_id", "n", "h1", "h2", "level", "own", "need", "keys", "weak"],
                 )
 
-    schema = "doc_id long, n long, h1 long, h2 long, level int, own boolean, short boolean, keys array<long>, weak array<long>"
+    schema = "doc_id long, n long, h1 long, h2 long, level int, own boolean, need int, keys array<long>, weak array<long>"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -256,18 +256,26 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, chunk: i
     nodes = stage(sig.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     node = F.xxhash64("h1", "level")
     strong = sig.select(node.alias("node"), F.explode("keys").alias("key"))
-    needed = stage(sig.where("short").select(F.explode("weak").alias("key")).distinct(), "needed")
-    if needed.count() <= 1_000_000:  # 8 bytes each
-        needed = F.broadcast(needed)
-    weak = sig.select(node.alias("node"), F.explode("weak").alias("key")).join(needed, "key").select("node", "key")
+    needed = stage(sig.where("need = 0").select(F.explode("weak").alias("key")).distinct(), "needed")
+    small = needed.count() <= 1_000_000  # 8 bytes each
+    weak = sig.select(node.alias("node"), F.explode("weak").alias("key")).join(F.broadcast(needed) if small else needed, "key").select("node", "key")
     by_key = W.partitionBy("key").orderBy("node")
-    pairs = strong.union(weak).withColumn("hub", F.first("node").over(by_key.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    before, after = F.lag("node").over(by_key), F.lead("node").over(by_key)
+    met = strong.union(weak).withColumn("before", before).withColumn("after", after).where("before <> node or after <> node")
+    met = stage(met.select("node", "key").distinct(), "met")
+    # a set that meets fewer parts than any partner would share has no partner here
+    needs = sig.select(node.alias("node"), "need").where("need > 0").distinct()
+    alive = met.groupBy("node").agg(F.count("*").alias("n")).join(needs, "node", "left").where("need is null or n >= need").select("node")
+    met2 = met.join(alive, "node")
+    pairs = met2.withColumn("hub", F.first("node").over(by_key.rowsBetween(W.unboundedPreceding, W.currentRow)))
     blocks = connected_components(pairs.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")))
     placed = sig.where("n > 0 and size(keys) + size(weak) > 0").select("n", "h1", "h2", node.alias("node")).distinct()
     members = placed.join(blocks, "node").join(nodes.where("rep is not null"), ["n", "h1", "h2"])
     sizes = members.groupBy("root").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"), F.count("*").alias("m")).where("m > 1")
     members = members.join(sizes, "root").select("rep", F.col("h1").alias("want"), F.col("root").alias("block"), "chunks", F.pmod(F.xxhash64("h2"), F.col("chunks")).cast("int").alias("own"))
     members = stage(members, "members")
+    slim = stage(sig.where("own").select("doc_id", "n", "h1", "h2"), "slim")
+    release(sig, needed, met)
     if members.count() <= 400_000:  # 40 bytes each
         members = F.broadcast(members)
     cells = (
@@ -293,17 +301,18 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, chunk: i
     links = cells.groupBy("block", "a", "b").applyInPandas(join_cell, "u long, v long")
     joined = connected_components(links)
     named = nodes.join(joined, F.col("rep") == F.col("node"), "left").select("n", "h1", "h2", F.coalesce("root", "rep").alias("component_id"))
-    out = sig.where("own").select("doc_id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
+    out = slim.join(named, ["n", "h1", "h2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """The rows of ``docs`` without those that have a linked row of smaller id; repeated rows stay once."""
     c = stage(classes(docs, k, num, den), "components")
-    drop = c.where("component_id <> doc_id").select(F.col("doc_id").alias("__drop")).distinct()
+    name = fresh(docs, "__drop")[0]
+    drop = c.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
     if drop.count() <= 400_000:
         drop = F.broadcast(drop)
-    out = docs.join(drop, docs["doc_id"] == F.col("__drop"), "left_anti")
+    out = docs.join(drop, docs["doc_id"] == F.col(name), "left_anti")
     n, ids = c.where("doc_id is not null").agg(F.count("*"), F.count_distinct("doc_id")).first()
     return out if n == ids else out.dropDuplicates()
 
