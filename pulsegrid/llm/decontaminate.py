@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pulsegrid.llm.common import lower_ascii, stage, table
+from pulsegrid.llm.common import fresh, lower_ascii, stage, table
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Rows of prefix tokens (under 1 KB each) that are broadcast at once; a larger benchmark goes in blocks.
@@ -128,10 +128,11 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "
 
 def filter_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no item window occurs."""
-    bad = stage(hits(docs, benchmark, window, text).select(F.col("doc_id").alias("h_id"), F.col("text_hash").alias("h_hash")).distinct(), "hits")
+    h_id, h_hash = fresh(docs, "__h_id", "__h_hash")
+    bad = stage(hits(docs, benchmark, window, text).select(F.col("doc_id").alias(h_id), F.col("text_hash").alias(h_hash)).distinct(), "hits")
     if bad.count() <= 200_000:
         bad = F.broadcast(bad)
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.xxhash64(text) == F.col("h_hash")), "left_anti")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(h_id)) & (F.xxhash64(text) == F.col(h_hash)), "left_anti")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import stage, table
+from pulsegrid.llm.common import fresh, stage, table
 
 FEMALE = r"(?:Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|госпожа|г-жа)"
 MALE = r"(?:Mr|Herr|Señor|Sr|Monsieur|господин|г-н)"
@@ -176,15 +176,16 @@ def replace(docs: DataFrame, key: str = "pulsegrid") -> DataFrame:
     made = replacements(docs, key)
     th = F.xxhash64("text")
     at = docs.select("doc_id", th.alias("th"), F.posexplode(mentions("text")).alias("i", "m")).distinct()
-    lists = at.join(made, "m").groupBy("doc_id", "th").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x["r"]).alias("__r"))
-    lists = stage(lists.withColumnsRenamed({"doc_id": "__id", "th": "__th"}), "lists")
+    r_, id_, th_, count = fresh(docs, "__r", "__id", "__th", "__replaced")
+    lists = at.join(made, "m").groupBy("doc_id", "th").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x["r"]).alias(r_))
+    lists = stage(lists.withColumnsRenamed({"doc_id": id_, "th": th_}), "lists")
     if lists.count() <= 100_000:
         lists = F.broadcast(lists)
-    out = docs.join(lists, docs["doc_id"].eqNullSafe(F.col("__id")) & (th == F.col("__th")), "left")
+    out = docs.join(lists, docs["doc_id"].eqNullSafe(F.col(id_)) & (th == F.col(th_)), "left")
     pieces = F.split("text", FOUND, -1)
-    text = F.array_join(F.zip_with(pieces, F.col("__r"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    text = F.array_join(F.zip_with(pieces, F.col(r_), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     names = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")]
-    out = out.select(*names, F.when(F.col("__r").isNull(), F.col("text")).otherwise(text).alias("text"), F.coalesce(F.size("__r"), F.lit(0)).cast("long").alias("__replaced"))
+    out = out.select(*names, F.when(F.col(r_).isNull(), F.col("text")).otherwise(text).alias("text"), F.coalesce(F.size(r_), F.lit(0)).cast("long").alias(count))
     return out
 
 
