@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import assemblies, raster, sce, signals, spectral, surrogates, trains, transitions
+from pulsegrid.operators import assemblies, raster, sce, signals, spatial, spectral, surrogates, trains, transitions
 from pulsegrid.plans import kernels_catalogue
 from pulsegrid.sources import tables as S
 
@@ -362,6 +362,16 @@ def q_silhouette_cosine(spark, d):
     return assemblies.cosine_silhouette(e, "embedding", "label", "vec_id").select("vec_id", "label", F.round("silhouette", 6).alias("silhouette"))
 
 
+@query("""WITH a AS (SELECT vec_id, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y FROM embeddings), b AS (SELECT vec_id, embedding[3]::DOUBLE * 100 AS x, embedding[4]::DOUBLE * 100 AS y FROM embeddings),
+d AS (SELECT a.vec_id AS cell, b.vec_id AS other, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM a JOIN b ON abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2),
+k AS (SELECT cell, other, row_number() OVER (PARTITION BY cell ORDER BY d, other) AS r FROM d WHERE d <= 2) SELECT a.vec_id AS cell, coalesce(other, -1) AS matched FROM a LEFT JOIN (SELECT * FROM k WHERE r = 1) k ON k.cell = a.vec_id""")
+def q_nearest_cells(spark, d):
+    """Two plane projections of the vectors as the cell centres of two sessions."""
+    e = S.table(spark, d, "embeddings")
+    at = lambda i, j: e.select(F.col("vec_id").alias("cell"), (F.col("embedding")[i].cast("double") * 100).alias("cx"), (F.col("embedding")[j].cast("double") * 100).alias("cy"))
+    return spatial.match_cells(at(0, 1), at(2, 3), 2.0)
+
+
 POWER = "pw AS (SELECT event_type, CAST(date_part('hour', ts) AS INTEGER) + 1 AS freq, CAST(floor((epoch(ts) - 1704067200) / 86400) AS INTEGER) AS t, avg(value) AS power FROM events WHERE value > 0 GROUP BY ALL)"
 
 
