@@ -11,7 +11,8 @@ Each block is joined by a signature tree: leaves are sets ordered by smallest sh
 inner nodes hold the OR of their children's token bitmaps, the range of sizes and the
 largest number of tokens that share bits. A dual traversal descends only into node
 pairs whose largest possible overlap reaches the threshold and that are not yet known
-to be in one component; leaf pairs are verified exactly. Large blocks are cut into
+to be in one component. It runs twice: over the bitmaps alone, which splits the blocks, then over
+the sets of what is left, where leaf pairs are verified exactly. Large blocks are cut into
 chunks of bounded total size and every pair of chunks is one task.
 
 Defined cases: null, empty or wordless texts have an empty set and are linked with
@@ -35,6 +36,8 @@ from pulsegrid.llm.textkernel import Words, mix, shingles, slices, string_parts
 
 #: Shingles of a chunk of a block on average; two chunks meet in one task.
 CHUNK_SHINGLES = 2_000_000
+#: Bytes of token bitmaps of a chunk of a block on average.
+MAP_BYTES = 16 << 20
 #: Sets with keys that a task remembers, so that copies within it repeat no keys.
 SEEN = 500_000
 _A, _B, _C = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC13FA9A902A6328F))
@@ -108,6 +111,18 @@ class Levels:
         return out
 
 
+def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    """The set's tokens in ``bits`` bits, as 64-bit words."""
+    flag = np.zeros(bits, np.uint8)
+    flag[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(flag).view(np.uint64)
+
+
+def level_bits(low: int) -> int:
+    """Bits of the maps of a size level that begins at ``low``: about four a token."""
+    return 1 << int(np.clip(np.ceil(np.log2(4 * low + 1)), 9, 16))
+
+
 def _lists(values: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, values)])
     flat = np.concatenate(values).view(np.int64) if values else np.zeros(0, np.int64)
@@ -115,7 +130,7 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, h1, h2, level, own, need, keys, weak): a row for each row of ``docs`` (``own``) and each further level.
+    """(doc_id, n, h1, h2, level, own, need, keys, weak, map, least): a row for each row of ``docs`` (``own``) and each further level.
 
     A set repeated within a task has keys once.
     """
@@ -127,24 +142,25 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             buf, off = string_parts(b.column(1))
             ids = b.column(0).to_pylist()
             for i, j in slices(off):
-                rows, keys, weak = [], [], []
+                rows, keys, weak, maps = [], [], [], []
                 for at, s in enumerate(sets_of(buf[off[i] : off[j]], off[i : j + 1] - off[i], k), i):
                     a, c = identity(s)
                     new = a not in seen and len(s)
                     for level, full, rest, need in levels.keys(s) if new else [(0, none, none, 1)]:
                         own = not rows or rows[-1][7] != at
-                        rows.append((ids[at], len(s), a, c, level, own, need, at))
+                        rows.append((ids[at], len(s), a, c, level, own, need, at, int(s[:1].view(np.int64).sum())))
                         keys.append(full)
                         weak.append(rest)
+                        maps.append(bitmap(s, level_bits(levels.low[level])).tobytes() if len(full) + len(rest) else None)
                     if len(seen) < SEEN:
                         seen.add(a)
                 col = lambda i, t: pa.array([r[i] for r in rows], t)  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
-                    [*(col(i, pa.int64()) for i in range(4)), col(4, pa.int32()), col(5, pa.bool_()), col(6, pa.int32()), _lists(keys), _lists(weak)],
-                    names=["doc_id", "n", "h1", "h2", "level", "own", "need", "keys", "weak"],
+                    [*(col(i, pa.int64()) for i in range(4)), col(4, pa.int32()), col(5, pa.bool_()), col(6, pa.int32()), _lists(keys), _lists(weak), pa.array(maps, pa.binary()), col(8, pa.int64())],
+                    names=["doc_id", "n", "h1", "h2", "level", "own", "need", "keys", "weak", "map", "least"],
                 )
 
-    schema = "doc_id long, n long, h1 long, h2 long, level int, own boolean, need int, keys array<long>, weak array<long>"
+    schema = "doc_id long, n long, h1 long, h2 long, level int, own boolean, need int, keys array<long>, weak array<long>, map binary, least long"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -154,20 +170,18 @@ class SignatureTree:
     FAN = 4
     FRONT = 1 << 15
 
-    def __init__(self, sets: list[np.ndarray], num: int, den: int):
+    def __init__(self, sets: list[np.ndarray] | None, num: int, den: int, maps: np.ndarray | None = None, size: np.ndarray | None = None, least: np.ndarray | None = None):
+        """Of sets, or of ``maps`` with the sets' sizes and smallest tokens: then every possible pair counts as a link."""
         self.num, self.den = num, den
-        head = np.array([[s[min(i, len(s) - 1)] for i in range(2)] for s in sets], np.uint64).reshape(-1, 2)
-        self.order = np.lexsort((head[:, 1], head[:, 0]))
-        self.sets = [sets[i] for i in self.order]
-        n = len(sets)
-        size = np.array([len(s) for s in self.sets])
-        bits = 1 << int(np.clip(np.ceil(np.log2(4 * np.median(size) + 1)), 9, 14))
-        maps = np.zeros((n, bits // 64), np.uint64)
-        for i, s in enumerate(self.sets):
-            at = (s & np.uint64(bits - 1)).astype(np.int64)
-            flag = np.zeros(bits, np.uint8)
-            flag[at] = 1
-            maps[i] = np.packbits(flag).view(np.uint64)
+        if maps is None:
+            size = np.array([len(s) for s in sets])
+            bits = level_bits(int(np.median(size)))
+            maps = np.array([bitmap(s, bits) for s in sets]).reshape(len(sets), -1)
+            least = np.array([s[0] if len(s) else 0 for s in sets], np.uint64)
+        self.order = np.lexsort((size, least))
+        self.sets = None if sets is None else [sets[i] for i in self.order]
+        maps, size = maps[self.order], size[self.order]
+        n = len(size)
         spare = size - np.bitwise_count(maps).sum(1, dtype=np.int64)
         self.levels = [(maps, size, size, spare)]
         while len(self.levels[-1][0]) > 1:
@@ -192,6 +206,10 @@ class SignatureTree:
         a, b = self.find(i), self.find(j)
         if a == b:
             return
+        if self.sets is None:
+            self.root[max(a, b)] = min(a, b)
+            self.links.append((int(self.order[i]), int(self.order[j])))
+            return
         x, y = sorted((self.sets[i], self.sets[j]), key=len)
         if len(x) * self.den < self.num * len(y) or not len(x):
             return
@@ -221,7 +239,7 @@ class SignatureTree:
         return np.where(lo == hi, lo, -1)
 
     def run(self) -> list[tuple[int, int]]:
-        n = len(self.sets)
+        n = len(self.root)
         i = np.arange(n - 1)
         for x in i[self.possible(0, i, i + 1)] if n > 1 else ():
             self.try_link(x, x + 1)
@@ -269,8 +287,24 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, chunk: i
     met2 = met.join(alive, "node")
     pairs = met2.withColumn("hub", F.first("node").over(by_key.rowsBetween(W.unboundedPreceding, W.currentRow)))
     blocks = connected_components(pairs.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")))
-    placed = sig.where("n > 0 and size(keys) + size(weak) > 0").select("n", "h1", "h2", node.alias("node")).distinct()
-    members = placed.join(blocks, "node").join(nodes.where("rep is not null"), ["n", "h1", "h2"])
+    placed = sig.where("map is not null").groupBy("n", "h1", "h2", "level").agg(F.first("map").alias("map"), F.first("least").alias("least"))
+    placed = placed.select("n", "h1", "h2", node.alias("node"), "map", "least").join(blocks, "node").withColumnRenamed("root", "block")
+    sizes = placed.groupBy("block").agg(F.ceil(F.sum(F.octet_length("map")) / MAP_BYTES).cast("int").alias("chunks"))
+    placed = placed.join(sizes, "block").withColumn("own", F.pmod(F.xxhash64("h2"), F.col("chunks")).cast("int"))
+    placed = placed.select("block", "own", "node", "n", "map", "least", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    placed = placed.select("block", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "n", "map", "least")
+
+    def join_maps(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("node").reset_index(drop=True)
+        maps = np.frombuffer(b"".join(pdf["map"]), np.uint64).reshape(len(pdf), -1)
+        links = SignatureTree(None, num, den, maps, pdf["n"].to_numpy(), pdf["least"].to_numpy().view(np.uint64)).run() if len(pdf) > 1 else []
+        ids = pdf["node"].to_numpy()
+        return pd.DataFrame({"u": [ids[i] for i, _ in links], "v": [ids[j] for _, j in links]}, dtype="int64")
+
+    # first by the maps alone: what they can't rule out stays in one block, and only such documents' texts are read again
+    blocks = connected_components(placed.groupBy("block", "a", "b").applyInPandas(join_maps, "u long, v long"))
+    ids = sig.where("map is not null").select("n", "h1", "h2", node.alias("node")).distinct()
+    members = ids.join(blocks, "node").join(nodes.where("rep is not null"), ["n", "h1", "h2"])
     sizes = members.groupBy("root").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"), F.count("*").alias("m")).where("m > 1")
     members = members.join(sizes, "root").select("rep", F.col("h1").alias("want"), F.col("root").alias("block"), "chunks", F.pmod(F.xxhash64("h2"), F.col("chunks")).cast("int").alias("own"))
     members = stage(members, "members")
