@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from functools import reduce
 
@@ -52,6 +53,12 @@ def release(*staged: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver see what is unreachable, so that shuffle files of finished jobs go now and not some time later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores before it until ``df`` has no such column."""
     have, out = {c.lower() for c in df.columns}, []

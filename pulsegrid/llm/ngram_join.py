@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import connected_components, fresh, release, stage, table
+from pulsegrid.llm.common import connected_components, fresh, release, stage, table, tidy
 from pulsegrid.llm.textkernel import Words, mix, shingles, slices, string_parts
 
 #: Shingles of a chunk of a block on average; two chunks meet in one task.
@@ -280,7 +280,11 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, chunk: i
     by_key = W.partitionBy("key").orderBy("node")
     before, after = F.lag("node").over(by_key), F.lead("node").over(by_key)
     met = strong.union(weak).withColumn("before", before).withColumn("after", after).where("before <> node or after <> node")
-    met = stage(met.select("node", "key").distinct(), "met")
+    met = stage(met.select("node", "key"), "met")  # copies of a row only loosen the bound below
+    full, sig = sig, stage(sig.drop("keys", "weak"), "sets")
+    release(full, needed)
+    del full, strong, weak
+    tidy(docs.sparkSession)
     # a set that meets fewer parts than any partner would share has no partner here
     needs = sig.select(node.alias("node"), "need").where("need > 0").distinct()
     alive = met.groupBy("node").agg(F.count("*").alias("n")).join(needs, "node", "left").where("need is null or n >= need").select("node")
@@ -309,7 +313,7 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, chunk: i
     members = members.join(sizes, "root").select("rep", F.col("h1").alias("want"), F.col("root").alias("block"), "chunks", F.pmod(F.xxhash64("h2"), F.col("chunks")).cast("int").alias("own"))
     members = stage(members, "members")
     slim = stage(sig.where("own").select("doc_id", "n", "h1", "h2"), "slim")
-    release(sig, needed, met)
+    release(sig, met)
     if members.count() <= 400_000:  # 40 bytes each
         members = F.broadcast(members)
     cells = (
