@@ -3,9 +3,10 @@
 Lines are compared across all documents by the Jaccard similarity of their sets of
 character shingles (``k`` characters of the trimmed line). A line's signature is the
 sorted list of its smallest shingle hashes; bands are runs of ``rows`` neighbours in
-that list, which stay aligned when a hash enters or leaves. Lines that share a band are
-checked exactly, linked lines are joined by distributed union-find, and of each
-component the first line (by document id, then line number) stays.
+that list, which stay aligned when a hash enters or leaves. Any two lines that share a
+band are checked exactly, unless links found before join them already; linked lines are
+joined by distributed union-find, and of each component the first line (by document id,
+then line number) stays.
 
 Signatures of lines of ``DENSE`` characters or more use the shingles that begin with
 one of the characters ``ANCHORS`` (a letter common in Latin-script languages, some
@@ -30,6 +31,10 @@ K, ROWS, BANDS = 8, 3, 8
 DENSE, OVERLAP, ENOUGH = 120, 160, 4
 ANCHORS = r"iI0-4\u0400-\uFFFF"
 THRESHOLD = 0.8
+#: Lines of a band that meet all others of it in the second round.
+HUBS = 16
+#: Longs of the bitmap in a line's profile, a power of two.
+WORDS = 16
 
 
 def shingles(line: Column | str, k: int = K) -> Column:
@@ -55,6 +60,72 @@ def line_table(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "th", "ln", F.trim("line").alias("line")).where("line <> ''")
 
 
+def _links(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(u, v) of the pairs whose lines ``lh`` and ``other`` are as alike as ``threshold`` by all their shingles."""
+    met = pairs.join(texts, "lh").join(texts.select(F.col("lh").alias("other"), F.col("line").alias("line2")), "other")
+    # lines are shuffled, sets are made after the joins
+    sets = met.select("u", "v", shingles(F.col("line"), k).alias("s"), shingles(F.col("line2"), k).alias("t"))
+    both = sets.select("u", "v", F.size(F.array_intersect("s", "t")).alias("both"), (F.size("s") + F.size("t")).alias("sum"))
+    return both.where(F.col("both") >= threshold * (F.col("sum") - F.col("both"))).select("u", "v")
+
+
+def _open(met: DataFrame, groups: DataFrame) -> DataFrame:
+    """``met`` with the group ``g`` of each line and the number ``n`` of lines, for the bands with lines of several groups."""
+    in_band = W.partitionBy("band")
+    left = met.join(groups, met["lh"] == groups["node"], "left").select(*[met[c] for c in met.columns], F.coalesce("root", "lh").alias("g"))
+    left = left.select("*", F.min("g").over(in_band).alias("low"), F.max("g").over(in_band).alias("high"), F.count("*").over(in_band).alias("n"))
+    return stage(left.where("low <> high").drop("low", "high"), "open")
+
+
+def _profiles(lines: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(lh, p): of each line the number of shingles and, for the hash values of ``64 * WORDS`` bits, the parity of their numbers."""
+    sets = texts.join(lines, "lh").select("lh", shingles(F.col("line"), k).alias("s"))
+    word = lambda j: F.expr(f"aggregate(filter(s, x -> (x & {WORDS - 1}) = {j}), 0L, (a, x) -> a ^ shiftleft(1L, cast((x >> 8) & 63 as int)))")
+    return stage(sets.select("lh", F.struct(F.size("s").alias("size"), *[word(j).alias(f"b{j}") for j in range(WORDS)]).alias("p")), "profiles")
+
+
+def _at_most(p: str, q: str) -> Column:
+    """A bound on the number of shingles that two lines share: parities differ only where one of them has more."""
+    apart = sum((F.bit_count(F.col(f"{p}.b{j}").bitwiseXOR(F.col(f"{q}.b{j}"))) for j in range(WORDS)), F.lit(0))
+    return (F.col(f"{p}.size") + F.col(f"{q}.size") - apart) / 2
+
+
+def _exhaust(met: DataFrame, groups: DataFrame, seen: DataFrame, texts: DataFrame, k: int, threshold: float, hubs: int = HUBS) -> DataFrame:
+    """``groups`` (node, root) joined further until no two lines of a band are of different groups and not compared.
+
+    In each round the ``hubs`` lines of a band with the most lines near them meet all its
+    lines of other groups and leave it; the next round takes four times as many. Pairs
+    that cannot be alike by their profiles are not compared. A band ends when its lines
+    are all of one group, so families take few comparisons.
+    """
+    left = _open(met, groups)
+    tables = [groups, seen, left]
+    if left.take(1):
+        profiles = _profiles(left.select("lh").distinct(), texts, k)
+        tables.append(profiles)
+    while left.take(1):
+        near = left.groupBy("lh").agg(F.sum("n").alias("near"))
+        nth = F.row_number().over(W.partitionBy("band").orderBy(F.desc("near"), "lh"))
+        ranked = left.join(near, "lh").select("band", "lh", "g", nth.alias("nth"))
+        ranked = stage(ranked.join(profiles, "lh").select("band", "lh", "p", "g", "nth"), "ranked")
+        hub = ranked.where(F.col("nth") <= hubs).select("band", F.col("lh").alias("h"), F.col("p").alias("q"), F.col("g").alias("hg"), F.col("nth").alias("at"))
+        alike = (1 + threshold) * _at_most("p", "q") >= threshold * (F.col("p.size") + F.col("q.size")) - 1e-6
+        pairs = ranked.join(hub, "band").where((F.col("at") < F.col("nth")) & (F.col("g") != F.col("hg")) & alike).select(
+            F.least("lh", "h").alias("lh"), F.greatest("lh", "h").alias("other"), F.least("g", "hg").alias("u"), F.greatest("g", "hg").alias("v")
+        ).distinct()
+        pairs = stage(pairs.join(seen.select("lh", "other"), ["lh", "other"], "left_anti"), "pairs")
+        joined = stage(connected_components(_links(pairs, texts, k, threshold)), "joined")
+        further = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        new = joined.join(groups.select("node"), "node", "left_anti")
+        groups = stage(groups.join(further, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(new.select("node", "root")), "groups")
+        seen = seen.select("lh", "other").union(pairs.select("lh", "other"))
+        left = _open(ranked.where(F.col("nth") > hubs).select("band", "lh"), groups)
+        tables += [ranked, pairs, joined, groups, left]
+        hubs *= 4
+    release(*[t for t in tables if t is not groups])
+    return groups
+
+
 def removed_lines(docs: DataFrame, k: int = K, rows: int = ROWS, bands: int = BANDS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, th, ln) of the lines that repeat, exactly or nearly, an earlier kept line."""
     lines = line_table(docs)
@@ -72,24 +143,20 @@ def removed_lines(docs: DataFrame, k: int = K, rows: int = ROWS, bands: int = BA
     both = F.when(F.col("short").isNotNull() & F.col("long").isNotNull(), F.concat(short, long)).otherwise(F.coalesce(short, long, none))
     signed = stage(sketched.select("doc_id", "th", "ln", "lh", both.alias("bands")), "lines")
     distinct = signed.groupBy("lh").agg(F.first("bands").alias("bands"))
-    # every line of a band meets the band's smallest and largest one: the same few for most bands of a family
     by_band = W.partitionBy("band").orderBy("lh").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    met = distinct.select("lh", F.explode("bands").alias("band")).where("band is not null").select("lh", F.first("lh").over(by_band).alias("hub"), F.last("lh").over(by_band).alias("far"))
-    pairs = met.where("hub <> far").select("lh", F.explode(F.array("hub", "far")).alias("other")).where("lh <> other")
-    pairs = pairs.select(F.least("lh", "other").alias("lh"), F.greatest("lh", "other").alias("other")).distinct()
-    pairs = stage(pairs, "pairs")
-    wanted = at_wanted = stage(pairs.select("lh").union(pairs.select(F.col("other").alias("lh"))).distinct(), "wanted")
+    met = distinct.select("lh", F.explode("bands").alias("band")).where("band is not null").select("band", "lh", F.first("lh").over(by_band).alias("hub"), F.count("*").over(by_band).alias("n"))
+    met = stage(met.where("n > 1"), "met")
+    # every line of a band meets the band's smallest one: the same few for most bands of a family
+    pairs = met.where("lh <> hub").select(F.col("hub").alias("lh"), F.col("lh").alias("other")).distinct()
+    pairs = stage(pairs.select("lh", "other", F.col("lh").alias("u"), F.col("other").alias("v")), "pairs")
+    wanted = at_wanted = stage(met.select("lh").distinct(), "wanted")
     if wanted.count() <= 1_000_000:  # 8 bytes each
         wanted = F.broadcast(wanted)
     texts = line_table(docs).select(F.xxhash64("line").alias("lh"), "line").join(wanted, "lh").groupBy("lh").agg(F.first("line").alias("line"))
     texts = stage(texts, "texts")
-    met = pairs.join(texts, "lh").join(texts.select(F.col("lh").alias("other"), F.col("line").alias("line2")), "other")
-    # lines are shuffled, sets are made after the joins
-    sets = met.select("lh", "other", shingles(F.col("line"), k).alias("s"), shingles(F.col("line2"), k).alias("t"))
-    both = sets.select("lh", "other", F.size(F.array_intersect("s", "t")).alias("both"), (F.size("s") + F.size("t")).alias("sum"))
-    links = both.where(F.col("both") >= threshold * (F.col("sum") - F.col("both"))).select(F.col("lh").alias("u"), F.col("other").alias("v"))
-    groups = connected_components(links)
-    release(pairs, at_wanted, texts)
+    groups = stage(connected_components(_links(pairs, texts, k, threshold)), "groups")
+    groups = _exhaust(met.where("n > 2 and lh <> hub").select("band", "lh"), groups, pairs, texts, k, threshold)
+    release(met, at_wanted, texts)
     place = F.struct("doc_id", "ln", "th")
     first = signed.groupBy("lh").agg(F.min(place).alias("first"), F.count("*").alias("m"))
     first = first.join(groups, first["lh"] == groups["node"], "left").select("lh", "first", "m", F.coalesce("root", "lh").alias("g"))

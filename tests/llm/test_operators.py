@@ -153,6 +153,20 @@ def test_line_dedup_recall_of_edited_lines(spark):
     assert not got - want and len(got) >= 0.97 * len(want)
 
 
+def test_line_dedup_on_a_star_of_edited_copies(spark):
+    """Copies that are each like the original and not like each other, and lines that only share a passage."""
+    r = random.Random(5)
+    made = lambda n: "".join(r.choice("aeiou strnldmc") for _ in range(n))
+    line, passage, rows = "x" + made(238) + "x", made(200).strip(), []
+    for _ in range(300):
+        at = r.sample(range(240), 3)
+        rows.append("".join(r.choice("XYZQWKJ") if i in at else c for i, c in enumerate(line)))
+    rows = list(enumerate([line, *rows, *[f"{passage} x{made(60)}x" for _ in range(100)]]))
+    want = brute.line_removal(rows)
+    got = {(x.doc_id, x.ln) for x in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) == 300 and not got - want and len(got) >= 0.97 * len(want)
+
+
 def test_line_dedup_on_odd_rows(odd):
     out = line_dedup.clean_documents(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
