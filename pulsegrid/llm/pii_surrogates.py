@@ -32,7 +32,7 @@ _SECRET = r"[A-Za-z0-9+/_-]"
 #: (type, pattern) in order of precedence.
 PATTERNS = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
-    ("secret", rf"(?<!{_SECRET})(?={_SECRET}{{8,}})(?<=(?:password|passwd|secret|api_key|apikey|token) ?[=:] ?[\"']?){_SECRET}++"),
+    ("secret", rf"(?<!{_SECRET})(?={_SECRET}{{8,}})(?<=(?i:password|passwd|secret|api_key|apikey|token) ?[=:] ?[\"']?){_SECRET}++"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{10,30}(?![A-Za-z0-9])"),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"),
     ("phone", r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"),
@@ -108,7 +108,8 @@ def candidate(key: str, k: Column, canon: Column, counter: Column) -> Column:
     spell = lambda f: F.array_join(F.transform(chars, f), "")
     top = F.length(canon) - F.length(F.substring_index(canon, ".", -1))
     email = spell(lambda c, i: F.when(i >= top, c).otherwise(by_class(c, i)))
-    secret = F.when(canon.rlike("^[0-9a-f]+$"), spell(lambda c, i: letters("0123456789abcdef", i, 16))).otherwise(spell(by_class))
+    secret = F.when(canon.rlike("^[0-9a-f]+$"), spell(lambda c, i: letters("0123456789abcdef", i, 16)))
+    secret = secret.when(canon.rlike("^[0-9A-F]+$"), spell(lambda c, i: letters("0123456789ABCDEF", i, 16))).otherwise(spell(by_class))
     number = spell(lambda c, i: F.when(i == 0, c).otherwise(digit(i)))
     body = F.expr("left(canon, length(canon) - 1)")
     drawn = F.array_join(F.transform(F.split(body, ""), lambda c, i: F.when(i == 0, c).otherwise(digit(i))), "")

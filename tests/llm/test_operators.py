@@ -1,6 +1,7 @@
 """Each operator against a plain version, on the smallest tables and on awkward rows."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -112,6 +113,15 @@ def test_pii_surrogates(spark):
     assert len(set(new)) == 26 and not set(new) & {f"{chr(97 + i)}@b.co" for i in range(26)}
 
 
+def test_pii_secrets_in_capitals(spark):
+    key = "9233a8ec" * 5
+    texts = [f"token = '{key}'!!", f"TOKEN = '{key}'!!".upper(), "Password: Hunter2Hunter2", "API_KEY=ABCDEF12 end"]
+    out = [r.text for r in pii_surrogates.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert re.fullmatch("token = '[0-9a-f]{40}'!!", out[0]) and re.fullmatch("TOKEN = '[0-9A-F]{40}'!!", out[1])
+    assert re.fullmatch(r"Password: [A-Z][a-z]{5}\d[A-Z][a-z]{5}\d", out[2]) and re.fullmatch("API_KEY=[0-9A-F]{8} end", out[3])
+    assert not any(x in y for x in (key, key.upper(), "Hunter2Hunter2", "ABCDEF12") for y in out)
+
+
 def test_quality_base(spark, docs, odd):
     for df in (docs, odd):
         rows = quality_rules.with_features(df, ["doc_id", "text"], prefix="f_").collect()
