@@ -11,7 +11,9 @@ its script and the gender its title states.
 
 Collision check: candidates are drawn with a counter under the key; of several entities
 with one candidate the first keeps it and the others draw again, as do those whose
-candidate is an original value or already given out, until all are distinct.
+candidate is an original value or already given out, until all are distinct. Made-up
+names grow with the draws; what a format of fixed length has no room for gets a longer
+value from the keyed hash, which holds nothing of the original.
 
 Defined cases: a null text stays null with 0 replacements; texts without mentions stay
 as they are; rows with null or repeated ids are treated row by row; an empty table
@@ -95,9 +97,9 @@ def _luhn_sum(s: Column) -> Column:
     )
 
 
-def candidate(key: str, k: Column, canon: Column, counter: Column) -> Column:
-    """A surrogate canonical form drawn by the key and a counter."""
-    hx = F.sha2(F.concat_ws("|", F.lit(key), k, canon, counter.cast("string")), 512)
+def candidate(key: str, k: Column, canon: Column, counter: int) -> Column:
+    """A surrogate canonical form drawn by the key and a counter; names gain a syllable every second round."""
+    hx = F.sha2(F.concat_ws("|", F.lit(key), k, canon, F.lit(str(counter))), 512)
     byte = lambda i: F.conv(F.substring(hx, 2 * (i % 60) + 1, 4), 16, 10).cast("int")  # noqa: E731  16 bits
     letters = lambda s, i, n: F.substring(F.lit(s), byte(i) % n + 1, F.lit(1))
     digit = lambda i: letters("0123456789", i, 10)
@@ -119,23 +121,38 @@ def candidate(key: str, k: Column, canon: Column, counter: Column) -> Column:
     ip = F.concat_ws(".", (byte(F.lit(0)) % 223 + 1).cast("string"), *[(byte(F.lit(2 * j)) % 256).cast("string") for j in (1, 2, 3)])
     out = F.when(k == "email", email).when(k == "iban", iban).when(k == "ip", ip).when(k == "card", card).when(k.isin("phone", "ssn"), number)
     for script in SYLLABLES:
-        made = F.concat(*[F.element_at(F.array(*[F.lit(x) for x in SYLLABLES[script]]), byte(F.lit(2 * j)) % 16 + 1) for j in range(4)])
+        made = F.concat(*[F.element_at(F.array(*[F.lit(x) for x in SYLLABLES[script]]), byte(F.lit(2 * j)) % 16 + 1) for j in range(4 + counter // 2)])
         for kd, end in ENDINGS[script].items():
             fits = canon.rlike(r"\p{IsCyrillic}") if script == "cyrillic" else ~canon.rlike(r"\p{IsCyrillic}")
             out = out.when((k == kd) & fits, F.concat(made, F.lit(end)))
     return out.otherwise(secret)
 
 
+def beyond(key: str, k: Column, canon: Column) -> Column:
+    """A surrogate for what its format has no room for: longer than the format, from the keyed hash alone."""
+    hx = F.sha2(F.concat_ws("|", F.lit(key), k, canon), 512)
+    part = lambda i, n: F.substring(hx, i, n)
+    digits = F.substring(F.translate(hx, "abcdef", "012345"), F.lit(1), F.length(canon) + 24)
+    latin, cyrillic = F.translate(part(1, 24), "0123456789", "ghijklmnop"), F.translate(part(1, 24), "0123456789abcdef", "абвгдежзиклмнопр")
+    return (
+        F.when(k.isin(*DIGIT_TYPES), digits)
+        .when((k == "surname") | k.startswith("given"), F.when(canon.rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(latin))
+        .when(k == "email", F.concat(part(1, 24), F.lit("@"), part(25, 8), F.lit(".invalid")))
+        .when(k == "iban", F.concat(F.lit("XX00"), F.upper(part(1, 24))))
+        .otherwise(part(1, 24))
+    )
+
+
 def surrogates(entities: DataFrame, key: str, max_rounds: int = 40) -> DataFrame:
     """(kind, canon, surrogate) for distinct (kind, canon): no two alike, none an original.
 
     Each round draws for the entities still without a surrogate; what the key space of a
-    format cannot give in ``max_rounds`` draws gets the rank of the entity appended.
+    format cannot give in ``max_rounds`` draws leaves the format, see ``beyond``.
     """
     known = stage(entities, "entities")
     done, left, n = None, known, 0
     while True:
-        drawn = left.withColumn("s", candidate(key, F.col("kind"), F.col("canon"), F.lit(n)))
+        drawn = left.withColumn("s", candidate(key, F.col("kind"), F.col("canon"), n))
         drawn = drawn.join(known.select("kind", F.col("canon").alias("s")), ["kind", "s"], "left_anti")
         if done is not None:
             drawn = drawn.join(done.select("kind", "s"), ["kind", "s"], "left_anti")
@@ -146,8 +163,7 @@ def surrogates(entities: DataFrame, key: str, max_rounds: int = 40) -> DataFrame
         if not left.take(1):
             break
         if n == max_rounds:
-            rank = F.concat(F.col("canon"), F.lit("-"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), "kind", "canon"), 256), 1, 24))
-            done = done.union(left.withColumn("s", rank))
+            done = done.union(left.withColumn("s", beyond(key, F.col("kind"), F.col("canon"))))
             break
     return done.select("kind", "canon", F.col("s").alias("surrogate"))
 
@@ -156,6 +172,7 @@ def render(k: Column, raw: Column, s: Column) -> Column:
     """The surrogate in the format of a mention."""
     nth = lambda i: F.length(F.regexp_replace(F.substring(raw, F.lit(1), i + 1), r"\D", ""))
     digits = F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(s, nth(i), F.lit(1))).otherwise(c)), "")
+    digits = F.concat(digits, F.substring(s, F.length(F.regexp_replace(raw, r"\D", "")) + 1, F.length(s)))
     cased = F.array_join(F.transform(F.split(s, ""), lambda c, i: F.when(F.substring(raw, i + 1, F.lit(1)).rlike("[A-Z]"), F.upper(c)).otherwise(c)), "")
     name = F.when((raw == F.upper(raw)) & (F.length(raw) > 1), F.upper(s)).otherwise(F.initcap(s))
     return F.when(k == "lit", raw).when(k.isin(*DIGIT_TYPES), digits).when(k == "email", cased).when((k == "surname") | k.startswith("given"), name).otherwise(s)

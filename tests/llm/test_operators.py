@@ -122,6 +122,22 @@ def test_pii_secrets_in_capitals(spark):
     assert not any(x in y for x in (key, key.upper(), "Hunter2Hunter2", "ABCDEF12") for y in out)
 
 
+def test_pii_names_beyond_four_syllables(spark):
+    names = spark.range(70_000).select(F.lit("surname").alias("kind"), F.concat(F.lit("q"), F.translate(F.col("id").cast("string"), "0123456789", "ghijklwxyz")).alias("canon"))
+    out = pii_surrogates.surrogates(names, "k").agg(F.count("*").alias("n"), F.countDistinct("surrogate").alias("d"), F.count_if(F.col("surrogate").rlike("^[a-z]{8,}mer$")).alias("made"), F.count_if(F.expr("contains(surrogate, canon)")).alias("leaks")).first()
+    assert tuple(out) == (70_000, 70_000, 70_000, 0)
+
+
+def test_pii_formats_without_room(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    full = [("email", f"{a}@{b}.co") for a in letters for b in letters] + [("phone", f"{i:02}") for i in range(100)]
+    out = pii_surrogates.surrogates(spark.createDataFrame(full, "kind string, canon string"), "k", max_rounds=2)
+    out = out.withColumn("r", pii_surrogates.render(F.col("kind"), F.col("canon"), F.col("surrogate"))).collect()
+    assert len({(x.kind, x.r) for x in out}) == len(full) and not {x.r for x in out} & {c for _, c in full}
+    assert all(x.r.endswith(".invalid") if x.kind == "email" else re.fullmatch(r"\d{26}", x.r) for x in out)
+    assert not any(x.canon in x.r for x in out if x.kind == "email")
+
+
 def test_quality_base(spark, docs, odd):
     for df in (docs, odd):
         rows = quality_rules.with_features(df, ["doc_id", "text"], prefix="f_").collect()
