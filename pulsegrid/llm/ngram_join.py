@@ -13,7 +13,9 @@ largest number of tokens that share bits. A dual traversal descends only into no
 pairs whose largest possible overlap reaches the threshold and that are not yet known
 to be in one component. It runs twice: over the bitmaps alone, which splits the blocks, then over
 the sets of what is left, where leaf pairs are verified exactly. Large blocks are cut into
-chunks of bounded total size and every pair of chunks is one task.
+chunks of bounded total size. Each chunk is joined by itself, with a few members of other
+chunks as hubs; then only members outside the block's largest component (itself one
+component already) visit the other chunks.
 
 Defined cases: null, empty or wordless texts have an empty set and are linked with
 nothing; rows with a null id get a null component (they can't be named) but keep their
@@ -22,7 +24,7 @@ size; repeated rows share a component; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,13 +33,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import connected_components, fresh, release, stage, table, tidy
+from pulsegrid.llm.common import bounded, connected_components, fresh, release, stage, table
 from pulsegrid.llm.textkernel import Words, mix, shingles, slices, string_parts
 
-#: Shingles of a chunk of a block on average; two chunks meet in one task.
+#: Shingles of a chunk of a block on average; two chunks' worth meet in one task.
 CHUNK_SHINGLES = 2_000_000
 #: Bytes of token bitmaps of a chunk of a block on average.
 MAP_BYTES = 16 << 20
+#: A key is hot if so many sets of one hash in 64 have it.
+HOT_KEY = 1_000
+#: Members of a large block that every chunk of it meets first.
+HUBS = 64
 #: Sets with keys that a task remembers, so that copies within it repeat no keys.
 SEEN = 500_000
 _A, _B, _C = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC13FA9A902A6328F))
@@ -170,8 +176,8 @@ class SignatureTree:
     FAN = 4
     FRONT = 1 << 15
 
-    def __init__(self, sets: list[np.ndarray] | None, num: int, den: int, maps: np.ndarray | None = None, size: np.ndarray | None = None, least: np.ndarray | None = None):
-        """Of sets, or of ``maps`` with the sets' sizes and smallest tokens: then every possible pair counts as a link."""
+    def __init__(self, sets: list[np.ndarray] | None, num: int, den: int, maps: np.ndarray | None = None, size: np.ndarray | None = None, least: np.ndarray | None = None, known: np.ndarray | None = None):
+        """Of sets, or of ``maps`` with the sets' sizes and smallest tokens: then every possible pair counts as a link. ``known`` has components found before."""
         self.num, self.den = num, den
         if maps is None:
             size = np.array([len(s) for s in sets])
@@ -189,6 +195,9 @@ class SignatureTree:
             at = np.arange(0, len(m), self.FAN)
             self.levels.append((np.bitwise_or.reduceat(m, at, 0), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(ex, at)))
         self.root = np.arange(n)
+        if known is not None and n:
+            _, first, label = np.unique(np.asarray(known)[self.order], return_index=True, return_inverse=True)
+            self.root = first[label]
         self.links: list[tuple[int, int]] = []
 
     def find(self, i: int) -> int:
@@ -268,76 +277,105 @@ class SignatureTree:
         return self.links
 
 
-def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, chunk: int = CHUNK_SHINGLES) -> DataFrame:
+def _links_in_blocks(rows: DataFrame, limit: int, attach: Callable[[DataFrame], DataFrame], links: Callable[[pd.DataFrame], pd.DataFrame], hubs: int = HUBS) -> DataFrame:
+    """(node, root): components of the links among the ``rows`` (node, block, weight and further columns) of each block.
+
+    ``attach`` adds what ``links`` needs to rows with the columns block, a, b and known
+    in place of weight; ``links`` gets the rows of one (block, a, b) and returns (u, v).
+    """
+    further = [c for c in rows.columns if c not in ("block", "weight")]
+    large = stage(rows.groupBy("block").agg(F.ceil(F.sum("weight") / limit).cast("int").alias("chunks")).where("chunks > 1"), "large")
+    chunk = lambda count, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(count)).cast("int")
+    placed = rows.join(bounded(large), "block", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", chunk("chunks", 0))
+    placed = stage(placed, "placed")
+    nobody = F.lit(None).cast("long").alias("known")
+    cells = placed.select("block", F.col("own").alias("a"), F.lit(0).alias("b"), *further, nobody)
+    wide = bool(large.take(1))
+    if wide:
+        first = placed.where((F.col("chunks") > 1) & (F.col("own") < hubs)).groupBy("block", "own", "chunks").agg(F.min(F.struct(*further)).alias("hub"))
+        guests = first.select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("a"), F.lit(0).alias("b"), "hub.*")
+        cells = cells.union(guests.select("block", "a", "b", *further, nobody))
+    run = lambda c: attach(c).groupBy("block", "a", "b").applyInPandas(links, "u long, v long")
+    if not wide:
+        return connected_components(run(cells))
+    found = stage(run(cells), "links")
+    joined = connected_components(found).withColumnRenamed("node", "member")
+    known = placed.where("chunks > 1").join(joined, F.col("node") == F.col("member"), "left").withColumn("known", F.coalesce("root", "node")).drop("member", "root")
+    known = stage(known, "known")
+    size = known.groupBy("block", "known").agg(F.count("*").alias("m"))
+    top = size.groupBy("block").agg(F.max(F.struct("m", "known"))["known"].alias("top"))
+    guests = known.join(bounded(stage(top, "top")), "block").where("known <> top")
+    guests = stage(guests, "guests")
+    shares = stage(guests.groupBy("block").agg(F.ceil(F.sum("weight") / limit).cast("int").alias("shares")), "shares")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    shares = bounded(shares)
+    guests = guests.join(shares, "block").withColumn("b", chunk("shares", 1)).select("block", every("chunks").alias("a"), "b", *further, "known")
+    hosts = known.join(shares, "block").select("block", F.col("own").alias("a"), every("shares").alias("b"), *further, "known")
+    more = run(guests.union(hosts))
+    return connected_components(found.union(more))
+
+
+def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, chunk: int = CHUNK_SHINGLES, map_bytes: int = MAP_BYTES) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     sig = stage(signatures(docs, k, num, den), "signatures")
     nodes = stage(sig.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    node = F.xxhash64("h1", "level")
+    slim = stage(sig.where("own").select("doc_id", "n", "h1", "h2"), "slim")
+    node = F.xxhash64("h1", "h2", "level")
     strong = sig.select(node.alias("node"), F.explode("keys").alias("key"))
     needed = stage(sig.where("need = 0").select(F.explode("weak").alias("key")).distinct(), "needed")
-    small = needed.count() <= 1_000_000  # 8 bytes each
-    weak = sig.select(node.alias("node"), F.explode("weak").alias("key")).join(F.broadcast(needed) if small else needed, "key").select("node", "key")
+    weak = sig.select(node.alias("node"), F.explode("weak").alias("key")).join(bounded(needed), "key").select("node", "key")
+    keyed = strong.union(weak)
+    # keys of very many sets, known by the sets of one hash in 64, need no window to be known as shared
+    some = keyed.where(F.pmod(F.xxhash64("node"), F.lit(64)) == 0).groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("low"), F.max("node").alias("high"))
+    hot = stage(some.where((F.col("m") > HOT_KEY) & (F.col("low") != F.col("high"))).select("key"), "hot")
     by_key = W.partitionBy("key").orderBy("node")
-    before, after = F.lag("node").over(by_key), F.lead("node").over(by_key)
-    met = strong.union(weak).withColumn("before", before).withColumn("after", after).where("before <> node or after <> node")
-    met = stage(met.select("node", "key"), "met")  # copies of a row only loosen the bound below
-    full, sig = sig, stage(sig.drop("keys", "weak"), "sets")
-    release(full, needed)
-    del full, strong, weak
-    tidy(docs.sparkSession)
+    usual = keyed.join(bounded(hot), "key", "left_anti").select("node", "key", F.lag("node").over(by_key).alias("before"), F.lead("node").over(by_key).alias("after"))
+    usual = usual.where("before <> node or after <> node").select("node", "key")
+    met = stage(usual.union(keyed.join(bounded(hot), "key").select("node", "key")), "met")  # copies of a row only loosen the bound below
     # a set that meets fewer parts than any partner would share has no partner here
     needs = sig.select(node.alias("node"), "need").where("need > 0").distinct()
     alive = met.groupBy("node").agg(F.count("*").alias("n")).join(needs, "node", "left").where("need is null or n >= need").select("node")
-    met2 = met.join(alive, "node")
-    pairs = met2.withColumn("hub", F.first("node").over(by_key.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    blocks = connected_components(pairs.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")))
-    placed = sig.where("map is not null").groupBy("n", "h1", "h2", "level").agg(F.first("map").alias("map"), F.first("least").alias("least"))
-    placed = placed.select("n", "h1", "h2", node.alias("node"), "map", "least").join(blocks, "node").withColumnRenamed("root", "block")
-    sizes = placed.groupBy("block").agg(F.ceil(F.sum(F.octet_length("map")) / MAP_BYTES).cast("int").alias("chunks"))
-    placed = placed.join(sizes, "block").withColumn("own", F.pmod(F.xxhash64("h2"), F.col("chunks")).cast("int"))
-    placed = placed.select("block", "own", "node", "n", "map", "least", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    placed = placed.select("block", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "n", "map", "least")
+    hubs = met.join(alive, "node").select("key", "node")
+    hubs = stage(hubs, "alive")
+    hub = hubs.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
+    pairs = hubs.join(hub, "key").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    blocks = stage(connected_components(pairs).withColumnRenamed("root", "block"), "blocks")
+    maps = sig.where("map is not null").select("n", "h1", "h2", node.alias("node"), "map", "least").join(bounded(blocks), "node")
+    maps = stage(maps.dropDuplicates(["node"]), "maps")
+    release(sig, needed, hot, met, hubs)
 
     def join_maps(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("node").reset_index(drop=True)
-        maps = np.frombuffer(b"".join(pdf["map"]), np.uint64).reshape(len(pdf), -1)
-        links = SignatureTree(None, num, den, maps, pdf["n"].to_numpy(), pdf["least"].to_numpy().view(np.uint64)).run() if len(pdf) > 1 else []
+        bits = np.frombuffer(b"".join(pdf["map"]), np.uint64).reshape(len(pdf), -1)
+        known = None if pdf["known"].isna().any() else pdf["known"].to_numpy()
+        links = SignatureTree(None, num, den, bits, pdf["n"].to_numpy(), pdf["least"].to_numpy().view(np.uint64), known).run() if len(pdf) > 1 else []
         ids = pdf["node"].to_numpy()
         return pd.DataFrame({"u": [ids[i] for i, _ in links], "v": [ids[j] for _, j in links]}, dtype="int64")
 
     # first by the maps alone: what they can't rule out stays in one block, and only such documents' texts are read again
-    blocks = connected_components(placed.groupBy("block", "a", "b").applyInPandas(join_maps, "u long, v long"))
-    ids = sig.where("map is not null").select("n", "h1", "h2", node.alias("node")).distinct()
-    members = ids.join(blocks, "node").join(nodes.where("rep is not null"), ["n", "h1", "h2"])
-    sizes = members.groupBy("root").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"), F.count("*").alias("m")).where("m > 1")
-    members = members.join(sizes, "root").select("rep", F.col("h1").alias("want"), F.col("root").alias("block"), "chunks", F.pmod(F.xxhash64("h2"), F.col("chunks")).cast("int").alias("own"))
-    members = stage(members, "members")
-    slim = stage(sig.where("own").select("doc_id", "n", "h1", "h2"), "slim")
-    release(sig, met)
-    if members.count() <= 400_000:  # 40 bytes each
-        members = F.broadcast(members)
-    cells = (
-        docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-        .join(members, "rep")
-        .select("rep", "want", "text", "block", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-        .select("rep", "want", "text", "block", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
-    )
+    rows = maps.select("node", "block", F.octet_length("map").alias("weight"))
+    with_maps = lambda cells: cells.join(maps.select("node", "n", "map", "least"), "node")
+    blocks = stage(_links_in_blocks(rows, map_bytes, with_maps, join_maps), "blocks")
+    members = maps.select("n", "h1", "h2", "node").join(blocks, "node").join(nodes.where("rep is not null"), ["n", "h1", "h2"])
+    members = stage(members.select(F.col("rep").alias("node"), F.col("root").alias("block"), F.col("n").alias("weight"), F.col("h1").alias("want")), "members")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
 
     def join_cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["rep", "text"])
-        sets, ids = [], []
+        pdf = pdf.drop_duplicates(["node", "text"])
+        sets, ids, known = [], [], []
         buf, off = string_parts(pa.array(pdf.text, pa.large_string()))
-        reps, want = pdf.rep.to_numpy(), pdf.want.to_numpy()
+        reps, want, label = pdf.node.to_numpy(), pdf.want.to_numpy(), pdf.known.to_numpy()
         for i, j in slices(off):
             for at, s in enumerate(sets_of(buf[off[i] : off[j]], off[i : j + 1] - off[i], k), i):
                 if identity(s)[0] == want[at]:
                     sets.append(s)
                     ids.append(reps[at])
-        links = SignatureTree(sets, num, den).run() if len(sets) > 1 else []
+                    known.append(label[at])
+        links = SignatureTree(sets, num, den, known=None if pdf["known"].isna().any() else np.array(known)).run() if len(sets) > 1 else []
         return pd.DataFrame({"u": [ids[i] for i, _ in links], "v": [ids[j] for _, j in links]}, dtype="int64")
 
-    links = cells.groupBy("block", "a", "b").applyInPandas(join_cell, "u long, v long")
-    joined = connected_components(links)
+    with_texts = lambda cells: texts.join(bounded(stage(cells, "cells")), "node")
+    joined = _links_in_blocks(members, chunk, with_texts, join_cell)
     named = nodes.join(joined, F.col("rep") == F.col("node"), "left").select("n", "h1", "h2", F.coalesce("root", "rep").alias("component_id"))
     out = slim.join(named, ["n", "h1", "h2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"))
@@ -347,10 +385,8 @@ def one_of_each(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> D
     """The rows of ``docs`` without those that have a linked row of smaller id; repeated rows stay once."""
     c = stage(classes(docs, k, num, den), "components")
     name = fresh(docs, "__drop")[0]
-    drop = c.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
-    if drop.count() <= 400_000:
-        drop = F.broadcast(drop)
-    out = docs.join(drop, docs["doc_id"] == F.col(name), "left_anti")
+    drop = stage(c.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "drop")
+    out = docs.join(bounded(drop), docs["doc_id"] == F.col(name), "left_anti")
     n, ids = c.where("doc_id is not null").agg(F.count("*"), F.count_distinct("doc_id")).first()
     return out if n == ids else out.dropDuplicates()
 
