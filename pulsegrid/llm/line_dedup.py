@@ -8,10 +8,11 @@ band are checked exactly, unless links found before join them already; linked li
 joined by distributed union-find, and of each component the first line (by document id,
 then line number) stays.
 
-Signatures of lines of ``DENSE`` characters or more use the shingles that begin with
-one of the characters ``ANCHORS`` (a letter common in Latin-script languages, some
-digits, and all of the other scripts) if there are ``ENOUGH``; other lines use all
-shingles, and lines of up to ``OVERLAP`` characters or twice as many have both. The exact check always uses all shingles.
+Signatures of lines of ``DENSE`` characters or more use the shingles that begin a word of
+``WORD`` characters or more if there are ``ENOUGH``; other lines use all shingles, and
+lines of up to ``OVERLAP`` characters or twice as many have both. The exact check always
+uses all shingles; it is left out only for pairs that a parity profile of all their
+shingles shows to be unlike.
 
 Defined cases: blank lines are never compared and always stay; lines of fewer than
 ``k`` characters match only equal lines; a null text stays null with no lines; null
@@ -25,12 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import connected_components, fresh, release, stage, table
+from pulsegrid.llm.common import bounded, connected_components, fresh, release, stage, table
 
-K, ROWS, BANDS = 8, 3, 8
-DENSE, OVERLAP, ENOUGH = 120, 160, 4
-ANCHORS = r"iI0-4\u0400-\uFFFF"
+K, ROWS, BANDS = 8, 3, 10
+DENSE, OVERLAP, ENOUGH, WORD = 120, 160, 4, 4
 THRESHOLD = 0.8
+#: A band is hot if so many lines of one hash in 64 have it.
+HOT_BAND = 1_000
 #: Lines of a band that meet all others of it in the second round.
 HUBS = 16
 #: Longs of the bitmap in a line's profile, a power of two.
@@ -71,17 +73,21 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Data
 
 def _open(met: DataFrame, groups: DataFrame) -> DataFrame:
     """``met`` with the group ``g`` of each line and the number ``n`` of lines, for the bands with lines of several groups."""
-    in_band = W.partitionBy("band")
     left = met.join(groups, met["lh"] == groups["node"], "left").select(*[met[c] for c in met.columns], F.coalesce("root", "lh").alias("g"))
-    left = left.select("*", F.min("g").over(in_band).alias("low"), F.max("g").over(in_band).alias("high"), F.count("*").over(in_band).alias("n"))
-    return stage(left.where("low <> high").drop("low", "high"), "open")
+    several = left.groupBy("band").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count("*").alias("n")).where("low <> high")
+    return stage(left.join(several.select("band", "n"), "band"), "open")
 
 
-def _profiles(lines: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+def _profiles(texts: DataFrame, k: int) -> DataFrame:
     """(lh, p): of each line the number of shingles and, for the hash values of ``64 * WORDS`` bits, the parity of their numbers."""
-    sets = texts.join(lines, "lh").select("lh", shingles(F.col("line"), k).alias("s"))
-    word = lambda j: F.expr(f"aggregate(filter(s, x -> (x & {WORDS - 1}) = {j}), 0L, (a, x) -> a ^ shiftleft(1L, cast((x >> 8) & 63 as int)))")
-    return stage(sets.select("lh", F.struct(F.size("s").alias("size"), *[word(j).alias(f"b{j}") for j in range(WORDS)]).alias("p")), "profiles")
+    word = lambda j: F.expr(f"bit_xor(if((s & {WORDS - 1}) = {j}, shiftleft(1L, cast((s >> 8) & 63 as int)), 0L))").alias(f"b{j}")
+    each = texts.select("lh", F.explode(shingles(F.col("line"), k)).alias("s")).groupBy("lh").agg(F.count("*").alias("size"), *[word(j) for j in range(WORDS)])
+    return stage(each.select("lh", F.struct("size", *[f"b{j}" for j in range(WORDS)]).alias("p")), "profiles")
+
+
+def _alike(p: str, q: str, threshold: float) -> Column:
+    """False only for lines whose profiles show that they are less alike than ``threshold``."""
+    return (1 + threshold) * _at_most(p, q) >= threshold * (F.col(f"{p}.size") + F.col(f"{q}.size")) - 1e-6
 
 
 def _at_most(p: str, q: str) -> Column:
@@ -90,7 +96,7 @@ def _at_most(p: str, q: str) -> Column:
     return (F.col(f"{p}.size") + F.col(f"{q}.size") - apart) / 2
 
 
-def _exhaust(met: DataFrame, groups: DataFrame, seen: DataFrame, texts: DataFrame, k: int, threshold: float, hubs: int = HUBS) -> DataFrame:
+def _exhaust(met: DataFrame, groups: DataFrame, seen: DataFrame, texts: DataFrame, profiles: DataFrame, k: int, threshold: float, hubs: int = HUBS) -> DataFrame:
     """``groups`` (node, root) joined further until no two lines of a band are of different groups and not compared.
 
     In each round the ``hubs`` lines of a band with the most lines near them meet all its
@@ -99,18 +105,14 @@ def _exhaust(met: DataFrame, groups: DataFrame, seen: DataFrame, texts: DataFram
     are all of one group, so families take few comparisons.
     """
     left = _open(met, groups)
-    tables = [groups, seen, left]
-    if left.take(1):
-        profiles = _profiles(left.select("lh").distinct(), texts, k)
-        tables.append(profiles)
+    tables = [groups, left]
     while left.take(1):
         near = left.groupBy("lh").agg(F.sum("n").alias("near"))
+        ranked = stage(left.join(near, "lh").join(profiles, "lh").select("band", "lh", "p", "g", "near"), "ranked")
         nth = F.row_number().over(W.partitionBy("band").orderBy(F.desc("near"), "lh"))
-        ranked = left.join(near, "lh").select("band", "lh", "g", nth.alias("nth"))
-        ranked = stage(ranked.join(profiles, "lh").select("band", "lh", "p", "g", "nth"), "ranked")
-        hub = ranked.where(F.col("nth") <= hubs).select("band", F.col("lh").alias("h"), F.col("p").alias("q"), F.col("g").alias("hg"), F.col("nth").alias("at"))
-        alike = (1 + threshold) * _at_most("p", "q") >= threshold * (F.col("p.size") + F.col("q.size")) - 1e-6
-        pairs = ranked.join(hub, "band").where((F.col("at") < F.col("nth")) & (F.col("g") != F.col("hg")) & alike).select(
+        hub = ranked.withColumn("nth", nth).where(F.col("nth") <= hubs).select("band", F.col("lh").alias("h"), F.col("p").alias("q"), F.col("g").alias("hg"))
+        hub = stage(hub, "hubs")
+        pairs = ranked.join(hub, "band").where((F.col("g") != F.col("hg")) & _alike("p", "q", threshold)).select(
             F.least("lh", "h").alias("lh"), F.greatest("lh", "h").alias("other"), F.least("g", "hg").alias("u"), F.greatest("g", "hg").alias("v")
         ).distinct()
         pairs = stage(pairs.join(seen.select("lh", "other"), ["lh", "other"], "left_anti"), "pairs")
@@ -119,8 +121,9 @@ def _exhaust(met: DataFrame, groups: DataFrame, seen: DataFrame, texts: DataFram
         new = joined.join(groups.select("node"), "node", "left_anti")
         groups = stage(groups.join(further, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(new.select("node", "root")), "groups")
         seen = seen.select("lh", "other").union(pairs.select("lh", "other"))
-        left = _open(ranked.where(F.col("nth") > hubs).select("band", "lh"), groups)
-        tables += [ranked, pairs, joined, groups, left]
+        rest = ranked.join(hub.select("band", F.col("h").alias("lh")), ["band", "lh"], "left_anti").select("band", "lh")
+        left = _open(rest, groups)
+        tables += [ranked, hub, pairs, joined, groups, left]
         hubs *= 4
     release(*[t for t in tables if t is not groups])
     return groups
@@ -129,56 +132,68 @@ def _exhaust(met: DataFrame, groups: DataFrame, seen: DataFrame, texts: DataFram
 def removed_lines(docs: DataFrame, k: int = K, rows: int = ROWS, bands: int = BANDS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, th, ln) of the lines that repeat, exactly or nearly, an earlier kept line."""
     lines = line_table(docs)
-    every, some = f"(?s)(?=(.{{{k}}}))", f"(?s)(?=([{ANCHORS}].{{{k - 1}}}))"
-    n = F.length("line")
+    every, some = f"(?s)(?=(.{{{k}}}))", rf"(?s) (?=(\S{{{min(WORD, k)}}}.{{{k - min(WORD, k)}}}))"
+    n, line = F.length("line"), F.col("line")
+    # ``lh`` names a line; ``ck`` is a second hash, without which different lines of one ``lh`` would share their fate
+    names = [F.xxhash64("line").alias("lh"), F.xxhash64(F.lit(1), "line").alias("ck")]
     # columns of their own, so that each sketch is made once and not for each band; a line of under k characters has none
-    sketched = lines.select("doc_id", "th", "ln", "line", F.xxhash64("line").alias("lh"), F.when(n >= DENSE, _sketch(F.col("line"), some)).alias("long"))
+    sketched = lines.select("doc_id", "th", "ln", "line", *names, F.when(n >= DENSE, _sketch(F.concat(F.lit(" "), line), some)).alias("long"))
     few = F.coalesce(F.size("long"), F.lit(0))
     sketched = sketched.select(
-        "doc_id", "th", "ln", "lh", F.when(few >= ENOUGH, F.col("long")).alias("long"),
-        F.when((n >= k) & ((n < OVERLAP) | (few < 2 * ENOUGH)), _sketch(F.col("line"), every)).alias("short"),
+        "doc_id", "th", "ln", "lh", "ck", F.when(few >= ENOUGH, F.col("long")).alias("long"),
+        F.when((n >= k) & ((n < OVERLAP) | (few < 2 * ENOUGH)), _sketch(line, every)).alias("short"),
     )
     none = F.array().cast("array<bigint>")
     short, long = _bands("short", 1, rows, bands), _bands("long", 2, rows, bands)
     both = F.when(F.col("short").isNotNull() & F.col("long").isNotNull(), F.concat(short, long)).otherwise(F.coalesce(short, long, none))
-    signed = stage(sketched.select("doc_id", "th", "ln", "lh", both.alias("bands")), "lines")
-    distinct = signed.groupBy("lh").agg(F.first("bands").alias("bands"))
+    signed = stage(sketched.select("doc_id", "th", "ln", "lh", "ck", both.alias("bands")), "lines")
+    banded = signed.select("lh", F.explode("bands").alias("band")).where("band is not null")
+    # bands of very many lines, known by the lines of one hash in 64, need no window to be known as shared
+    some = banded.where(F.pmod(F.xxhash64("lh"), F.lit(64)) == 0).groupBy("band").agg(F.count("*").alias("m"), F.min("lh").alias("low"), F.max("lh").alias("high"))
+    hot = stage(some.where((F.col("m") > HOT_BAND) & (F.col("low") != F.col("high"))).select("band"), "hot")
     by_band = W.partitionBy("band").orderBy("lh").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    met = distinct.select("lh", F.explode("bands").alias("band")).where("band is not null").select("band", "lh", F.first("lh").over(by_band).alias("hub"), F.count("*").over(by_band).alias("n"))
-    met = stage(met.where("n > 1"), "met")
+    usual = banded.join(bounded(hot), "band", "left_anti").select("band", "lh", F.first("lh").over(by_band).alias("hub"), F.last("lh").over(by_band).alias("far"))
+    crowd = banded.join(bounded(hot), "band").select("band", "lh").distinct()
+    crowd = crowd.join(crowd.groupBy("band").agg(F.min("lh").alias("hub")), "band").select("band", "lh", "hub")
+    met = stage(usual.where("hub <> far").select("band", "lh", "hub").union(crowd).distinct(), "met")
     # every line of a band meets the band's smallest one: the same few for most bands of a family
     pairs = met.where("lh <> hub").select(F.col("hub").alias("lh"), F.col("lh").alias("other")).distinct()
+    wanted = stage(met.select("lh").distinct(), "wanted")
+    texts = line_table(docs).select(*names, "line").join(bounded(wanted), "lh").groupBy("lh").agg(F.min(F.struct("ck", "line")).alias("t"))
+    texts = stage(texts.select("lh", "t.ck", "t.line"), "texts")
+    profiles = _profiles(texts, k)
+    pairs = pairs.join(profiles, "lh").join(profiles.select(F.col("lh").alias("other"), F.col("p").alias("q")), "other").where(_alike("p", "q", threshold))
     pairs = stage(pairs.select("lh", "other", F.col("lh").alias("u"), F.col("other").alias("v")), "pairs")
-    wanted = at_wanted = stage(met.select("lh").distinct(), "wanted")
-    if wanted.count() <= 1_000_000:  # 8 bytes each
-        wanted = F.broadcast(wanted)
-    texts = line_table(docs).select(F.xxhash64("line").alias("lh"), "line").join(wanted, "lh").groupBy("lh").agg(F.first("line").alias("line"))
-    texts = stage(texts, "texts")
     groups = stage(connected_components(_links(pairs, texts, k, threshold)), "groups")
-    groups = _exhaust(met.where("n > 2 and lh <> hub").select("band", "lh"), groups, pairs, texts, k, threshold)
-    release(met, at_wanted, texts)
+    # a line that its band's hub is unlike is still open there, and meets others
+    groups = _exhaust(met.where("lh <> hub").select("band", "lh"), groups, pairs, texts, profiles, k, threshold)
+    named = texts.select(F.col("lh").alias("node"), F.col("ck").alias("nck"))
+    groups = stage(groups.join(named, "node"), "groups")
+    release(hot, met, wanted, texts, profiles, pairs)
     place = F.struct("doc_id", "ln", "th")
-    first = signed.groupBy("lh").agg(F.min(place).alias("first"), F.count("*").alias("m"))
-    first = first.join(groups, first["lh"] == groups["node"], "left").select("lh", "first", "m", F.coalesce("root", "lh").alias("g"))
+    first = signed.groupBy("lh", "ck").agg(F.min(place).alias("first"), F.count("*").alias("m"))
+    of_group = (first["lh"] == groups["node"]) & (first["ck"] == groups["nck"])
+    first = first.join(groups, of_group, "left").select("lh", "ck", "first", "m", F.coalesce("root", "lh").alias("g"), F.when(F.col("root").isNull(), F.col("ck")).alias("gc"))
     first = stage(first, "first")
-    shared = first.groupBy("g").agg(F.min("first").alias("keep"), F.sum("m").alias("m")).where("m > 1")
-    fate = first.select("lh", "g").join(shared.select("g", "keep"), "g").select("lh", "keep")
-    gone = signed.select("doc_id", "th", "ln", "lh").join(fate, "lh").where(~place.eqNullSafe(F.col("keep")))
+    shared = first.groupBy("g", "gc").agg(F.min("first").alias("keep"), F.sum("m").alias("m")).where("m > 1").withColumnsRenamed({"g": "kg", "gc": "kc"})
+    fate = first.join(shared, (F.col("g") == F.col("kg")) & F.col("gc").eqNullSafe(F.col("kc"))).select("lh", "ck", "keep")
+    gone = signed.select("doc_id", "th", "ln", "lh", "ck").join(fate, ["lh", "ck"]).where(~place.eqNullSafe(F.col("keep")))
     return gone.select("doc_id", "th", "ln")
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
     """The columns of ``docs`` with the removed lines cut from ``text``, and ``__lines`` and ``__cut``, their numbers before and cut."""
-    cut, id_, th_ = fresh(docs, "__gone", "__id", "__th")
+    cut, id_, th_, all_ = fresh(docs, "__gone", "__id", "__th", "__all")
     gone = stage(removed_lines(docs, **options).groupBy("doc_id", "th").agg(F.collect_set("ln").alias(cut)), "gone")
     gone = gone.withColumnsRenamed({"doc_id": id_, "th": th_})
-    all_lines = F.split("text", "\n")
-    keep = F.filter(all_lines, lambda x, i: ~F.array_contains(cut, i))
     out = docs.join(gone.hint("shuffle_merge"), docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(th_)), "left")
+    # a column of its own, so that a text is split once
+    out = out.withColumn(all_, F.split("text", "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col(cut))
     counts = fresh(docs, "__lines", "__cut")
     names = [f"`{c}`" for c in docs.columns if c not in ("text", "n_chars")]
-    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))
-    out = out.select(*[F.col(c) for c in names], text.alias("text"), F.coalesce(F.size(all_lines), F.lit(0)).cast("long").alias(counts[0]), F.coalesce(F.size(cut), F.lit(0)).cast("long").alias(counts[1]))
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col(all_), i)), "\n"))
+    out = out.select(*[F.col(c) for c in names], text.alias("text"), F.coalesce(F.size(all_), F.lit(0)).cast("long").alias(counts[0]), F.coalesce(F.size(cut), F.lit(0)).cast("long").alias(counts[1]))
     return out
 
 
