@@ -1,18 +1,21 @@
 """Mixing sources to target weights by weighted fair queueing (DataFrame functions only).
 
-Within its source every document gets a place in a shuffle keyed by its id. Serving
-sources in proportion to their targets, a document's virtual finish time is the
-cumulative words of its source divided by the source's target; a second pass over the
-source continues the count. The pieces are ordered globally by virtual finish time and
-the order is cut where the served words reach the total budget; a document in service
-at the cut is taken in part, so each source meets its target to the word.
-
-Running sums are two-level: sums per (source, bucket of the shuffle key) give offsets,
-and only rows of one bucket meet in one task, so a hot source is split.
+Within its source every document gets a place in a shuffle keyed by its id, and is
+served in packets of up to ``packet`` words. A packet's virtual finish time is the
+cumulative words of its source, up to and with it, divided by the source's target; a
+second pass over the source continues the count. All packets are sorted by virtual
+finish time and the order is cut where the served words reach the total budget; a packet
+in service at the cut is taken in part. What a document has in the mix is what its
+packets have, and each source ends within a packet or so of its target.
+
+Running sums are two-level, both within the sources and over the global order: sums per
+bucket of the shuffle key, or range of finish times, give offsets, and only rows of one
+bucket or range meet in one task, so a hot source is split.
 
 Defined cases: a null or empty text has size 0 and nothing is taken from it; a null
-source is a source of its own, last in order; null ids shuffle as empty text; identical
-rows are interchangeable; an empty table gives an empty result; other columns pass.
+source is a source of its own, last in order; a null id is shuffled by the text instead;
+identical rows are interchangeable; an empty table gives an empty result; other columns
+pass through ``mixed_documents``, whose own columns avoid their names.
 """
 
 from __future__ import annotations
@@ -21,9 +24,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pulsegrid.llm.common import SPACE_WORDS, stage, table
+from pulsegrid.llm.common import SPACE_WORDS, fresh, stage, table
 
 WEIGHTS = (3, 1, 2)
+#: Words of a packet.
+PACKET = 256
+#: Ranges of finish times, per unit of virtual time.
+RANGES = 4096
 
 
 def n_words(text: Column) -> Column:
@@ -59,34 +66,48 @@ def _offsets(df: DataFrame, by: list[str], bucket: str, value: str) -> DataFrame
     return s.select(*by, bucket, F.coalesce(F.sum("s").over(w), F.lit(0)).alias("offset"))
 
 
-def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: size, source_size, target, taken and the place of its last piece in the mix."""
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
-    d = stage(docs.select("doc_id", "source", *keep, n_words(F.col("text")).alias("size"), key.alias("k")), "sizes")
+def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, row: Column | None = None, packet: int = PACKET) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, and of the last packet taken its ``finish`` and ``mix_end``, the words of the mix up to its end.
+
+    ``row``, an expression over the columns of ``docs``, is returned as a column too.
+    """
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce("text", F.lit(""))))
+    key = F.md5(F.concat(own, F.lit(f":{seed}")))
+    more = [] if row is None else [row.alias("row")]
+    d = stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("k"), *more), "sizes")
     d = d.withColumn("b", F.substring("k", 1, 3))
     t = targets(d, weights, share, cap)
     off = _offsets(d, ["source"], "b", "size").join(t.withColumnRenamed("source", "ts"), F.col("source").eqNullSafe(F.col("ts"))).drop("ts")
     off = off.withColumnsRenamed({"source": "os", "b": "ob"})
     within = W.partitionBy("source", "b").orderBy("k", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     d = d.withColumn("run", F.sum("size").over(within)).join(off, F.col("source").eqNullSafe(F.col("os")) & (F.col("b") == F.col("ob")))
-    start = F.col("offset") + F.col("run") - F.col("size")
-    served = lambda at: F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("target")) - at)).cast("long")
-    d = d.withColumn("first", served(start)).withColumn("again", served(F.col("source_size") + start))
-    # the virtual time at which the last served word of the document leaves
-    end = F.when(F.col("again") > 0, F.col("source_size") + start + F.col("again")).otherwise(start + F.col("first"))
-    d = d.withColumn("taken", F.col("first") + F.col("again")).withColumn("finish", F.when(F.col("taken") > 0, end / F.col("target")))
-    return d.select("doc_id", "source", *keep, "size", "source_size", "target", "taken", "finish", "k")
-
-
-def in_order(mixed: DataFrame, share: float = 1.5, buckets: int = 4096) -> DataFrame:
-    """The taken documents with ``mix_end``, the words of the mix up to and with each, in order of virtual finish time."""
-    m = stage(mixed.where("taken > 0"), "mix").withColumn("fb", F.floor(F.col("finish") * buckets))
-    off = _offsets(m, [], "fb", "taken").withColumnRenamed("fb", "ofb")
-    within = W.partitionBy("fb").orderBy("finish", "source", "k", "doc_id", "taken").rowsBetween(W.unboundedPreceding, W.currentRow)
-    m = m.withColumn("run", F.sum("taken").over(within)).join(off, F.col("fb") == F.col("ofb"))
-    budget = mixed.groupBy("source").agg(F.first("target").alias("t")).agg(F.ceil(F.sum("t")).alias("budget"))
-    m = m.withColumn("mix_end", F.col("offset") + F.col("run")).crossJoin(F.broadcast(budget))  # one row
-    return m.where(F.col("mix_end") - F.col("taken") < F.col("budget")).drop("fb", "ofb", "run", "offset", "budget", "k")
+    d = d.withColumn("start", F.col("offset") + F.col("run") - F.col("size"))
+    d = stage(d.select("doc_id", "source", "size", "source_size", "target", "start", *(["row"] if more else [])), "queued")
+    # a source and a start name a document with words
+    turn = F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / packet) - 1)).alias("j")
+    p = d.where("size > 0").select("source", "start", "size", "source_size", "target", F.explode(F.array(F.lit(0), F.lit(1))).alias("again")).select("*", turn)
+    to = F.least("size", (F.col("j") + 1) * packet)
+    p = p.select("source", "start", (to - F.col("j") * packet).alias("words"), (F.col("again") * F.col("source_size") + F.col("start") + to).alias("end"), "target")
+    p = p.withColumn("finish", F.col("end") / F.col("target")).withColumn("range", F.floor(F.col("finish") * RANGES)).drop("target")
+    p = stage(p, "packets")
+    in_range = W.partitionBy("range").orderBy("finish", F.col("source").asc_nulls_last(), "end").rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = _offsets(p, [], "range", "words").withColumnRenamed("range", "r")
+    budget = F.floor(F.lit(float(min(share, cap))) * F.sum("source_size"))
+    total = t.agg(budget.cast("long").alias("budget"))
+    p = p.withColumn("run", F.sum("words").over(in_range)).join(before, F.col("range") == F.col("r")).crossJoin(F.broadcast(total))  # one row
+    left = F.col("budget") - (F.col("offset") + F.col("run") - F.col("words"))
+    p = p.withColumn("served", F.least("words", left)).where("served > 0")
+    got = p.groupBy("source", "start").agg(F.sum("served").alias("taken"), F.max("finish").alias("finish"), F.max(F.col("offset") + F.col("run") - F.col("words") + F.col("served")).alias("mix_end"))
+    got = got.withColumnsRenamed({"source": "gs", "start": "ga"})
+    out = d.join(got, F.col("source").eqNullSafe(F.col("gs")) & (F.col("start") == F.col("ga")) & (F.col("size") > 0), "left")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "finish", "mix_end", *(["row"] if more else []))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents of which words are taken, with all columns of ``docs`` and ``taken``, ``finish`` and ``mix_end``."""
+    taken, finish, end = fresh(docs, "taken", "finish", "mix_end")
+    m = mix(docs, row=F.struct(*[F.col(f"`{c}`") for c in docs.columns]), **options).where("taken > 0")
+    return m.select("row.*", F.col("taken").alias(taken), F.col("finish").alias(finish), F.col("mix_end").alias(end))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +117,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':0') AS k
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'text:' || coalesce(text, '')) || ':0') AS k
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -110,8 +131,17 @@ f AS (SELECT level FROM l WHERE cap > w * level ORDER BY cap / w LIMIT 1),
 t AS (
   SELECT source, source_size, CASE WHEN cap <= w * level OR (SELECT count(*) FROM f) = 0 THEN cap ELSE w * (SELECT level FROM f) END AS target FROM l),
 p AS (
-  SELECT doc_id, source, size, CAST(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start FROM d)
-SELECT p.doc_id, p.size, t.source_size, t.target,
-       CAST(greatest(0, least(p.size, floor(t.target) - p.start)) + greatest(0, least(p.size, floor(t.target) - t.source_size - p.start)) AS BIGINT) AS taken
+  SELECT doc_id, source, size, CAST(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start FROM d),
+e AS (
+  SELECT p.*, t.source_size, t.target, again, unnest(CASE WHEN size > 0 THEN generate_series(0, (size - 1) // 256) ELSE [] END) AS j
+  FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source, (VALUES (0), (1)) a(again)),
+f2 AS (
+  SELECT source, start, target, least(size, (j + 1) * 256) - j * 256 AS words, again * source_size + start + least(size, (j + 1) * 256) AS stop FROM e),
+g AS (
+  SELECT source, start, words, sum(words) OVER (ORDER BY stop::DOUBLE / target, source NULLS LAST, stop ROWS UNBOUNDED PRECEDING) AS run FROM f2),
+h AS (
+  SELECT source, start, CAST(sum(greatest(0, least(words, (SELECT floor(1.5::DOUBLE * sum(source_size)) FROM s) - (run - words)))) AS BIGINT) AS taken FROM g GROUP BY ALL)
+SELECT p.doc_id, p.size, t.source_size, t.target, coalesce(h.taken, 0) AS taken
 FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+LEFT JOIN h ON h.source IS NOT DISTINCT FROM p.source AND h.start = p.start AND p.size > 0
 """
