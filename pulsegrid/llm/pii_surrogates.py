@@ -7,7 +7,9 @@ digits of a phone or card number fill the separators of each mention, letter cas
 follows the mention. A surrogate keeps its type's format: an e-mail address keeps its
 length, punctuation and top-level domain, a valid card number stays valid by its check
 digit, an address stays an address, hexadecimal secrets stay hexadecimal, a name keeps
-its script and the gender its title states.
+its script (Latin, Cyrillic, Greek or Armenian) and its gender: that which the titles
+before it state in the corpus, or none where they differ, so that one given name has one
+surrogate under every title. A valid IBAN gets valid check digits.
 
 Collision check: candidates are drawn with a counter under the key; of several entities
 with one candidate the first keeps it and the others draw again, as do those whose
@@ -17,15 +19,17 @@ value from the keyed hash, which holds nothing of the original.
 
 Defined cases: a null text stays null with 0 replacements; texts without mentions stay
 as they are; rows with null or repeated ids are treated row by row; an empty table
-gives an empty result; other columns pass through ``replace``.
+gives an empty result; other columns pass through ``replace`` as they are.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import fresh, stage, table
+from pulsegrid.llm.common import fresh, release, stage, table
 
 FEMALE = r"(?:Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|госпожа|г-жа)"
 MALE = r"(?:Mr|Herr|Señor|Sr|Monsieur|господин|г-н)"
@@ -47,14 +51,24 @@ FOUND = "|".join(f"(?:{p})" for _, p in PATTERNS)
 SYLLABLES = {
     "latin": ("ba", "de", "fi", "go", "ka", "le", "mi", "no", "pe", "ra", "sa", "te", "vi", "lo", "du", "na"),
     "cyrillic": ("ба", "де", "фи", "го", "ка", "ле", "ми", "но", "пе", "ра", "са", "те", "ви", "ло", "ду", "на"),
+    "greek": ("βα", "δε", "φι", "γο", "κα", "λε", "μι", "νο", "πε", "ρα", "σα", "τε", "ζι", "λο", "θυ", "να"),
+    "armenian": ("բա", "դե", "ֆի", "գո", "կա", "լե", "մի", "նո", "պե", "րա", "սա", "տե", "վի", "լո", "դու", "նա"),
 }
 ENDINGS = {
-    "latin": {"given_f": "lia", "given_m": "ron", "given_n": "ris", "surname": "mer"},
-    "cyrillic": {"given_f": "лия", "given_m": "рон", "given_n": "рис", "surname": "мер"},
+    "latin": {"given_f": ("lia", "nna", "tha", "ria"), "given_m": ("ron", "mas", "bert", "dor"), "given_n": ("ris", "lin", "ren", "vin"), "surname": ("mer", "son", "dal", "vik")},
+    "cyrillic": {"given_f": ("лия", "нна", "та", "рия"), "given_m": ("рон", "мас", "берт", "дор"), "given_n": ("рис", "лин", "рен", "вин"), "surname": ("мер", "дал", "вик", "лов")},
+    "greek": {"given_f": ("λια", "ννα", "θεα", "ρια"), "given_m": ("ρων", "μας", "δης", "τος"), "given_n": ("ρι", "λιν", "ρεν", "βιν"), "surname": ("μερ", "λακ", "δαλ", "βικ")},
+    "armenian": {"given_f": ("լիա", "ննա", "թա", "րիա"), "given_m": ("րոն", "մաս", "բեր", "դոր"), "given_n": ("րիս", "լին", "րեն", "վին"), "surname": ("մեր", "դալ", "վիկ", "լով")},
 }
 DIGIT_TYPES = ("phone", "card", "ssn")
 
 
+def _script(canon: Column, script: str) -> Column:
+    """Whether made-up names of ``script`` stand for a name; Latin ones for all other scripts too."""
+    others = [canon.rlike(rf"\p{{Is{x.title()}}}") for x in SYLLABLES if x != "latin"]
+    return ~reduce(lambda a, b: a | b, others) if script == "latin" else canon.rlike(rf"\p{{Is{script.title()}}}")
+
+
 def mentions(text: Column | str) -> Column:
     return F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))
 
@@ -97,6 +111,13 @@ def _luhn_sum(s: Column) -> Column:
     )
 
 
+def _mod_97(iban: Column) -> Column:
+    """The number that an IBAN stands for (from its fifth character on, then the first four; A is 10), modulo 97."""
+    digits = F.split(F.concat(F.substring(iban, 5, 40), F.substring(iban, 1, 4)), "")
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(digits, F.lit(0), lambda a, c: (a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97)
+
+
 def candidate(key: str, k: Column, canon: Column, counter: int) -> Column:
     """A surrogate canonical form drawn by the key and a counter; names gain a syllable every second round."""
     hx = F.sha2(F.concat_ws("|", F.lit(key), k, canon, F.lit(str(counter))), 512)
@@ -118,13 +139,15 @@ def candidate(key: str, k: Column, canon: Column, counter: int) -> Column:
     valid = (_luhn_sum(body) + F.expr("right(canon, 1)").cast("int")) % 10 == 0
     card = F.when(valid, F.concat(drawn, ((10 - _luhn_sum(drawn) % 10) % 10).cast("string"))).otherwise(number)
     iban = spell(lambda c, i: F.when(i < 2, c).otherwise(by_class(c, i)))
+    checked = F.concat(F.substring(iban, 1, 2), F.lpad((98 - _mod_97(F.concat(F.substring(iban, 1, 2), F.lit("00"), F.substring(iban, 5, 40)))).cast("string"), 2, "0"), F.substring(iban, 5, 40))
+    iban = F.when(_mod_97(canon) == 1, checked).otherwise(iban)
     ip = F.concat_ws(".", (byte(F.lit(0)) % 223 + 1).cast("string"), *[(byte(F.lit(2 * j)) % 256).cast("string") for j in (1, 2, 3)])
     out = F.when(k == "email", email).when(k == "iban", iban).when(k == "ip", ip).when(k == "card", card).when(k.isin("phone", "ssn"), number)
     for script in SYLLABLES:
         made = F.concat(*[F.element_at(F.array(*[F.lit(x) for x in SYLLABLES[script]]), byte(F.lit(2 * j)) % 16 + 1) for j in range(4 + counter // 2)])
-        for kd, end in ENDINGS[script].items():
-            fits = canon.rlike(r"\p{IsCyrillic}") if script == "cyrillic" else ~canon.rlike(r"\p{IsCyrillic}")
-            out = out.when((k == kd) & fits, F.concat(made, F.lit(end)))
+        for kd, ends in ENDINGS[script].items():
+            end = F.element_at(F.array(*[F.lit(x) for x in ends]), byte(F.lit(40)) % len(ends) + 1)
+            out = out.when((k == kd) & _script(canon, script), F.concat(made, end))
     return out.otherwise(secret)
 
 
@@ -133,10 +156,12 @@ def beyond(key: str, k: Column, canon: Column) -> Column:
     hx = F.sha2(F.concat_ws("|", F.lit(key), k, canon), 512)
     part = lambda i, n: F.substring(hx, i, n)
     digits = F.substring(F.translate(hx, "abcdef", "012345"), F.lit(1), F.length(canon) + 24)
-    latin, cyrillic = F.translate(part(1, 24), "0123456789", "ghijklmnop"), F.translate(part(1, 24), "0123456789abcdef", "абвгдежзиклмнопр")
+    names = F.translate(part(1, 24), "0123456789", "ghijklmnop")
+    for script, letters in (("cyrillic", "абвгдежзиклмнопр"), ("greek", "αβγδεζηθικλμνοπρ"), ("armenian", "աբգդեզէըթժիլխծկհ")):
+        names = F.when(_script(canon, script), F.translate(part(1, 24), "0123456789abcdef", letters)).otherwise(names)
     return (
         F.when(k.isin(*DIGIT_TYPES), digits)
-        .when((k == "surname") | k.startswith("given"), F.when(canon.rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(latin))
+        .when((k == "surname") | k.startswith("given"), names)
         .when(k == "email", F.concat(part(1, 24), F.lit("@"), part(25, 8), F.lit(".invalid")))
         .when(k == "iban", F.concat(F.lit("XX00"), F.upper(part(1, 24))))
         .otherwise(part(1, 24))
@@ -150,22 +175,24 @@ def surrogates(entities: DataFrame, key: str, max_rounds: int = 40) -> DataFrame
     format cannot give in ``max_rounds`` draws leaves the format, see ``beyond``.
     """
     known = stage(entities, "entities")
-    done, left, n = None, known, 0
+    done, left, n = [], known, 0
+    given = lambda: reduce(DataFrame.union, done)
     while True:
         drawn = left.withColumn("s", candidate(key, F.col("kind"), F.col("canon"), n))
         drawn = drawn.join(known.select("kind", F.col("canon").alias("s")), ["kind", "s"], "left_anti")
-        if done is not None:
-            drawn = drawn.join(done.select("kind", "s"), ["kind", "s"], "left_anti")
-        won = drawn.groupBy("kind", "s").agg(F.min("canon").alias("canon")).select("kind", "canon", "s")
-        done = stage(won if done is None else done.union(won), "surrogates")
-        left = stage(known.join(done, ["kind", "canon"], "left_anti"), "undrawn")
+        if done:
+            drawn = drawn.join(given().select("kind", "s"), ["kind", "s"], "left_anti")
+        done.append(stage(drawn.groupBy("kind", "s").agg(F.min("canon").alias("canon")).select("kind", "canon", "s"), "surrogates"))
+        before, left = left, stage(left.join(done[-1], ["kind", "canon"], "left_anti"), "undrawn")
+        if n:
+            release(before)
         n += 1
         if not left.take(1):
             break
         if n == max_rounds:
-            done = done.union(left.withColumn("s", beyond(key, F.col("kind"), F.col("canon"))))
+            done.append(left.withColumn("s", beyond(key, F.col("kind"), F.col("canon"))))
             break
-    return done.select("kind", "canon", F.col("s").alias("surrogate"))
+    return given().select("kind", "canon", F.col("s").alias("surrogate"))
 
 
 def render(k: Column, raw: Column, s: Column) -> Column:
@@ -182,7 +209,12 @@ def replacements(docs: DataFrame, key: str) -> DataFrame:
     """(mention, replacement) for all distinct mentions of all documents."""
     found = stage(docs.select(F.explode(mentions("text")).alias("m")).distinct(), "mentions")
     parts = found.select("m", F.posexplode(components(F.col("m"), kind(F.col("m")))).alias("i", "c")).select("m", "i", "c.kind", "c.raw")
-    parts = stage(parts.withColumn("canon", canonical(F.col("kind"), F.col("raw"))), "parts")
+    parts = parts.withColumn("canon", canonical(F.col("kind"), F.col("raw")))
+    # a given name is of the gender that its titles state, if they agree
+    first = parts.where(F.col("kind").startswith("given")).groupBy("canon").agg(F.count_if(F.col("kind") == "given_f").alias("f"), F.count_if(F.col("kind") == "given_m").alias("m"))
+    first = first.select(F.col("canon").alias("name"), F.when((F.col("f") > 0) == (F.col("m") > 0), "given_n").when(F.col("f") > 0, "given_f").otherwise("given_m").alias("gender"))
+    parts = parts.join(first, F.col("kind").startswith("given") & (F.col("canon") == F.col("name")), "left")
+    parts = stage(parts.select("m", "i", F.coalesce("gender", "kind").alias("kind"), "raw", "canon"), "parts")
     known = surrogates(parts.where("kind <> 'lit'").select("kind", "canon").distinct(), key)
     made = parts.join(known, ["kind", "canon"], "left").withColumn("r", render(F.col("kind"), F.col("raw"), F.col("surrogate")))
     out = made.groupBy("m").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x["r"]), "").alias("r"))
@@ -197,14 +229,12 @@ def replace(docs: DataFrame, key: str = "pulsegrid") -> DataFrame:
     r_, id_, th_, count = fresh(docs, "__r", "__id", "__th", "__replaced")
     lists = at.join(made, "m").groupBy("doc_id", "th").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x["r"]).alias(r_))
     lists = stage(lists.withColumnsRenamed({"doc_id": id_, "th": th_}), "lists")
-    if lists.count() <= 100_000:
-        lists = F.broadcast(lists)
-    out = docs.join(lists, docs["doc_id"].eqNullSafe(F.col(id_)) & (th == F.col(th_)), "left")
+    out = docs.join(lists.hint("shuffle_merge"), docs["doc_id"].eqNullSafe(F.col(id_)) & (th == F.col(th_)), "left")
     pieces = F.split("text", FOUND, -1)
     text = F.array_join(F.zip_with(pieces, F.col(r_), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    names = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")]
-    out = out.select(*names, F.when(F.col(r_).isNull(), F.col("text")).otherwise(text).alias("text"), F.coalesce(F.size(r_), F.lit(0)).cast("long").alias(count))
-    return out
+    text = F.when(F.col(r_).isNull(), F.col("text")).otherwise(text)
+    names = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*names, F.coalesce(F.size(r_), F.lit(0)).cast("long").alias(count))
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
