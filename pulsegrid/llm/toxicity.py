@@ -1,6 +1,8 @@
 """Toxicity by compression distance with two zstandard dictionaries.
 
-Both dictionaries are learned from labelled text. The ordinary one holds the commonest
+Both dictionaries are assembled from labelled text of their class (zstandard's own
+trainer, which keeps what is frequent in either class, tells the classes apart far less
+well, see the README). The ordinary one holds the commonest
 words of ordinary documents; the toxic one shares them (toxic documents hold them too)
 and ends in the words that begin with a learned mark, a word beginning met in toxic
 documents and hardly elsewhere, where the ordinary one has further ordinary words. A text is cut into windows of a few words. A window's distance is its
@@ -25,15 +27,18 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import table
 
 #: Labelled rows used for fitting at most, by class.
 MAX_TOXIC, MAX_ORDINARY = 3_000, 6_000
+#: Bytes of text of these rows at most, by class.
+MAX_BYTES = 64 << 20
 WINDOW_WORDS = 4
 LEVEL = 9
-COMMON_BYTES, MARK_BYTES = 8_000, 1_200
+COMMON_BYTES = 8_000
 #: Distances (bytes) at which windows are counted; the weights of the counts are calibrated.
 CUTS = (2, 3, 4, 5, 6)
 BATCH = 4_096
@@ -69,7 +74,7 @@ def _fill(words: list[str], limit: int) -> bytes:
 
 def find_marks(toxic: list[set[str]], ordinary: list[set[str]], cover: int = 4, min_lift: float = 20.0) -> list[str]:
     """Word beginnings that mark toxic documents: greedily those that most often raise a document's number of marks, up to ``cover``."""
-    copies = {tuple(sorted(w)[:5]): w for w in toxic}  # copies of a text count once
+    copies = {tuple(sorted(w)): w for w in toxic}  # texts of the same words count once
     docs = [_beginnings(copies[k]) for k in sorted(copies)]
     tox, ordi = Counter(p for d in docs for p in d), Counter()
     for w in ordinary:
@@ -97,8 +102,8 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, by
     marked = ranked(Counter(w for d in tox for w in d if w.startswith(marks)) if marks else Counter())
     common = ranked(Counter(x.strip(".,;:!?\"'()") for t in ordinary for x in t.lower().split()))
     common = [w for w in common if w]
-    base, special = _fill(common, COMMON_BYTES), _fill(marked, MARK_BYTES)
-    further = (" " + " ".join(common[600:1800])).encode()[: len(special)]
+    base, special = _fill(common, COMMON_BYTES), _fill(marked, sum(len(w.encode()) + 1 for w in marked))
+    further = (" " + " ".join(common[600:])).encode()[: len(special)]
     return base + further + b" ", base + special + b" "
 
 
@@ -168,14 +173,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.0
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> Model:
-    """Learn from at most ``max_toxic`` and ``max_ordinary`` labelled rows outside the held-out fold, chosen by hashed id."""
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY, max_bytes: int = MAX_BYTES) -> Model:
+    """Learn from at most ``max_toxic`` and ``max_ordinary`` labelled rows outside the held-out fold, and ``max_bytes`` of each class, chosen by hashed id."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").alias("__y"))
     ids = None
     for y, n in ((1, max_toxic), (0, max_ordinary)):
         one = known.where(F.col("__y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         ids = one if ids is None else ids.union(one)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "__y").toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "__y")
+    upto = W.partitionBy("__y").orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("__upto", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(upto)).where(F.col("__upto") <= max_bytes).drop("__upto").toPandas()
     rows = rows.sort_values(["doc_id", "__y", "text"], na_position="first")
     y = rows["__y"].to_numpy()
     texts = [t or "" for t in rows["text"]]
@@ -202,7 +209,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 s = model.score(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
