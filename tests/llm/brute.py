@@ -122,7 +122,7 @@ def decontamination(docs, items, window=10):
     return out
 
 
-def mixing(docs, weights=(3, 1, 2), share=1.5, cap=2.0):
+def mixing(docs, weights=(3, 1, 2), share=1.5, cap=2.0, packet=256):
     """{doc_id: (size, target, taken)} for (doc_id, source, text)."""
     size = {i: len(words(t)) for i, _, t in docs}
     total = defaultdict(int)
@@ -141,11 +141,17 @@ def mixing(docs, weights=(3, 1, 2), share=1.5, cap=2.0):
             target[s] = cap * total[s]
             budget -= target[s]
             del left[s]
-    out, at = {}, defaultdict(int)
-    key = lambda i: hashlib.md5(f"{'' if i is None else i}:0".encode()).hexdigest()
-    for i, s, _ in sorted(docs, key=lambda d: key(d[0])):
-        want = int(target[s] + 1e-9)
-        taken = sum(max(0, min(size[i], want - begin)) for begin in (at[s], total[s] + at[s]))
+    at, packets = defaultdict(int), []
+    key = lambda i, t: hashlib.md5(f"{'text:' + (t or '') if i is None else i}:0".encode()).hexdigest()
+    for i, s, t in sorted(docs, key=lambda d: key(d[0], d[2])):
+        for again in (0, 1):
+            for j in range(0, size[i], packet):
+                to = min(size[i], j + packet)
+                end = again * total[s] + at[s] + to
+                packets.append((end / target[s], s is None, s or "", end, to - j, i))
         at[s] += size[i]
-        out[i] = (size[i], target[s], taken)
-    return out
+    taken, left = dict.fromkeys(size, 0), int(min(share, cap) * sum(total.values()))
+    for *_, n, i in sorted(packets):
+        taken[i] += min(n, left)
+        left -= min(n, left)
+    return {i: (size[i], target[s], taken[i]) for i, s, _ in docs}
