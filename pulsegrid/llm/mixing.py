@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pulsegrid.llm.common import SPACE_WORDS, fresh, stage, table
+from pulsegrid.llm.common import SPACE_WORDS, fresh, release, stage, table
 
 WEIGHTS = (3, 1, 2)
 #: Words of a packet.
@@ -74,8 +74,8 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, sh
     own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce("text", F.lit(""))))
     key = F.md5(F.concat(own, F.lit(f":{seed}")))
     more = [] if row is None else [row.alias("row")]
-    d = stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("k"), *more), "sizes")
-    d = d.withColumn("b", F.substring("k", 1, 3))
+    sized = stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("k"), *more), "sizes")
+    d = sized.withColumn("b", F.substring("k", 1, 3))
     t = targets(d, weights, share, cap)
     off = _offsets(d, ["source"], "b", "size").join(t.withColumnRenamed("source", "ts"), F.col("source").eqNullSafe(F.col("ts"))).drop("ts")
     off = off.withColumnsRenamed({"source": "os", "b": "ob"})
@@ -83,6 +83,7 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, sh
     d = d.withColumn("run", F.sum("size").over(within)).join(off, F.col("source").eqNullSafe(F.col("os")) & (F.col("b") == F.col("ob")))
     d = d.withColumn("start", F.col("offset") + F.col("run") - F.col("size"))
     d = stage(d.select("doc_id", "source", "size", "source_size", "target", "start", *(["row"] if more else [])), "queued")
+    release(sized)
     # a source and a start name a document with words
     turn = F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / packet) - 1)).alias("j")
     p = d.where("size > 0").select("source", "start", "size", "source_size", "target", F.explode(F.array(F.lit(0), F.lit(1))).alias("again")).select("*", turn)
@@ -93,7 +94,7 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, sh
     in_range = W.partitionBy("range").orderBy("finish", F.col("source").asc_nulls_last(), "end").rowsBetween(W.unboundedPreceding, W.currentRow)
     before = _offsets(p, [], "range", "words").withColumnRenamed("range", "r")
     budget = F.floor(F.lit(float(min(share, cap))) * F.sum("source_size"))
-    total = t.agg(budget.cast("long").alias("budget"))
+    total = d.groupBy("source").agg(F.max("source_size").alias("source_size")).agg(budget.cast("long").alias("budget"))
     p = p.withColumn("run", F.sum("words").over(in_range)).join(before, F.col("range") == F.col("r")).crossJoin(F.broadcast(total))  # one row
     left = F.col("budget") - (F.col("offset") + F.col("run") - F.col("words"))
     p = p.withColumn("served", F.least("words", left)).where("served > 0")
