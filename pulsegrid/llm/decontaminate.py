@@ -137,3 +137,23 @@ def filter_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, te
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+b AS (
+  SELECT DISTINCT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark),
+i AS (SELECT item_id, w, least(10, len(w)) AS need, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM b WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, need, array_to_string(w[s:s + need - 1], ' ') AS g FROM i),
+n AS (SELECT DISTINCT need FROM iw),
+dw AS (SELECT r, need, w, unnest(range(1, len(w) - need + 2)) AS s FROM d, n WHERE len(w) >= need),
+hit AS (SELECT r, item_id, need, s FROM (SELECT r, need, s, array_to_string(w[s:s + need - 1], ' ') AS g FROM dw) x JOIN iw USING (need, g)),
+p AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(s, s + need)) AS pos FROM hit) x GROUP BY r),
+t AS (SELECT r, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM hit GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN p USING (r) LEFT JOIN t USING (r)
+"""

@@ -393,3 +393,19 @@ def one_of_each(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> D
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + 3], ' ') AS g, len(w) >= 4 AS long FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0) x),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+pr AS (SELECT a.r AS u, b.r AS v, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.long = b.long AND a.r < b.r GROUP BY a.r, b.r),
+e AS (SELECT u, v FROM pr JOIN n a ON a.r = u JOIN n b ON b.r = v WHERE 100 * m >= 85 * (a.n + b.n - m)),
+l AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+reach(u, v) AS (SELECT u, v FROM l UNION SELECT reach.u, l.v FROM reach JOIN l ON l.u = reach.v),
+c AS (SELECT reach.u AS r, min(doc_id) AS low FROM reach JOIN d ON d.r = reach.v GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, CASE WHEN d.doc_id IS NOT NULL THEN least(d.doc_id, coalesce(low, d.doc_id)) END AS component_id
+FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r)
+"""

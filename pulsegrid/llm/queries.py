@@ -22,7 +22,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": suffix_dedup.OP1_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
     "op7_warc_fixity": warc_fixity.OP7_SQL,
+    "op8_ngram_join": ngram_join.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op10_decontamination": decontaminate.OP10_SQL,
 }

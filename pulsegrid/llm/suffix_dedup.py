@@ -348,3 +348,21 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, giant: int =
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT r, doc_id, h, length(h) // 2 AS n_bytes FROM d),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS g FROM (SELECT r, h, unnest(range(n_bytes - 399)) AS i FROM n WHERE n_bytes >= 400) x),
+c AS (SELECT r, i FROM w WHERE g IN (SELECT g FROM w GROUP BY g HAVING count(*) > 1)),
+o AS (SELECT r, i, i - coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -1000) > 400 AS opens FROM c),
+q AS (SELECT r, i, sum(opens::INT) OVER (PARTITION BY r ORDER BY i) AS span FROM o),
+s AS (SELECT r, span, min(i) AS a, max(i) + 400 AS b FROM q GROUP BY r, span),
+k AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM s),
+t AS (
+  SELECT n.r, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM k JOIN n USING (r) GROUP BY n.r)
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM n LEFT JOIN t USING (r)
+"""
