@@ -62,24 +62,28 @@ def forward_mean(x: np.ndarray, width: int = 100) -> np.ndarray:
     return out
 
 
-def peak_events(activity: np.ndarray) -> list[tuple[int, int, int]]:
-    """(first, last, peak) of events around peaks of the smoothed activity."""
+def peak_events(activity: np.ndarray, width: int = 100) -> list[tuple[int, int, int]]:
+    """(first, last, peak) of events around peaks of the averaged and then smoothed activity.
+
+    Peaks of at least the mean are ``width`` apart; of two neighbours between which the
+    activity never falls under the mean the lower goes (of equals the first), and those of
+    the last ``width`` frames, where no average is taken, go too.
+    """
     if len(activity) < 11:
         return []
-    centre = lambda y: y[5:-5]
-    x = centre(smooth(forward_mean(centre(smooth(activity, 11, "hamming"))), 11, "hamming"))
+    x = smooth(forward_mean(activity, width), 11, "hamming")[5:-5]
     mean, std = x.mean(), x.std()
-    peaks = find_peaks(x, 100, mean)
-    merged: list[int] = []
-    for p in peaks:  # peaks between which the activity never falls under the mean are one
-        if merged and x[merged[-1] : p + 1].min() >= mean:
-            merged[-1] = max(merged[-1], p, key=lambda k: x[k])
-        else:
-            merged.append(p)
+    peaks = find_peaks(x, width, mean)
+    keep = np.ones(len(peaks), bool)
+    for k, (p, q) in enumerate(zip(peaks, peaks[1:])):
+        if x[p : q + 1].min() >= mean:
+            keep[k + 1 if x[p] > x[q] else k] = False
+    stop = max(len(x) - width, 0)
+    peaks = [p for p, k in zip(peaks, keep, strict=True) if k and p < stop]
     out = []
-    for k, p in enumerate(merged):
-        lo = merged[k - 1] if k else 0
-        hi = merged[k + 1] if k + 1 < len(merged) else len(x)
+    for k, p in enumerate(peaks):
+        lo = peaks[k - 1] if k else 0
+        hi = peaks[k + 1] if k + 1 < len(peaks) else stop
         under = np.flatnonzero(x[lo:p] < mean)
         first = lo + (under[-1] if len(under) else int(np.argmin(x[lo:p])) if p > lo else 0)
         under = np.flatnonzero(x[p:hi] < mean - 1.5 * std)

@@ -52,7 +52,7 @@ def order_loss(rows: list[np.ndarray], n_frames: int, low: int, high: int, compa
 
 
 def score_orders(spikes: DataFrame, recordings: DataFrame, orders: DataFrame, low: int, high: int, compat: bool = False) -> DataFrame:
-    """(recording_id, order_id, loss) of ``orders(recording_id, order_id, cells ARRAY)``, all candidates at once."""
+    """(recording_id, order_id, loss) of ``orders(recording_id, order_id, cells ARRAY)``, all candidates at once; null for recordings of ``NEXT`` cells or fewer."""
     places = orders.select("recording_id", "order_id", F.posexplode("cells").alias("place", "cell"))
     lists = spikes.groupBy("recording_id", "cell").agg(F.sort_array(F.collect_list("frame")).alias("times"))
     rows = places.join(lists, ["recording_id", "cell"], "left").join(recordings.select("recording_id", "n_frames"), "recording_id")
@@ -60,7 +60,8 @@ def score_orders(spikes: DataFrame, recordings: DataFrame, orders: DataFrame, lo
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place")
         times = [np.array([] if t is None else t, int) for t in pdf.times]
-        return pd.DataFrame({"recording_id": pdf.recording_id.iloc[:1], "order_id": pdf.order_id.iloc[:1], "loss": [order_loss(times, int(pdf.n_frames.iloc[0]), low, high, compat)]})
+        value = order_loss(times, int(pdf.n_frames.iloc[0]), low, high, compat) if len(times) > NEXT else None
+        return pd.DataFrame({"recording_id": pdf.recording_id.iloc[:1], "order_id": pdf.order_id.iloc[:1], "loss": pd.array([value], "Float64")})
 
     return rows.groupBy("recording_id", "order_id").applyInPandas(run, "recording_id string, order_id int, loss double")
 

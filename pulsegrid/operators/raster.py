@@ -111,9 +111,11 @@ def time_correlation(spikes: DataFrame, recordings: DataFrame, events: DataFrame
     span = events.join(recordings, "recording_id").select("recording_id", "event_id", lo.alias("lo"), hi.alias("hi")).where("lo < hi")
     inside = span.select("recording_id", "event_id", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("frame")).join(spikes, ["recording_id", "frame"])
     first = inside.groupBy("recording_id", "event_id", "cell").agg(F.min("frame").alias("own"))
-    other = inside.select("recording_id", "event_id", F.col("cell").alias("other"), "frame")
-    lags = first.join(other, ["recording_id", "event_id"]).where("cell <> other").select(*KEY, (F.col("own") - F.col("frame")).alias("lag"))
-    counts = lags.groupBy(*KEY, "lag").agg(F.count("*").alias("n"))
+    # spikes of an event and frame are counted once for all cells, and a cell's own are taken off
+    every = inside.groupBy("recording_id", "event_id", "frame").agg(F.count("*").alias("n"))
+    met = first.join(every, ["recording_id", "event_id"]).select(*KEY, (F.col("own") - F.col("frame")).alias("lag"), "n")
+    itself = inside.join(first, [*KEY, "event_id"]).select(*KEY, (F.col("own") - F.col("frame")).alias("lag"), F.lit(-1).cast("long").alias("n"))
+    counts = met.union(itself).groupBy(*KEY, "lag").agg(F.sum("n").alias("n")).where("n > 0")
     return counts.groupBy(*KEY).agg((F.sum(F.col("lag") * F.col("n")) / F.sum("n")).alias("avg_lag"), (F.max("n") / F.sum("n")).alias("correlation"))
 
 

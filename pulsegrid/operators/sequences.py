@@ -39,7 +39,8 @@ def beam_paths(edges: DataFrame, options: SequenceOptions, n_cells: int) -> Data
 
     A level is one join of the frontier with the transitions over a floor (mean and
     ``n_std`` deviations of the full matrix); the ``branches`` best children of a node and
-    then the ``branches`` best nodes of a start stay. Ties go to the lower cell.
+    then the ``branches`` best nodes of a start stay. Ties (costs
+    alike to nine digits) go to the lower cell.
     """
     o = options
     total = edges.groupBy("recording_id").agg(F.sum("weight").alias("s"), F.sum(F.col("weight") ** 2).alias("q"))
@@ -63,7 +64,7 @@ def beam_paths(edges: DataFrame, options: SequenceOptions, n_cells: int) -> Data
             grown = grown.where(~twin)
             grown = grown.withColumn("r", F.row_number().over(W.partitionBy("recording_id", "path").orderBy(F.desc("weight"), "dst"))).where(F.col("r") <= o.branches).drop("r")
         nxt = grown.select("recording_id", "start", F.concat("path", F.array("dst")).alias("path"), (F.col("cost") - F.log("weight")).alias("cost"), F.col("dst").alias("at"))
-        best = F.row_number().over(W.partitionBy("recording_id", "start").orderBy("cost", "path"))
+        best = F.row_number().over(W.partitionBy("recording_id", "start").orderBy(F.round("cost", 9), "path"))
         nxt = durable(nxt.withColumn("r", best).where(F.col("r") <= o.branches).drop("r"))
         if not nxt.take(1):
             break

@@ -34,8 +34,9 @@ def rolled(spikes: DataFrame, recordings: DataFrame, n: int, seed: int = 0) -> D
 
 
 def uniform(seed: int, *cols: str) -> Column:
-    """A number in [0, 1) drawn by a hash of the columns."""
-    return F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in cols]), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    """A number in [0, 1) drawn by a hash of the columns, one that any SQL engine has."""
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols])), 1, 13)
+    return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def normal(seed: int, *cols: str) -> Column:

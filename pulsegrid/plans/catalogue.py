@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import assemblies, raster, sce, signals, spatial, spectral, surrogates, trains, transitions
-from pulsegrid.plans import kernels_catalogue
+from pulsegrid.plans import kernels_catalogue, signal_catalogue
 from pulsegrid.sources import tables as S
 
 N_FRAMES = 720
@@ -401,4 +401,14 @@ def q_bosc_episodes(spark, d):
     return spectral.episodes(p, spectral.thresholds(spectral.background_fit(p), 10.0, 0.4, 3.0)).select("segment", "freq", "start_t", "end_t")
 
 
-QUERIES |= kernels_catalogue.QUERIES
+
+
+@query(ORACLES["sce_threshold"])
+def q_run_raster_threshold(spark, d):
+    s, r, _ = ev(spark, d)
+    frames = raster.runs(s).select("recording_id", "cell", F.explode(F.sequence("start_frame", "end_frame")).alias("frame"))
+    return sce.run_raster_threshold(frames, r, S_ACTIVITY).select("threshold")
+
+
+QUERIES |= kernels_catalogue.QUERIES | signal_catalogue.QUERIES
+ORACLES |= signal_catalogue.ORACLES

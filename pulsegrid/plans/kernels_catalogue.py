@@ -1,4 +1,5 @@
-"""Registered queries whose result SQL cannot express; tests compare their kernels with plain code.
+"""Registered queries on rasters and traces of nations. Those that SQL can express have theirs in
+``signal_catalogue``; for the others tests compare the kernels with plain code.
 
 Rasters and traces of nations by ship day (one recording a region) keep the per-recording
 kernels at the size they are meant for; every row of the tables takes part.
@@ -32,12 +33,17 @@ def busy_days(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     return s, S.recordings_of(s, N_DAYS), S.cells_of(s)
 
 
+def rounded(df: DataFrame, name: str = "value") -> DataFrame:
+    return df.withColumn(name, F.round(name, 6))
+
+
 OPTIONS = sequences.SequenceOptions(low=1, high=8, min_len=3, min_reps=2, branches=2, max_depth=5)
 
 
 def beam_paths(spark, d):
     s, r, _ = busy_days(spark, d)
-    return sequences.beam_paths(transitions.transitions(s, r, 1, 8), OPTIONS, 25)
+    paths = sequences.beam_paths(transitions.transitions(s, r, 1, 8), OPTIONS, 25)
+    return rounded(paths, "cost").withColumn("path", F.array_join(F.col("path").cast("array<string>"), ","))
 
 
 def sequence_search(spark, d):
@@ -119,7 +125,7 @@ def fca_merges(spark, d):
 
 def train_jitter(spark, d):
     s, _, _ = busy_days(spark, d)
-    return surrogates.uniform_jitter(s.withColumn("t", F.col("frame").cast("double")).drop("frame"), 5.0, 1)
+    return rounded(surrogates.uniform_jitter(s.withColumn("t", F.col("frame").cast("double")).drop("frame"), 5.0, 1), "t")
 
 
 def train_dither(spark, d):
@@ -128,11 +134,11 @@ def train_dither(spark, d):
 
 
 def smoothed(spark, d):
-    return signals.smooth(nation_lines(spark, d), 11, "hamming")
+    return rounded(signals.smooth(nation_lines(spark, d), 11, "hamming"))
 
 
 def savitzky_golay(spark, d):
-    return signals.savitzky_golay(nation_lines(spark, d))
+    return rounded(signals.savitzky_golay(nation_lines(spark, d)))
 
 
 def band_passed(spark, d):
@@ -140,7 +146,7 @@ def band_passed(spark, d):
 
 
 def blurred(spark, d):
-    return signals.gauss_blur(nation_lines(spark, d), 5.0)
+    return rounded(signals.gauss_blur(nation_lines(spark, d), 5.0))
 
 
 def _signal(spark, d):
@@ -149,11 +155,11 @@ def _signal(spark, d):
 
 def morlet_spectrum(spark, d):
     o = spectral.WaveletOptions(0.02, 0.4, 12)
-    return spectral.power_spectrum(spectral.morlet_power(_signal(spark, d), 1.0, o))
+    return rounded(rounded(spectral.power_spectrum(spectral.morlet_power(_signal(spark, d), 1.0, o)), "power"), "freq")
 
 
 def welch_spectrum(spark, d):
-    return spectral.welch_change(_signal(spark, d).withColumn("sample", F.col("sample").cast("int")), 30.0)
+    return rounded(rounded(spectral.welch_change(_signal(spark, d).withColumn("sample", F.col("sample").cast("int")), 30.0), "power"), "freq")
 
 
 def oscillations(spark, d):
@@ -163,7 +169,7 @@ def oscillations(spark, d):
 
 
 def component_order(spark, d):
-    return components.order_by_components(nation_lines(spark, d).where("frame >= 0"), 3, 30)
+    return components.order_by_components(nation_lines(spark, d), 3, 30)
 
 
 def latent_fit(spark, d):
@@ -179,7 +185,7 @@ def graph_colours(spark, d):
 
 def run_transitions(spark, d):
     s, r, _ = busy_days(spark, d)
-    return transitions.run_transitions(raster.runs(s), s, r, 1, 8)
+    return rounded(transitions.run_transitions(raster.runs(s), s, r, 1, 8), "mean_lag")
 
 
 QUERIES = {

@@ -164,3 +164,30 @@ def test_flood_fill():
     m = np.zeros((4, 6), bool)
     m[0, 0] = m[1, 1] = m[3, 4] = True
     assert sorted(spectral.grow_episodes(m)) == [(0, 1, 0, 1, 2), (3, 3, 4, 4, 1)]
+
+
+def test_peak_events_by_their_rules():
+    """Events of a made series, found by hand-written loops over the smoothed averages."""
+    r = np.random.default_rng(2)
+    raw = r.poisson(3, 1500).astype(float)
+    for c in (200, 500, 560, 900, 1450):
+        raw[c : c + 60] += 12
+    mean_of = [raw[i : i + 100].mean() if i < 1400 else raw[i] for i in range(1500)]
+    w = [0.54 - 0.46 * np.cos(2 * np.pi * k / 10) for k in range(11)]
+    at = lambda i: mean_of[-i if i < 0 else 2 * 1500 - 2 - i if i >= 1500 else i]
+    x = np.array([sum(w[k] * at(i + k - 5) for k in range(11)) / sum(w) for i in range(1500)])
+    peaks = K.find_peaks(x, 100, x.mean())
+    drop = set()
+    for p, q in zip(peaks, peaks[1:]):
+        if min(x[p : q + 1]) >= x.mean():
+            drop.add(q if x[p] > x[q] else p)
+    want = []
+    peaks = [p for p in peaks if p not in drop and p < 1400]
+    for k, p in enumerate(peaks):
+        lo, hi = peaks[k - 1] if k else 0, peaks[k + 1] if k + 1 < len(peaks) else 1400
+        first = max((i for i in range(lo, p) if x[i] < x.mean()), default=None)
+        first = min(range(lo, p), key=lambda i: (x[i], i)) if first is None else first
+        last = min((i for i in range(p, hi) if x[i] < x.mean() - 1.5 * x.std()), default=None)
+        last = min(range(p, hi), key=lambda i: (x[i], -i)) if last is None else last
+        want.append((first, last, p))
+    assert len(want) >= 3 and K.peak_events(raw) == want
