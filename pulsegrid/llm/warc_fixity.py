@@ -4,12 +4,14 @@ Pages are laid out as WARC records, ordered in files of ``per_file`` ids, each w
 byte offset. A leaf is the SHA-256 of a record's place (file, sequence, offset, length)
 and bytes; a node is the SHA-256 of its up to ``fan`` children in order, so every node
 stands for one ordered offset range. Replicas are compared by file roots, and only the
-children of nodes that differ are compared on the level below.
+children of nodes that differ are compared on the level below. A fault that changes a
+record's length moves all later ones of its file; so of the records that the descent ends
+at, those whose bytes stand elsewhere in the same file of the other replica are sound.
 
 Defined cases: null urls and html are empty, a null id has a file of its own (``null``);
-repeated rows are further records in a fixed order; a record that one replica lacks
-makes the rest of its file differ in place and is reported; an empty table gives an
-empty result; other columns are ignored.
+repeated rows are further records in a fixed order; a record that the other replica lacks
+is reported alone, though the rest of its file has moved; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,6 +81,19 @@ def audit(a: DataFrame, b: DataFrame, fan: int = FAN, levels: int = LEVELS) -> D
     return suspect.select(F.col("s_file").alias("file"), F.col("s_node").alias("seq"))
 
 
+def damaged(a: DataFrame, b: DataFrame, fan: int = FAN, levels: int = LEVELS) -> DataFrame:
+    """(file, seq): the records of replica ``a`` that are altered or missing in ``b``, wherever they stand in their file."""
+    bad = audit(a, b, fan, levels).withColumnsRenamed({"file": "s_file", "seq": "s_seq"})
+    files = stage(bad.select("s_file").distinct(), "files")
+    # equal records of a file are told apart by their order
+    nth = F.row_number().over(W.partitionBy("file", "record_sha256").orderBy("seq"))
+    in_files = lambda d: d.join(files, F.col("file").eqNullSafe(F.col("s_file")), "left_semi").select("file", "seq", "record_sha256", nth.alias("nth"))
+    other = in_files(b).select(F.col("file").alias("o_file"), F.col("record_sha256").alias("o_sha"), F.col("nth").alias("o_nth"))
+    same = F.col("file").eqNullSafe(F.col("o_file")) & (F.col("record_sha256") == F.col("o_sha")) & (F.col("nth") == F.col("o_nth"))
+    lost = in_files(a).join(other, same, "left_anti")
+    return stage(lost.join(bad, F.col("file").eqNullSafe(F.col("s_file")) & (F.col("seq") == F.col("s_seq")), "left_semi").select("file", "seq"), "damaged")
+
+
 def rotten(html: Column) -> Column:
     """What a second replica holds: one page in 61 lost its last character to a fault, which keeps its length."""
     return F.when((F.col("page_id") % 61 == 7) & (F.length(html) > 0), F.concat(F.expr("left(html, length(html) - 1)"), F.lit("\x00"))).otherwise(html)
@@ -88,7 +103,7 @@ def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     a = stage(leaves(pages), "replica")
     b = stage(leaves(pages, rotten(F.col("html"))), "replica")
-    bad = audit(a, b).withColumnsRenamed({"file": "b_file", "seq": "b_seq"})
+    bad = damaged(a, b).withColumnsRenamed({"file": "b_file", "seq": "b_seq"})
     out = a.join(bad, F.col("file").eqNullSafe(F.col("b_file")) & (F.col("seq") == F.col("b_seq")), "left")
     return out.select("page_id", "file", "seq", F.col("start").alias("offset"), "length", "record_sha256", F.col("b_seq").isNull().alias("intact"))
 

@@ -318,6 +318,11 @@ def test_warc_fixity(spark):
     assert warc_fixity.audit(la, la).count() == 0
     missing = warc_fixity.audit(la, warc_fixity.leaves(a.where("page_id <> 1199")))
     assert missing.count() >= 1
+    gone = warc_fixity.damaged(la, warc_fixity.leaves(a.where("page_id is null or page_id <> 100"))).join(la, ["file", "seq"]).select("page_id").collect()
+    assert [r.page_id for r in gone] == [100]
+    cut = a.withColumn("html", F.when(F.col("page_id").isin(5, 700), "<p>").otherwise(F.col("html"))).withColumn("file", F.lit("x"))
+    short = warc_fixity.damaged(la, warc_fixity.leaves(cut)).join(la, ["file", "seq"]).select("page_id").collect()
+    assert {r.page_id for r in short} == {5, 700} and warc_fixity.damaged(la, la).count() == 0
     assert warc_fixity.leaves(a.limit(0)).count() == 0
 
 
