@@ -79,10 +79,15 @@ def owner() -> Iterator[list[DataFrame]]:
         _owned.pop()
 
 
+def fits(staged: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the files of a staged table, as written, have at most ``limit`` bytes."""
+    p, fs = _file_system(staged.sparkSession, staged._staged_at)
+    return fs.getContentSummary(p).getLength() <= limit
+
+
 def bounded(staged: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A staged table, to be broadcast if its files, as written, have at most ``limit`` bytes."""
-    p, fs = _file_system(staged.sparkSession, staged._staged_at)
-    return F.broadcast(staged) if fs.getContentSummary(p).getLength() <= limit else staged
+    return F.broadcast(staged) if fits(staged, limit) else staged
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

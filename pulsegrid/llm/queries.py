@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import decontaminate, line_dedup, mixing, ngram_join, pii_surrogates, quality_rules, suffix_dedup, toxicity, url_filter, warc_fixity
+from pulsegrid.llm import decontaminate, line_dedup, mixing, ngram_join, pii_surrogates, quality_rules, source_audit, suffix_dedup, toxicity, url_filter, warc_fixity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_mixing": mixing.op9_mixing,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op12_source_audit": source_audit.op12_source_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -28,4 +29,5 @@ ORACLES: dict[str, str] = {
     "op8_ngram_join": ngram_join.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op10_decontamination": decontaminate.OP10_SQL,
+    "op12_source_audit": source_audit.OP12_SQL,
 }
