@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import decontaminate, line_dedup, mixing, ngram_join, pii_surrogates, quality_rules, source_audit, suffix_dedup, toxicity, url_filter, warc_fixity
+from pulsegrid.llm import class_lm, decontaminate, line_dedup, mixing, ngram_join, pii_surrogates, quality_rules, source_audit, suffix_dedup, token_alignment, toxicity, url_filter, warc_fixity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -19,7 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_mixing": mixing.op9_mixing,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op11_class_lm": class_lm.op11_class_lm,
     "op12_source_audit": source_audit.op12_source_audit,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
