@@ -190,7 +190,7 @@ def audited(spark, docs, tmp_path, min_docs=2):
 
 def test_audit_equals_sql_on_awkward_rows(spark, odd, tmp_path):
     got = audited(spark, odd, tmp_path, 1)
-    assert set(got.part) == {"pair", "term"} and "" in set(got.lang)
+    assert set(got.part) == {"pair", "term"} and "" in set(got.source)
 
 
 def test_audit_with_ties_repeats_and_long_lists(spark, tmp_path):
