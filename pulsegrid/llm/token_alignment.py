@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +45,14 @@ VOCABULARIES = "/opt/tokenizers"
 #: Pairs whose counts are broadcast.
 HOT = 1 << 20
 #: Chunks, and bytes of them, that a task remembers.
-KNOWN, KNOWN_BYTES = 300_000, 64 << 20
-#: A chunk may end after these characters, if a space follows.
-ENDS = re.compile(r"[\w!-~]\Z")
+KNOWN, KNOWN_BYTES = 200_000, 64 << 20
+#: A chunk ends at a space after one of these characters; texts without other spaces are cut faster.
+CUT = re.compile(r"(?<=[\w!-~]) ")
+UNCUT = re.compile(r"(?:\A|[^\w!-~]) ")
+#: Letters and marks that all Unicode versions class alike: here the faster library with A's ranks gives A's tokens.
+PLAIN = re.compile(r"[\x00-\u024f]*\Z")
+#: Fixed value: the words that byte-level vocabularies of A's kind cut a text into first.
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MARK = "▁"
 SHIFT = 15  # bits of a B id in a pair
 
@@ -75,6 +81,7 @@ class Aligner:
     """Aligned chunks of one task: for each the figures, the listed groups and the linked pairs."""
 
     def __init__(self, folder: str):
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -84,17 +91,23 @@ class Aligner:
         self.a_bytes = [b""] * self.a.get_vocab_size()
         for token, i in self.a.get_vocab().items():
             self.a_bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+        # the merges of A are in the order of its ids, so these serve as ranks
+        special = {i for i, t in self.a.get_added_tokens_decoder().items()}
+        ranks = {x: i for i, x in enumerate(self.a_bytes) if i not in special}
+        self.quick = tiktoken.Encoding("a", pat_str=WORD, mergeable_ranks=ranks, special_tokens={})
         self.b = SentencePieceProcessor(model_file=f"{folder}/piece_bpe_32k.model")
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.space = self.b.piece_to_id(MARK)
         self.whole = any(re.search(rf"[^{MARK}]{MARK}|[^ ] ", p) for p in pieces)
         self.a_len, self.b_len = (np.array([len(x) for x in t]) for t in (self.a_bytes, self.b_bytes))
+        # a token as it stands in the list of groups: before a comma, or last of its side
+        self.said = [f"{i}{c}" for i in range(len(self.a_bytes)) for c in ",|"] + [f"{i}{c}" for i in range(len(self.b_bytes)) for c in ",;"]
+        self.said_len = np.array(list(map(len, self.said)))
         self.forget()
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.ended: set[str] = set()  # those of the chunks that may stand before a space
         self.listed: list[str] = []
         self.good: list[bool] = []
         self.figures = np.zeros((0, 4), np.int64)
@@ -107,29 +120,41 @@ class Aligner:
         """The pieces of a text between the spaces that may end a chunk; each stands for a space and itself."""
         if self.whole:
             return [text]
-        out = text.split(" ")
-        known = self.ended
-        if all(map(known.__contains__, out)):
-            return out
-        # put together what may not be cut
-        cut, open_ = [], []
-        for piece in out:
-            open_.append(piece)
-            if piece in known or ENDS.search(piece):
-                cut.append(" ".join(open_) if len(open_) > 1 else piece)
-                open_ = []
-        if open_:
-            cut.append(" ".join(open_))
-        return cut
+        return CUT.split(text) if UNCUT.search(text) else text.split(" ")
+
+    def _encoded(self, new: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        quick, a = self.quick.encode_ordinary, [[]] * len(new)
+        slow = []
+        for k, c in enumerate(new):
+            if PLAIN.match(c):
+                a[k] = quick(" " + c)
+            else:
+                slow.append(k)
+        for k, e in zip(slow, self.a.encode_batch_fast([" " + new[k] for k in slow], add_special_tokens=False), strict=True):
+            a[k] = e.ids
+        b = self.b.encode(new, num_threads=1)
+        for k, c in enumerate(new):
+            if not c:  # nothing is put before nothing
+                b[k] = [self.space]
+        return a, b
+
+    def _true(self, a: list[list[int]], b: list[list[int]], new: list[str]) -> list[bool]:
+        """Whether a chunk's tokens give its own bytes on both sides."""
+        text = [(" " + c).encode() for c in new]
+        for ids, table_ in ((a, self.a_bytes), (b, self.b_bytes)):
+            mine = [b"".join(map(table_.__getitem__, x)) for x in ids]
+            if mine != text:
+                return [b"".join(map(self.a_bytes.__getitem__, x)) == b"".join(map(self.b_bytes.__getitem__, y)) == t for x, y, t in zip(a, b, text, strict=True)]
+        return [True] * len(new)
 
     def learn(self, new: list[str]) -> None:
         """Align chunks that are not known yet."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in new], add_special_tokens=False)]
-        b = self.b.encode(new, num_threads=1)
-        b = [x if c else [self.space] for x, c in zip(b, new, strict=True)]
-        good = [b"".join(map(self.a_bytes.__getitem__, x)) == b"".join(map(self.b_bytes.__getitem__, y)) == (" " + c).encode() for x, y, c in zip(a, b, new, strict=True)]
-        n_a, n_b = (np.array([len(x) if ok else 0 for x, ok in zip(t, good, strict=True)]) for t in (a, b))
-        ids_a, ids_b = (np.array([i for x, ok in zip(t, good, strict=True) if ok for i in x], np.int64) for t in (a, b))
+        a, b = self._encoded(new)
+        good = self._true(a, b, new)
+        if not all(good):
+            a, b = ([x if ok else [] for x, ok in zip(t, good, strict=True)] for t in (a, b))
+        n_a, n_b = (np.array(list(map(len, t))) for t in (a, b))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(t), np.int64, n.sum()) for t, n in ((a, n_a), (b, n_b)))
         end_a, end_b = np.cumsum(self.a_len[ids_a]), np.cumsum(self.b_len[ids_b])
         # one overlap for each stretch between two ends
         ends = np.union1d(end_a, end_b)
@@ -145,25 +170,24 @@ class Aligner:
         by_chunk = lambda x=None: np.bincount(chunk_of_group, x, len(new)).astype(np.int64)
         figures = np.stack([n_a, n_b, by_chunk(), by_chunk(per_a * per_b)], 1)
         pair, times, chunk = self._links(ids_a, ids_b, of_a, of_b, chunk_of_group)
-        self._listed(ids_a.tolist(), ids_b.tolist(), per_a.tolist(), per_b.tolist(), figures[:, 2].tolist())
+        self.listed += self._listed(ids_a, ids_b, of_a, of_b, per_a, per_b, n_a + n_b)
         self.at.update(zip(new, range(len(self.figures), len(self.figures) + len(new)), strict=True))
-        self.ended.update(c for c in new if ENDS.search(c))
         self.good += good
         self.figures = np.concatenate([self.figures, figures])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.bincount(chunk, minlength=len(new)))])
         self.pairs, self.times = np.concatenate([self.pairs, pair]), np.concatenate([self.times, times])
         self.held += sum(map(len, new)) * 8 + 16 * len(pair)
 
-    def _listed(self, a: list[int], b: list[int], per_a: list[int], per_b: list[int], groups: list[int]) -> None:
-        """The groups of each chunk as text."""
-        i = j = g = 0
-        for n in groups:
-            out = []
-            for x, y in zip(per_a[g : g + n], per_b[g : g + n], strict=True):
-                out.append(f"{','.join(map(str, a[i : i + x]))}|{','.join(map(str, b[j : j + y]))}")
-                i, j = i + x, j + y
-            self.listed.append(";".join(out))
-            g += n
+    def _listed(self, a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, per_a: np.ndarray, per_b: np.ndarray, n: np.ndarray) -> list[str]:
+        """The groups of each chunk as text, each group closed by its semicolon."""
+        behind_a, behind_b = np.cumsum(per_a), np.cumsum(per_b)
+        said = np.empty(len(a) + len(b), np.int64)
+        # a group's A tokens stand behind all tokens of earlier groups, its B tokens behind its A tokens as well
+        said[np.arange(len(a)) + (behind_b - per_b)[of_a]] = 2 * a + (np.arange(len(a)) == behind_a[of_a] - 1)
+        said[np.arange(len(b)) + behind_a[of_b]] = 2 * (len(self.a_bytes) + b) + (np.arange(len(b)) == behind_b[of_b] - 1)
+        whole = "".join(map(self.said.__getitem__, said.tolist()))
+        at = np.concatenate([[0], np.cumsum(self.said_len[said])])[np.concatenate([[0], np.cumsum(n)])].tolist()
+        return [whole[i:j] for i, j in zip(at, at[1:], strict=False)]
 
     def _links(self, a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, chunk_of_group: np.ndarray) -> tuple[np.ndarray, ...]:
         """(pair, times, chunk): different pairs of ids linked in each chunk, and how often; a group's repeated ids are multiplied, not expanded."""
@@ -197,7 +221,7 @@ def _documents(folder: str):
     return run
 
 
-def _parts(texts: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def _parts(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of some ``size`` bytes of text, or of one longer text."""
     import pyarrow.compute as pc
 
@@ -219,7 +243,7 @@ def _aligned(al: Aligner, ids: pa.Array, texts: list[str | None], row: int) -> p
         al.learn(list(new))
     at = [list(map(al.at.__getitem__, cs)) for cs in chunks]
     at = [x if all(map(al.good.__getitem__, x)) else [] for x in at]
-    hashes = [hashlib.sha256(";".join(map(al.listed.__getitem__, x)).encode()).hexdigest() if x else "" for x in at]
+    hashes = [hashlib.sha256("".join(map(al.listed.__getitem__, x))[:-1].encode()).hexdigest() if x else "" for x in at]
     # each different chunk of a document, and how often
     n = np.array(list(map(len, at)))
     key, often = np.unique(np.repeat(np.arange(len(at)), n) << 32 | np.fromiter((i for x in at for i in x), np.int64, n.sum()), return_counts=True)
