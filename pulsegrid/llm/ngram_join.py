@@ -382,13 +382,20 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, chunk: i
 
 
 def one_of_each(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` without those that have a linked row of smaller id; repeated rows stay once."""
-    c = stage(classes(docs, k, num, den), "components")
-    name = fresh(docs, "__drop")[0]
-    drop = stage(c.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "drop")
-    out = docs.join(bounded(drop), docs["doc_id"] == F.col(name), "left_anti")
-    n, ids = c.where("doc_id is not null").agg(F.count("*"), F.count_distinct("doc_id")).first()
-    return out if n == ids else out.dropDuplicates()
+    """The rows of ``docs`` without those that have a linked row of smaller id; repeated rows stay once.
+
+    Rows are told apart by their ids; where ids repeat or are null, by numbers given in
+    order of id (null last) and text, so that no row goes for the text of another.
+    """
+    rows, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    row, name = fresh(docs, "__row", "__drop")
+    own = rows == ids
+    numbered = docs if own else stage(docs.orderBy(F.asc_nulls_last("doc_id"), F.xxhash64("text")).withColumn(row, F.monotonically_increasing_id()), "rows")
+    at = "doc_id" if own else row
+    c = stage(classes(numbered.select(F.col(at).alias("doc_id"), "text"), k, num, den), "components")
+    drop = stage(c.where("component_id <> doc_id").select(F.col("doc_id").alias(name)), "drop")
+    out = numbered.join(bounded(drop), numbered[at] == F.col(name), "left_anti")
+    return out if own else out.drop(row).dropDuplicates()
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -366,6 +366,14 @@ def test_ngram_join_on_odd_rows(odd):
     assert ngram_join.classes(odd.limit(0)).count() == 0
 
 
+def test_one_of_each_keeps_other_texts_of_an_id(spark):
+    """A copy goes, a text that only shares its id with one stays, and rows without ids are judged like the others."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (5, a), (5, b), (9, c), (None, a), (None, d), (7, None), (7, ""), (9, c)]
+    left = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), k=5, num=80, den=100)
+    assert sorted(map(repr, map(tuple, left.collect()))) == sorted(map(repr, [(1, a), (5, b), (9, c), (None, d), (7, None), (7, "")]))
+
+
 def test_mixing(spark, docs, odd):
     rows = [(r.doc_id, r.source, r.text) for r in docs.collect()]
     got = {r.doc_id: (r["size"], r.target, r.taken) for r in mixing.mix(docs).collect()}
