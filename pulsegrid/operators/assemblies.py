@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from pulsegrid.operators import kernels as K
 from pulsegrid.operators.raster import islands, window_activity
 from pulsegrid.operators.surrogates import uniform
+from pulsegrid.sources.durable import durable
 
 #: Events of a recording for which the similarity matrix is held in one task.
 MAX_MATRIX = 20_000
@@ -47,27 +50,42 @@ def _matrix(cells_in_sce: np.ndarray) -> np.ndarray:
         return np.where((raw > 0) & (bottom > 0), c.T @ c / bottom, 0.0)
 
 
-def _best_run(m: np.ndarray, k: int, trials: int, rng: np.random.Generator) -> tuple[float, np.ndarray, np.ndarray]:
-    """(score, labels, mean silhouette per cluster) of the best of several runs."""
+#: Aggregates by which a trial's cluster silhouettes may be scored, beside any function of a column.
+SCORES: dict[str, Callable[[Column], Column]] = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max}
+
+
+def best_trials(silhouettes: DataFrame, by: list[str], score: str | Callable[[Column], Column] = "mean") -> DataFrame:
+    """(*by, trial, score): the trial of best score of each group; of equals the first.
+
+    ``silhouettes(*by, trial, cluster, silhouette)`` has a row for each cluster of a trial;
+    ``score`` is the name of an aggregate in ``SCORES``, or what makes one of a column, such
+    as a grouped-aggregate ``pandas_udf``. Missing silhouettes don't count, a trial without
+    any has no score.
+    """
+    f = SCORES[score] if isinstance(score, str) else score
+    known = silhouettes.where(F.col("silhouette").isNotNull() & ~F.isnan("silhouette"))
+    scored = known.groupBy(*by, "trial").agg(f(F.col("silhouette")).cast("double").alias("score")).where("score is not null")
+    top = scored.groupBy(*by).agg(F.max(F.struct("score", (-F.col("trial")).alias("t"))).alias("m"))
+    return top.select(*by, (-F.col("m.t")).alias("trial"), F.col("m.score").alias("score"))
+
+
+def _trials(m: np.ndarray, k: int, trials: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(labels, mean silhouette of each cluster) of several runs."""
     sq = (m**2).sum(1)
     d = np.sqrt(np.maximum(sq[:, None] + sq - 2 * m @ m.T, 0))
-    best = (-2.0, None, None)
     for _ in range(trials):
         labels = K.kmeans(m, k, rng)
         s = K.silhouettes(d, labels)
-        means = np.array([s[labels == j].mean() if (labels == j).any() else np.nan for j in range(k)])
-        score = float(np.nanmean(means))
-        if score > best[0]:
-            best = (score, labels, means)
-    return best
+        yield labels, np.array([s[labels == j].mean() if (labels == j).any() else np.nan for j in range(k)])
 
 
-def cluster_events(sce_cells: DataFrame, ks: list[int], n_surrogates: int = 100, trials: int = 100, percentile: float = 95, seed: int = 0) -> DataFrame:
+def cluster_events(sce_cells: DataFrame, ks: list[int], n_surrogates: int = 100, trials: int = 100, percentile: float = 95, seed: int = 0, score: str | Callable[[Column], Column] = "mean") -> DataFrame:
     """(recording_id, k, sce_id, label, cluster_silhouette, score, surrogate, significant).
 
-    For each k the run of best mean silhouette, compared with the percentile of cluster
-    silhouettes over surrogates whose rows and columns are permuted, one permutation per
-    surrogate. (k, surrogate) is the unit of work; a recording's events must fit a task.
+    For each k the run of best ``score`` over its clusters' silhouettes (see ``best_trials``),
+    compared with the percentile of cluster silhouettes over surrogates whose rows and
+    columns are permuted, one permutation per surrogate. (k, surrogate) is the unit of
+    work; a recording's events must fit a task.
     """
     lists = sce_cells.groupBy("recording_id", "sce_id").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
     grid = lists.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).withColumn("surr", F.explode(F.sequence(F.lit(-1), F.lit(n_surrogates - 1))))
@@ -87,13 +105,18 @@ def cluster_events(sce_cells: DataFrame, ks: list[int], n_surrogates: int = 100,
         if surr >= 0:
             m = m[:, rng.permutation(m.shape[1])]
             m = m[rng.permutation(m.shape[0])]
-        score, labels, means = _best_run(m, min(k, len(m)), trials, rng)
-        return pd.DataFrame({"recording_id": pdf.recording_id.iloc[0], "k": k, "surr": surr, "sce_id": pdf.sce_id, "label": labels, "cluster_silhouette": means[labels], "score": score})
+        out = list(_trials(m, min(k, len(m)), trials, rng))
+        return pd.DataFrame({"recording_id": pdf.recording_id.iloc[0], "k": k, "surr": surr, "trial": range(len(out)), "sce_ids": [pdf.sce_id.to_numpy()] * len(out), "labels": [a for a, _ in out], "silhouettes": [b for _, b in out]})
 
-    out = grid.groupBy("recording_id", "k", "surr").applyInPandas(run, "recording_id string, k int, surr int, sce_id int, label int, cluster_silhouette double, score double")
-    null = out.where("surr >= 0").select("recording_id", "k", "surr", "label", "cluster_silhouette").distinct()
-    null = null.groupBy("recording_id", "k").agg(F.percentile("cluster_silhouette", F.lit(percentile / 100)).alias("surrogate"))
-    return out.where("surr = -1").join(null, ["recording_id", "k"], "left").drop("surr").withColumn("significant", F.col("cluster_silhouette") > F.coalesce("surrogate", F.lit(-1.0)))
+    key = ["recording_id", "k", "surr"]
+    out = durable(grid.groupBy(*key).applyInPandas(run, "recording_id string, k int, surr int, trial int, sce_ids array<int>, labels array<int>, silhouettes array<double>"))
+    best = best_trials(out.select(*key, "trial", F.posexplode("silhouettes").alias("cluster", "silhouette")), key, score)
+    won = out.join(best, [*key, "trial"])
+    null = won.where("surr >= 0").select("recording_id", "k", F.explode("silhouettes").alias("v")).where("v is not null and not isnan(v)")
+    null = null.groupBy("recording_id", "k").agg(F.percentile("v", F.lit(percentile / 100)).alias("surrogate"))
+    each = won.where("surr = -1").select("recording_id", "k", "score", "silhouettes", F.explode(F.arrays_zip("sce_ids", "labels")).alias("e"))
+    each = each.select("recording_id", "k", F.col("e.sce_ids").alias("sce_id"), F.col("e.labels").alias("label"), F.get("silhouettes", F.col("e.labels")).alias("cluster_silhouette"), "score")
+    return each.join(null, ["recording_id", "k"], "left").withColumn("significant", F.col("cluster_silhouette") > F.coalesce("surrogate", F.lit(-1.0)))
 
 
 def best_k(clusters: DataFrame) -> DataFrame:
@@ -114,23 +137,24 @@ def silhouette(points: DataFrame, vector: str, label: str, key: str) -> DataFram
     return points.groupBy(F.lit(0)).applyInPandas(run, f"{key} long, {label} int, silhouette double")
 
 
-def cosine_silhouette(points: DataFrame, vector: str, label: str, key: str) -> DataFrame:
-    """(key, label, silhouette) with cosine distance, from sums per cluster: no pairs are made.
+def cosine_silhouette(points: DataFrame, vector: str, label: str, key: str, by: list[str] = ()) -> DataFrame:
+    """(*by, key, label, silhouette) with cosine distance, from sums per cluster: no pairs are made.
 
     The mean cosine distance of a point to a cluster is one less its product with the
-    cluster's mean of unit vectors.
+    cluster's mean of unit vectors. ``by`` names labellings that stand side by side.
     """
-    v = points.select(F.col(key), F.col(label), F.posexplode(vector).alias("i", "x"))
-    norm = v.groupBy(key).agg(F.sqrt(F.sum(F.col("x").cast("double") * F.col("x"))).alias("norm"))
-    u = v.join(norm, key).select(key, label, "i", (F.col("x").cast("double") / F.col("norm")).alias("x"))
-    sums = u.groupBy(F.col(label).alias("c"), "i").agg(F.sum("x").alias("s"))
-    size = points.groupBy(F.col(label).alias("c")).agg(F.count("*").alias("m"))
-    dot = u.join(sums, "i").groupBy(key, label, "c").agg(F.sum(F.col("x") * F.col("s")).alias("d")).join(size, "c")
+    by = list(by)
+    v = points.select(*by, F.col(key), F.col(label), F.posexplode(vector).alias("i", "x"))
+    norm = v.groupBy(*by, key).agg(F.sqrt(F.sum(F.col("x").cast("double") * F.col("x"))).alias("norm"))
+    u = v.join(norm, [*by, key]).select(*by, key, label, "i", (F.col("x").cast("double") / F.col("norm")).alias("x"))
+    sums = u.groupBy(*by, F.col(label).alias("c"), "i").agg(F.sum("x").alias("s"))
+    size = points.groupBy(*by, F.col(label).alias("c")).agg(F.count("*").alias("m"))
+    dot = u.join(sums, [*by, "i"]).groupBy(*by, key, label, "c").agg(F.sum(F.col("x") * F.col("s")).alias("d")).join(size, [*by, "c"])
     own = F.col("c") == F.col(label)
     dist = F.when(own, F.when(F.col("m") > 1, (F.col("m") - F.col("d")) / (F.col("m") - 1))).otherwise(1 - F.col("d") / F.col("m"))
-    ab = dot.withColumn("dist", dist).groupBy(key, label).agg(F.max(F.when(own, F.col("dist"))).alias("a"), F.min(F.when(~own, F.col("dist"))).alias("b"))
+    ab = dot.withColumn("dist", dist).groupBy(*by, key, label).agg(F.max(F.when(own, F.col("dist"))).alias("a"), F.min(F.when(~own, F.col("dist"))).alias("b"))
     s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return ab.select(key, label, s.alias("silhouette"))
+    return ab.select(*by, key, label, s.alias("silhouette"))
 
 
 def cluster_cells(sce_cells: DataFrame, labels: DataFrame, cells: DataFrame, least: int = 2) -> DataFrame:

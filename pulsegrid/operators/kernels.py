@@ -174,16 +174,21 @@ def morlet(rate: float, freq: float, cycles: float = 4, time: np.ndarray | None
     return (s * np.sqrt(np.pi)) ** -0.5 * np.exp(2j * np.pi * freq * t) * np.exp(-(t**2) / (2 * s**2))
 
 
-def morlet_power(x: np.ndarray, rate: float, freqs, cycles) -> np.ndarray:
-    """Power per (frequency, sample): one FFT of the series for all frequencies."""
+def morlet_power(x: np.ndarray, rate: float, freqs, cycles, seconds: float | None = None) -> np.ndarray:
+    """Power per (frequency, sample), of wavelets over ``seconds`` on either side (None: until they fade): one FFT of the series for all frequencies.
+
+    Power is that of the sum over samples; it is not divided by the rate.
+    """
     x = np.asarray(x, float)
-    waves = [morlet(rate, f, c) for f, c in zip(freqs, np.broadcast_to(cycles, (len(freqs),)), strict=True)]
+    reach = None if seconds is None else int(round(seconds * rate))
+    time = None if reach is None else np.arange(-reach, reach + 1) / rate
+    waves = [morlet(rate, f, c, time) for f, c in zip(freqs, np.broadcast_to(cycles, (len(freqs),)), strict=True)]
     n = next_power(len(x) + max(map(len, waves)) - 1)
     spectrum, out = np.fft.fft(x, n), np.empty((len(waves), len(x)))
     for i, w in enumerate(waves):
         y = np.fft.ifft(spectrum * np.fft.fft(w, n))
         at = (len(w) - 1) // 2
-        out[i] = np.abs(y[at : at + len(x)] / rate) ** 2
+        out[i] = np.abs(y[at : at + len(x)]) ** 2
     return out
 
 

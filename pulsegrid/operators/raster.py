@@ -84,16 +84,22 @@ def activity_sum(spikes: DataFrame, recordings: DataFrame, percent: bool = False
     return out.join(recordings, "recording_id").select("recording_id", "frame", (F.col("n_cells_active") * 100.0 / F.col("n_cells")).alias("percent"))
 
 
+def busy_windows(spikes: DataFrame, window: int, distinct: bool = True, by: list[str] = ()) -> DataFrame:
+    """(recording_id, *by, t, n): cells (or spikes) in ``[t, t + window)`` for the starts t from 0 on that see any."""
+    key = ["recording_id", *by]
+    starts = spikes.select(*key, "cell", F.explode(F.sequence(F.greatest(F.lit(0), F.col("frame") - window + 1), F.col("frame"))).alias("t")) if window > 1 else spikes.select(*key, "cell", F.col("frame").alias("t"))
+    if distinct and window > 1:
+        starts = starts.distinct()
+    return starts.groupBy(*key, "t").agg(F.count("*").alias("n"))
+
+
 def window_activity(spikes: DataFrame, recordings: DataFrame, window: int, distinct: bool = True, by: list[str] = ()) -> DataFrame:
     """Cells (or spikes) in ``[frame, frame + window)`` for each start 0 .. n_frames - window - 1 (all frames for window 1).
 
     A spike is handed to the starts that see it, so nothing is compared with everything.
     """
     key = ["recording_id", *by]
-    starts = spikes.select(*key, "cell", F.explode(F.sequence(F.greatest(F.lit(0), F.col("frame") - window + 1), F.col("frame"))).alias("t")) if window > 1 else spikes.select(*key, "cell", F.col("frame").alias("t"))
-    if distinct and window > 1:
-        starts = starts.distinct()
-    n = starts.groupBy(*key, "t").agg(F.count("*").alias("n"))
+    n = busy_windows(spikes, window, distinct, by)
     last = F.col("n_frames") if window == 1 else F.col("n_frames") - window
     spine = frames(recordings, last)
     if by:

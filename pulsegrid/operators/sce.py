@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import kernels as K
-from pulsegrid.operators.raster import activity_sum, islands, window_activity
+from pulsegrid.operators.distributions import sparse_percentile
+from pulsegrid.operators.raster import activity_sum, busy_windows, islands, window_activity
 from pulsegrid.operators.surrogates import rolled
 
 
@@ -20,20 +21,36 @@ def surrogate_activity(spikes: DataFrame, recordings: DataFrame, window: int, n_
     return window_activity(rolled(spikes, recordings, n_surrogates, seed), recordings, window, distinct, by=["surr"])
 
 
+def _threshold(spikes: DataFrame, recordings: DataFrame, window: int, n_surrogates: int, percentile: float, distinct: bool, extreme: str | None = None) -> DataFrame:
+    """A percentile of the activity of surrogate windows, or of each surrogate's largest or smallest.
+
+    ``spikes(recording_id, surr, cell, frame)``. Silent windows are counted, not stored: what
+    is left of all windows takes part as that many zeros.
+    """
+    last = F.col("n_frames") - (0 if window == 1 else window)
+    rec = recordings.select("recording_id", last.cast("long").alias("windows")).where("windows > 0")
+    held = busy_windows(spikes, window, distinct, ["surr"]).join(rec, "recording_id").where("t < windows")
+    if extreme is None:
+        counts = held.groupBy("recording_id", "n").agg(F.count("*").alias("times"))
+        totals = rec.select("recording_id", (F.col("windows") * n_surrogates).alias("total"))
+    else:
+        per = held.groupBy("recording_id", "surr").agg(F.max("n").alias("most"), F.min("n").alias("least"), F.count("*").alias("busy"), F.first("windows").alias("windows"))
+        n = F.col("most") if extreme == "max" else F.when(F.col("busy") < F.col("windows"), 0).otherwise(F.col("least"))
+        counts = per.select("recording_id", n.cast("long").alias("n")).where("n > 0").groupBy("recording_id", "n").agg(F.count("*").alias("times"))
+        totals = rec.select("recording_id", F.lit(n_surrogates).cast("long").alias("total"))
+    # a recording without any spike has no surrogates
+    totals = totals.join(spikes.select("recording_id").distinct(), "recording_id", "left_semi")
+    return sparse_percentile(counts, "n", "times", totals, ["recording_id"], percentile)
+
+
 def detection_threshold(spikes: DataFrame, recordings: DataFrame, window: int = 1, n_surrogates: int = 100, percentile: float = 95, use_max: bool = False, seed: int = 0, distinct: bool = False) -> DataFrame:
     """(recording_id, threshold): exact percentile of surrogate activity, or of each surrogate's largest."""
-    a = surrogate_activity(spikes, recordings, window, n_surrogates, seed, distinct)
-    if use_max:
-        a = a.groupBy("recording_id", "surr").agg(F.max("n").alias("n"))
-    return a.groupBy("recording_id").agg(F.percentile("n", F.lit(percentile / 100)).alias("threshold"))
+    return _threshold(rolled(spikes, recordings, n_surrogates, seed), recordings, window, n_surrogates, percentile, distinct, "max" if use_max else None)
 
 
 def low_activity_threshold(spikes: DataFrame, recordings: DataFrame, window: int = 1, n_surrogates: int = 100, percentile: float = 5, use_min: bool = False, seed: int = 0) -> DataFrame:
     """The mirror: a low percentile, or that of each surrogate's smallest activity."""
-    a = surrogate_activity(spikes, recordings, window, n_surrogates, seed)
-    if use_min:
-        a = a.groupBy("recording_id", "surr").agg(F.min("n").alias("n"))
-    return a.groupBy("recording_id").agg(F.percentile("n", F.lit(percentile / 100)).alias("threshold"))
+    return _threshold(rolled(spikes, recordings, n_surrogates, seed), recordings, window, n_surrogates, percentile, False, "min" if use_min else None)
 
 
 def train_threshold(trains: DataFrame, window: float, n_surrogates: int = 100, percentile: float = 95, shift: int = 20, lo: float = 0, hi: float = 1000, seed: int = 0, low: bool = False, extreme: bool = False) -> DataFrame:
@@ -43,10 +60,7 @@ def train_threshold(trains: DataFrame, window: float, n_surrogates: int = 100, p
     s = surrogate_trains(trains, n_surrogates, "shift", shift, lo, hi, seed)
     spikes = s.select("recording_id", "surr", "cell", F.floor(F.col("t") - lo).cast("int").alias("frame")).distinct()
     rec = trains.select("recording_id").distinct().withColumn("n_frames", F.lit(int(hi - lo)))
-    a = window_activity(spikes, rec, int(window), True, by=["surr"])
-    if extreme:
-        a = a.groupBy("recording_id", "surr").agg((F.min("n") if low else F.max("n")).alias("n"))
-    return a.groupBy("recording_id").agg(F.percentile("n", F.lit(percentile / 100)).alias("threshold"))
+    return _threshold(spikes, rec, int(window), n_surrogates, percentile, True, ("min" if low else "max") if extreme else None)
 
 
 def run_raster_threshold(run_frames: DataFrame, recordings: DataFrame, n_surrogates: int = 1000, percentile: float = 95, seed: int = 0) -> DataFrame:
@@ -54,13 +68,13 @@ def run_raster_threshold(run_frames: DataFrame, recordings: DataFrame, n_surroga
     return detection_threshold(run_frames, recordings, 1, n_surrogates, percentile, seed=seed)
 
 
-def detect(spikes: DataFrame, recordings: DataFrame, window: int, thresholds: DataFrame, only_peak: bool = False, keep_open: bool = True) -> DataFrame:
+def detect(spikes: DataFrame, recordings: DataFrame, window: int, thresholds: DataFrame, only_peak: bool = False, keep_open: bool = True, distinct: bool = True) -> DataFrame:
     """(recording_id, sce_id, start_frame, end_frame, peak): windows at or over the threshold.
 
-    An event of windows s .. e spans frames s .. e + window - 1. ``only_peak`` reduces it to
+    A window counts its cells, or without ``distinct`` the sum of its spikes. An event of windows s .. e spans frames s .. e + window - 1. ``only_peak`` reduces it to
     the first frame of largest activity; ``keep_open`` keeps an event open at the last window.
     """
-    a = (activity_sum(spikes, recordings).withColumnRenamed("n_cells_active", "n") if window == 1 else window_activity(spikes, recordings, window))
+    a = activity_sum(spikes, recordings).withColumnRenamed("n_cells_active", "n") if window == 1 and distinct else window_activity(spikes, recordings, window, distinct)
     over = a.join(F.broadcast(thresholds), "recording_id").where("n >= threshold")  # one row a recording
     runs = islands(over, ["recording_id"])
     if not keep_open:
@@ -157,8 +171,10 @@ def detect_peaks(spikes: DataFrame, recordings: DataFrame) -> DataFrame:
 def trace_transients(traces: DataFrame, half: int = 40, factor: float = 3.0, refractory: int = 10, speed: DataFrame | None = None, speed_threshold: float | None = None, step: int = 5) -> DataFrame:
     """(recording_id, cell, frame): frames whose value stands out of the running median by ``factor`` interquartile ranges.
 
-    The running median must lie near the trace's own, frames are every ``step``-th one (or
-    all of low speed), and no transient may have come in the last ``refractory`` frames.
+    A frame is judged if its whole window, ``half`` frames before it and ``half - 1`` after,
+    lies inside the trace: from frame ``half + 1`` on every ``step``-th one (with ``speed``, all
+    of low speed). The running median must lie near the trace's own, and no transient may
+    have come in the last ``refractory`` frames.
     """
     from pyspark.sql import Window as W
 
@@ -167,12 +183,13 @@ def trace_transients(traces: DataFrame, half: int = 40, factor: float = 3.0, ref
     q = lambda p, w=None: F.percentile("value", F.lit(p)).over(w) if w is not None else F.percentile("value", F.lit(p))
     own = traces.groupBy(*key).agg(q(0.5).alias("m_all"), (q(0.75) - q(0.25)).alias("iqr_all"), F.max("frame").alias("last"))
     local = traces.withColumn("m", q(0.5, around)).withColumn("iqr", q(0.75, around) - q(0.25, around)).join(own, key)
-    hit = local.where("value - m > %r * iqr and m < m_all + iqr_all / 2 and frame < last" % factor)
+    whole = F.col("frame").between(half + 1, F.col("last") - half)
+    hit = local.where(whole).where("value - m > %r * iqr and m < m_all + iqr_all / 2" % factor)
     if speed is not None:
         slow = speed.where(F.col("speed") < F.lit(speed_threshold if speed_threshold is not None else 1.0)).select("recording_id", "frame")
         hit = hit.join(slow, ["recording_id", "frame"])
     else:
-        hit = hit.where(F.col("frame") % step == 0)
+        hit = hit.where((F.col("frame") - half - 1) % step == 0)
 
     def spaced(pdf: pd.DataFrame) -> pd.DataFrame:
         keep, frames = [], np.sort(pdf.frame.to_numpy())

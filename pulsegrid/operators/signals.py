@@ -75,7 +75,19 @@ def savitzky_golay(samples: DataFrame, width: int = 5, order: int = 3) -> DataFr
 
 
 def bleaching_correction(samples: DataFrame) -> DataFrame:
-    return per_series(samples, K.bleaching)
+    """Each series over its own cubic fit by place.
+
+    The fit is a sum of the four polynomials that are orthogonal on places 0 .. n - 1, so it
+    takes four sums a series. A series of under four samples fits itself with what degrees it has.
+    """
+    order, whole = W.partitionBy(*KEY).orderBy("frame"), W.partitionBy(*KEY)
+    s = samples.select(*KEY, "frame", "value", (F.row_number().over(order) - 1).alias("__i"), F.count("*").over(whole).cast("double").alias("__n"))
+    u, n = F.col("__i") - (F.col("__n") - 1) / 2, F.col("__n")
+    parts = [F.lit(1.0), u, u * u - (n * n - 1) / 12, u * u * u - u * (3 * n * n - 7) / 20]
+    s = s.select("*", *[p.alias(f"__p{k}") for k, p in enumerate(parts)])
+    sums = s.groupBy(*KEY).agg(*[f.alias(f"__{c}{k}") for k in range(4) for c, f in (("v", F.sum(F.col("value") * F.col(f"__p{k}"))), ("s", F.sum(F.col(f"__p{k}") ** 2)))])
+    fit = sum((F.when(F.col("__n") > k, F.col(f"__p{k}") * F.col(f"__v{k}") / F.col(f"__s{k}")).otherwise(0.0) for k in range(4)), F.lit(0.0))
+    return s.join(sums, KEY).select(*KEY, "frame", (F.col("value") / fit).alias("value"))
 
 
 def band_pass(samples: DataFrame, low: float, high: float, rate: float, order: int = 5) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import kernels as K
+from pulsegrid.operators.connected import components
+from pulsegrid.sources.durable import durable
 
 
 @dataclass(frozen=True)
@@ -44,6 +46,8 @@ class WaveletOptions:
     log_freqs: bool = False
     cycles: float = 6.0
     max_cycles: float | None = None
+    #: half the length of the wavelets, or None for as long as they need to fade
+    wavelet_seconds: float | None = 2.0
     derivative: bool = False
     baseline: str | None = None
     median_threshold: bool = False
@@ -59,9 +63,11 @@ class WaveletOptions:
         return np.linspace(self.min_freq, self.max_freq, self.n_freqs)
 
     def cycle_counts(self) -> np.ndarray:
-        """Fixed cycles, or growing ones up to ``max_cycles``."""
+        """Fixed cycles, or ones that grow up to ``max_cycles`` the way the frequencies do."""
         if self.max_cycles is None:
             return np.full(self.n_freqs, self.cycles)
+        if self.log_freqs:
+            return np.logspace(np.log10(self.cycles), np.log10(self.max_cycles), self.n_freqs)
         return np.linspace(self.cycles, self.max_cycles, self.n_freqs)
 
     def bands_in_range(self) -> list[Band]:
@@ -81,7 +87,7 @@ def morlet_power(signal: DataFrame, rate: float, options: WaveletOptions) -> Dat
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("sample")["value"].to_numpy(float)
-        p = K.morlet_power(np.diff(x, prepend=x[:1]) if options.derivative else x, rate, freqs, cycles)
+        p = K.morlet_power(np.diff(x, prepend=x[:1]) if options.derivative else x, rate, freqs, cycles, options.wavelet_seconds)
         i, t = np.indices(p.shape)
         return pd.DataFrame({"segment": pdf.segment.iloc[0], "freq_idx": i.ravel(), "freq": freqs[i.ravel()], "t": t.ravel(), "power": p.ravel()})
 
@@ -168,39 +174,42 @@ def band_episodes(power: DataFrame, limits: DataFrame, band: Band, rate: float,
     return r.where(F.col("end_t") - F.col("start_t") > band.min_duration * rate).select("segment", low.alias("low"), (low + step).alias("high"), "start_t", "end_t")
 
 
-def grow_episodes(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(first row, last row, first column, last column, size) of the 8-connected regions of a boolean map."""
-    seen, out = np.zeros(mask.shape, bool), []
-    for start in zip(*np.nonzero(mask), strict=True):
-        if seen[start]:
-            continue
-        stack, cells = [start], []
-        seen[start] = True
-        while stack:
-            i, j = stack.pop()
-            cells.append((i, j))
-            for a in range(max(i - 1, 0), min(i + 2, mask.shape[0])):
-                for b in range(max(j - 1, 0), min(j + 2, mask.shape[1])):
-                    if mask[a, b] and not seen[a, b]:
-                        seen[a, b] = True
-                        stack.append((a, b))
-        r, c = np.array(cells).T
-        out.append((int(r.min()), int(r.max()), int(c.min()), int(c.max()), len(cells)))
-    return out
+#: Samples of a stretch by which runs of neighbouring frequencies find each other.
+STRETCH = 256
 
 
-def region_episodes(power: DataFrame, limits: DataFrame, band: Band, rate: float) -> DataFrame:
-    """(segment, low, high, start_t, end_t): connected regions of the spectrogram over the threshold that last long enough."""
-    kind = power.schema["segment"].dataType.simpleString()
-    p = power.where(F.col("freq").between(band.low, band.high)).join(limits, "segment").select("segment", "freq", "t", (F.col("power") > F.col("threshold")).alias("on"))
+def regions(on: DataFrame) -> DataFrame:
+    """(segment, region, first_row, last_row, start_t, end_t, size): the 8-connected regions of ``on(segment, row, t)``.
+
+    Runs along time are the nodes; runs of neighbouring rows that touch, corners included,
+    are the edges, found by stretches of time that both reach; a region is a component.
+    ``region`` numbers a segment's regions by their first sample and row; ``end_t`` is the
+    first sample after. No map of a segment is laid out.
+    """
+    key = ["segment", "row"]
+    order = W.partitionBy(*key).orderBy("t")
+    runs = on.select(*key, "t").distinct().withColumn("g", F.col("t") - F.row_number().over(order)).groupBy(*key, "g").agg(F.min("t").alias("a"), F.max("t").alias("z"))
+    runs = durable(runs.select(F.struct("segment", "a", "row").alias("run"), *key, "a", "z"))
+    at = lambda lo, hi: F.explode(F.sequence(F.floor(lo / STRETCH), F.floor(hi / STRETCH)))
+    low = runs.select("segment", (F.col("row") + 1).alias("row"), F.col("run").alias("u"), F.col("a").alias("ua"), F.col("z").alias("uz"), at(F.col("a") - 1, F.col("z") + 1).alias("stretch"))
+    high = runs.select(*key, F.col("run").alias("v"), F.col("a").alias("va"), F.col("z").alias("vz"), at(F.col("a"), F.col("z")).alias("stretch"))
+    touch = low.join(high, [*key, "stretch"]).where("va <= uz + 1 and vz >= ua - 1").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
+    joined = runs.join(components(touch), F.col("run") == F.col("node"), "left").withColumn("root", F.coalesce("root", "run"))
+    out = joined.groupBy("segment", "root").agg(
+        F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.min("a").alias("start_t"), (F.max("z") + 1).cast("int").alias("end_t"), F.sum(F.col("z") - F.col("a") + 1).alias("size")
+    )
+    number = F.row_number().over(W.partitionBy("segment").orderBy("root")) - 1
+    return out.select("segment", number.cast("int").alias("region"), "first_row", "last_row", "start_t", "end_t", "size")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot(index="freq", columns="t", values="on").fillna(False)
-        f, t = m.index.to_numpy(), m.columns.to_numpy()
-        found = [(f[a], f[b], t[c], t[d] + 1) for a, b, c, d, _ in grow_episodes(m.to_numpy(bool)) if t[d] + 1 - t[c] > band.min_duration * rate]
-        return pd.DataFrame([(pdf.segment.iloc[0], *x) for x in found], columns=["segment", "low", "high", "start_t", "end_t"])
 
-    return p.groupBy("segment").applyInPandas(run, f"segment {kind}, low double, high double, start_t int, end_t int")
+def region_episodes(power: DataFrame, limits: DataFrame, band: Band, rate: float) -> DataFrame:
+    """(segment, low, high, start_t, end_t): connected regions of the spectrogram over the threshold that last long enough."""
+    p = power.where(F.col("freq").between(band.low, band.high))
+    freqs = p.select("segment", "freq").distinct().withColumn("row", F.row_number().over(W.partitionBy("segment").orderBy("freq")))
+    over = p.join(limits, "segment").where("power > threshold").join(freqs, ["segment", "freq"]).select("segment", "row", "t")
+    r = regions(over).where(F.col("end_t") - F.col("start_t") > band.min_duration * rate)
+    name = lambda row, f: freqs.select("segment", F.col("row").alias(row), F.col("freq").alias(f))
+    return r.join(name("first_row", "low"), ["segment", "first_row"]).join(name("last_row", "high"), ["segment", "last_row"]).select("segment", "low", "high", "start_t", "end_t")
 
 
 def keep_larger(found: DataFrame, overlap: float = 0.5, gap: float = 2.0) -> DataFrame:

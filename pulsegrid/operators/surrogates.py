@@ -63,14 +63,13 @@ def dithered_fast(trains: DataFrame, dither: int = 20, lo: float = 0, hi: float
 
 
 def randomized(trains: DataFrame, lo: int = 0, hi: int = 1000, seed: int = 0) -> DataFrame:
-    """Each train replaced by as many distinct times of the range."""
+    """Each train replaced by as many distinct whole-number times of the range, those of smallest draw."""
     key = _surr(trains)
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = _rng(pdf, key, seed)
-        return pdf.assign(t=np.sort(rng.choice(np.arange(lo, hi), len(pdf), replace=False)).astype(pdf.t.dtype))
-
-    return trains.groupBy(*key).applyInPandas(draw, trains.schema)
+    n = trains.groupBy(*key).agg(F.count("*").alias("__n"))
+    every = n.withColumn("__at", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))))
+    place = F.row_number().over(W.partitionBy(*key).orderBy(uniform(seed, *key, "__at"), "__at"))
+    kept = every.withColumn("__place", place).where("__place <= __n")
+    return kept.withColumn("t", F.col("__at").cast(trains.schema["t"].dataType)).select(*[c for c in trains.columns if c in (*key, "t")])
 
 
 def _rng(pdf: pd.DataFrame, key: list[str], seed: int) -> np.random.Generator:

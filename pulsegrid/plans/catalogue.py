@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import assemblies, raster, sce, signals, spatial, spectral, surrogates, trains, transitions
-from pulsegrid.plans import kernels_catalogue, signal_catalogue
+from pulsegrid.operators import assemblies, distributions, raster, sce, signals, spatial, spectral, surrogates, sweeps, trains, transitions
+from pulsegrid.plans import kernels_catalogue, shape_catalogue, signal_catalogue
 from pulsegrid.sources import tables as S
 
 N_FRAMES = 720
@@ -321,6 +321,61 @@ def q_cluster_activations(spark, d):
     return assemblies.activations(s, r, c.withColumn("cluster", F.col("cell") % 30), 12).select("cluster", "start_frame", "end_frame")
 
 
+#: Activations of clusters of cells, 30 clusters and windows of 12 frames.
+ACT = f"act AS ({ORACLES['cluster_activations']})"
+SEGMENTS = """ch AS (SELECT frame, n, CASE WHEN n IS DISTINCT FROM lag(n) OVER (ORDER BY frame) THEN 1 ELSE 0 END AS c FROM f),
+sg AS (SELECT frame, n, sum(c) OVER (ORDER BY frame) AS g FROM ch), nc AS (SELECT count(DISTINCT CAST(user_id AS INTEGER) % 30) AS n_items FROM events)"""
+
+
+def _activations(spark, d):
+    """Activations of 30 clusters of cells, and how many clusters there are."""
+    s, r, c = ev(spark, d)
+    clusters = c.withColumn("cluster", F.col("cell") % 30)
+    return assemblies.activations(s, r, clusters, 12), r, clusters.groupBy("recording_id").agg(F.count_distinct("cluster").alias("n_items"))
+
+
+@query(f"""WITH {ACT}, {FRAMES}, f AS (SELECT frame, count(DISTINCT cluster) AS n FROM frames LEFT JOIN act ON frame BETWEEN start_frame AND end_frame GROUP BY frame), {SEGMENTS}
+SELECT min(frame) AS start_frame, max(frame) AS end_frame, n, round(n * 100.0 / n_items, 6) AS percent FROM sg, nc GROUP BY g, n, n_items""")
+def q_active_clusters(spark, d):
+    a, r, n = _activations(spark, d)
+    return sweeps.open_share(a, r, n).select("start_frame", "end_frame", "n", F.round("percent", 6).alias("percent"))
+
+
+@query(f"""WITH {ACT}, {FRAMES}, f AS (SELECT frame, count(DISTINCT cluster) AS n FROM frames LEFT JOIN act ON start_frame < frame + 24 AND end_frame >= frame WHERE frame < {N_FRAMES - 24} GROUP BY frame), {SEGMENTS},
+e AS (SELECT min(frame) AS start_frame, max(frame) AS end_frame, n FROM sg GROUP BY g, n)
+SELECT start_frame, CASE WHEN end_frame = {N_FRAMES - 25} THEN {N_FRAMES - 1} ELSE end_frame END AS end_frame, n, round(n * 100.0 / n_items, 6) AS percent FROM e, nc""")
+def q_active_clusters_windowed(spark, d):
+    a, r, n = _activations(spark, d)
+    return sweeps.open_share(a, r, n, window=24).select("start_frame", "end_frame", "n", F.round("percent", 6).alias("percent"))
+
+
+PATTERNS = f"""{SCE1}, m AS (SELECT DISTINCT sce_id, cell FROM sce JOIN ev ON ev.frame BETWEEN start_frame AND end_frame),
+pa AS (SELECT sce_id, cell % 6 AS cluster FROM m GROUP BY ALL HAVING count(DISTINCT cell) * 6 >= (SELECT count(DISTINCT cell) FROM ev) * 0.15),
+pt AS (SELECT sce_id, string_agg(CAST(cluster AS VARCHAR), ',' ORDER BY cluster) AS pattern FROM pa GROUP BY sce_id),
+fq AS (SELECT coalesce(pattern, '') AS pattern, count(*) AS n, count(*) * 100.0 / (SELECT count(*) FROM sce) AS percent FROM sce LEFT JOIN pt USING (sce_id) GROUP BY 1)"""
+
+
+def _patterns(spark, d):
+    """Patterns of six clusters of cells over the events; a cluster takes part with 15 % of a sixth of the cells or more."""
+    e, s, _, c = _sce1(spark, d)
+    least = c.groupBy("recording_id").agg((F.count("*") * 0.15 / 6).alias("least"))
+    n = sce.sce_cells(s, e).withColumn("cluster", F.col("cell") % 6).groupBy("recording_id", "sce_id", "cluster").agg(F.count_distinct("cell").alias("n"))
+    return distributions.pattern_frequency(n.join(least, "recording_id").where("n >= least"), e)
+
+
+@query(f"WITH {PATTERNS} SELECT pattern, CAST(CASE WHEN pattern = '' THEN 0 ELSE len(string_split(pattern, ',')) END AS INTEGER) AS n_clusters, n, round(percent, 6) AS percent FROM fq")
+def q_pattern_frequency(spark, d):
+    return _patterns(spark, d).select(F.array_join(F.col("pattern").cast("array<string>"), ",").alias("pattern"), "n_clusters", "n", F.round("percent", 6).alias("percent"))
+
+
+@query(f"""WITH {PATTERNS}, g AS (SELECT count(*) AS total, min(percent) AS lo, max(percent) AS hi FROM fq), e AS (SELECT total, hi, CAST(unnest(range(10)) AS INTEGER) AS bin, CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS l, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS h FROM g),
+b AS (SELECT bin, total, l + bin * ((h - l) / 10) AS a, CASE WHEN bin = 9 THEN h ELSE l + (bin + 1) * ((h - l) / 10) END AS z FROM e)
+SELECT bin, round(a, 6) AS left_edge, round(z, 6) AS right_edge, count(percent) AS n, round(count(percent) * 100.0 / total, 6) AS percent FROM b LEFT JOIN fq ON percent >= a AND (percent < z OR (bin = 9 AND percent <= z)) GROUP BY bin, a, z, total""")
+def q_pattern_histogram(spark, d):
+    out = distributions.histogram(_patterns(spark, d), "percent", bins=10)
+    return out.select("bin", F.round("left_edge", 6).alias("left_edge"), F.round("right_edge", 6).alias("right_edge"), "n", F.round("percent", 6).alias("percent"))
+
+
 #: A functional clustering compares all pairs of one group of cells: the nations of one region are a group.
 GROUPED = "tg AS (SELECT CAST(n_regionkey AS INTEGER) AS g, CAST(s_nationkey AS INTEGER) AS cell, CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS INTEGER) AS frame FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL)"
 
@@ -410,5 +465,5 @@ def q_run_raster_threshold(spark, d):
     return sce.run_raster_threshold(frames, r, S_ACTIVITY).select("threshold")
 
 
-QUERIES |= kernels_catalogue.QUERIES | signal_catalogue.QUERIES
-ORACLES |= signal_catalogue.ORACLES
+QUERIES |= kernels_catalogue.QUERIES | signal_catalogue.QUERIES | shape_catalogue.QUERIES
+ORACLES |= signal_catalogue.ORACLES | shape_catalogue.ORACLES

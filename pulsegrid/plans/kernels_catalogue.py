@@ -153,9 +153,13 @@ def _signal(spark, d):
     return nation_lines(spark, d).select(F.col("cell").alias("segment"), F.col("frame").alias("sample"), "value")
 
 
+#: Samples a second, as the days of a nation's shipments are read as a signal, and the frequencies explored.
+RATE = 30.0
+WAVES = spectral.WaveletOptions(0.6, 12, 12, cycles=4, max_cycles=8, log_freqs=True)
+
+
 def morlet_spectrum(spark, d):
-    o = spectral.WaveletOptions(0.02, 0.4, 12)
-    return rounded(rounded(spectral.power_spectrum(spectral.morlet_power(_signal(spark, d), 1.0, o)), "power"), "freq")
+    return rounded(rounded(spectral.power_spectrum(spectral.morlet_power(_signal(spark, d), RATE, WAVES)), "power"), "freq")
 
 
 def welch_spectrum(spark, d):
@@ -163,9 +167,9 @@ def welch_spectrum(spark, d):
 
 
 def oscillations(spark, d):
-    o = spectral.WaveletOptions(0.02, 0.4, 12)
-    raw = spectral.morlet_power(_signal(spark, d), 1.0, o)
-    return spectral.episodes(raw, spectral.thresholds(spectral.background_fit(raw), 1.0))
+    raw = spectral.morlet_power(_signal(spark, d), RATE, WAVES)
+    found = spectral.episodes(raw, spectral.thresholds(spectral.background_fit(raw), RATE, 0.8, 2.0))
+    return rounded(found, "freq")
 
 
 def component_order(spark, d):

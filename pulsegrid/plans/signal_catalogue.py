@@ -100,17 +100,26 @@ f AS (SELECT cell, s, k, sum(v * cos(2 * pi() * k * j / 240)) AS re, sum(v * sin
 SELECT cell AS segment, round(k / 8.0, 6) AS freq, round(avg(re * re + im * im) * CASE WHEN k IN (0, 120) THEN 1 ELSE 2 END / (30 * (SELECT sum(power(0.5 - 0.5 * cos(2 * pi() * j / 60), 2)) FROM j)), 6) AS power
 FROM f GROUP BY cell, k"""
 
-ORACLES["morlet_spectrum"] = f"""WITH {SERIES}, f AS (SELECT k, 0.02 + k * 0.38 / 11 AS freq, 6 / (2 * pi() * (0.02 + k * 0.38 / 11)) AS s FROM (SELECT unnest(range(12)) AS k)),
-l AS (SELECT *, CAST(ceil(8 * s + 0.5) AS BIGINT) AS n FROM f), q AS (SELECT k, freq, s, (n - 1) // 2 AS mid, unnest(range(n)) AS q FROM l),
-w AS (SELECT k, freq, q - mid AS off, power(s * sqrt(pi()), -0.5) * exp(-power(q - 4 * s, 2) / (2 * s * s)) AS a, 2 * pi() * freq * (q - 4 * s) AS phase FROM q),
-c AS (SELECT y.cell, freq, y.i + off AS t, sum(value * a * cos(phase)) AS re, sum(value * a * sin(phase)) AS im FROM y, w WHERE y.i + off BETWEEN 0 AND n - 1 GROUP BY ALL)
-SELECT cell AS segment, round(freq, 6) AS freq, round(avg(re * re + im * im), 6) AS power FROM c GROUP BY ALL"""
+#: Power of twelve frequencies from 0.6 to 12 and of 4 to 8 cycles, both growing by factors; wavelets last two seconds on either side, at 30 samples a second.
+WAVES = f"""{SERIES}, f AS (SELECT k, 0.6 * power(20.0, k / 11.0) AS freq, 4 * power(2.0, k / 11.0) / (2 * pi() * 0.6 * power(20.0, k / 11.0)) AS s FROM (SELECT unnest(range(12)) AS k)),
+q AS (SELECT k, freq, s, unnest(range(-60, 61)) AS off FROM f),
+w AS (SELECT k, freq, off, power(s * sqrt(pi()), -0.5) * exp(-power(off / 30.0, 2) / (2 * s * s)) AS a, 2 * pi() * freq * off / 30.0 AS phase FROM q),
+c AS (SELECT y.cell, k, any_value(freq) AS freq, y.i + off AS t, sum(value * a * cos(phase)) AS re, sum(value * a * sin(phase)) AS im FROM y, w WHERE y.i + off BETWEEN 0 AND n - 1 GROUP BY y.cell, k, y.i + off),
+pw AS (SELECT cell AS segment, k, freq, CAST(t AS INTEGER) AS t, re * re + im * im AS power FROM c)"""
+
+ORACLES["morlet_spectrum"] = f"WITH {WAVES} SELECT segment, round(freq, 6) AS freq, round(avg(power), 6) AS power FROM pw GROUP BY segment, freq"
+
+ORACLES["oscillations"] = f"""WITH {WAVES}, m AS (SELECT segment, k, freq, avg(log10(power)) AS y FROM pw GROUP BY ALL),
+l AS (SELECT segment, regr_slope(y, log10(freq)) AS a, regr_intercept(y, log10(freq)) AS b FROM m GROUP BY 1),
+o AS (SELECT pw.segment, k, freq, t FROM pw JOIN l USING (segment) WHERE power > -ln(1 - 0.8) * 10 ** (a * log10(freq) + b)),
+g AS (SELECT *, t - row_number() OVER (PARTITION BY segment, k ORDER BY t) AS g FROM o)
+SELECT segment, round(freq, 6) AS freq, min(t) AS start_t, CAST(max(t) + 1 AS INTEGER) AS end_t FROM g GROUP BY segment, k, freq, g HAVING max(t) + 1 - min(t) >= 2.0 * 30 / freq"""
 
 ORACLES["trace_events"] = f"""WITH RECURSIVE {LINES},
 m AS (SELECT *, quantile_cont(value, 0.5) OVER w AS m, quantile_cont(value, 0.75) OVER w - quantile_cont(value, 0.25) OVER w AS iqr FROM nl
   WINDOW w AS (PARTITION BY recording_id, cell ORDER BY frame ROWS BETWEEN 40 PRECEDING AND 39 FOLLOWING)),
 o AS (SELECT recording_id, cell, quantile_cont(value, 0.5) AS m_all, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr_all, max(frame) AS last FROM nl GROUP BY ALL),
-hit AS (SELECT recording_id, cell, frame FROM m JOIN o USING (recording_id, cell) WHERE value - m > 3 * iqr AND m < m_all + iqr_all / 2 AND frame < last AND frame % 5 = 0),
+hit AS (SELECT recording_id, cell, frame FROM m JOIN o USING (recording_id, cell) WHERE value - m > 3 * iqr AND m < m_all + iqr_all / 2 AND frame BETWEEN 41 AND last - 40 AND (frame - 41) % 5 = 0),
 h AS (SELECT recording_id, cell, list(frame ORDER BY frame) AS hits FROM hit GROUP BY ALL),
 t(recording_id, cell, frame, hits) AS (SELECT recording_id, cell, hits[1], hits FROM h
   UNION ALL SELECT recording_id, cell, list_filter(hits, lambda x: x > frame + 10)[1], hits FROM t WHERE len(list_filter(hits, lambda x: x > frame + 10)) > 0),

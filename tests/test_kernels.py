@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from pulsegrid.operators import components, kernels as K, latent, loss, sequences, spatial, spectral, trains, waves
+from pulsegrid.operators import components, kernels as K, latent, loss, sequences, signals, spatial, spectral, surrogates, trains, waves
 
 rng = np.random.default_rng(0)
 
@@ -37,8 +37,17 @@ def test_band_pass_keeps_the_band():
 def test_morlet_equals_direct_convolution():
     x, rate = rng.random(200), 50.0
     w = K.morlet(rate, 5.0, 4)
-    direct = np.convolve(x, w)[(len(w) - 1) // 2 :][:200] / rate
+    direct = np.convolve(x, w)[(len(w) - 1) // 2 :][:200]
     assert np.allclose(K.morlet_power(x, rate, [5.0], [4])[0], np.abs(direct) ** 2)
+    w = K.morlet(rate, 1.0, 6, np.arange(-100, 101) / rate)  # cut off after two seconds
+    direct = np.convolve(x, w)[100:][:200]
+    assert np.allclose(K.morlet_power(x, rate, [1.0], [6], 2.0)[0], np.abs(direct) ** 2)
+
+
+def test_cycles_grow_as_frequencies_do():
+    o = spectral.WaveletOptions(1, 100, 3, log_freqs=True, cycles=4, max_cycles=16)
+    assert np.allclose(o.freqs(), [1, 10, 100]) and np.allclose(o.cycle_counts(), [4, 8, 16])
+    assert np.allclose(spectral.WaveletOptions(1, 3, 3, cycles=4, max_cycles=16).cycle_counts(), [4, 10, 16])
 
 
 def test_sine_burst_is_an_episode():
@@ -160,10 +169,50 @@ def test_shapes():
     assert all(c[a] != c[b] for a, b in [(0, 1), (1, 2), (2, 0), (2, 3)])
 
 
-def test_flood_fill():
-    m = np.zeros((4, 6), bool)
-    m[0, 0] = m[1, 1] = m[3, 4] = True
-    assert sorted(spectral.grow_episodes(m)) == [(0, 1, 0, 1, 2), (3, 3, 4, 4, 1)]
+def test_regions_equal_a_flood_fill(spark):
+    """Random maps over several stretches of time, with corners that touch and snakes that turn back."""
+    r = np.random.default_rng(8)
+    maps = {"a": r.random((6, 700)) < 0.42, "b": r.random((9, 40)) < 0.5, "snake": np.zeros((7, 20), bool)}
+    for k in range(0, 7, 2):
+        maps["snake"][k] = True
+        if k:
+            maps["snake"][k - 1, -1 if k % 4 else 0] = True
+    rows = [(k, int(i), int(t)) for k, m in maps.items() for i, t in zip(*np.nonzero(m), strict=True)]
+    got = spectral.regions(spark.createDataFrame(rows, "segment string, row int, t int")).collect()
+    want = []
+    for k, m in maps.items():
+        left = {(int(i), int(t)) for i, t in zip(*np.nonzero(m), strict=True)}
+        while left:
+            stack, cells = [left.pop()], []
+            while stack:
+                i, t = stack.pop()
+                cells.append((i, t))
+                near = {(i + a, t + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+                left -= near
+                stack += near
+            i, t = zip(*cells, strict=True)
+            want.append((k, min(i), max(i), min(t), max(t) + 1, len(cells)))
+    assert sorted((x.segment, x.first_row, x.last_row, x.start_t, x.end_t, x.size) for x in got) == sorted(want)
+    assert sorted(x.region for x in got if x.segment == "b") == list(range(sum(x[0] == "b" for x in want)))
+
+
+def test_bleaching_is_a_cubic_fit(spark):
+    x = {0: rng.random(50) + 3, 1: rng.random(4) + 1, 2: np.array([5.0])}
+    s = spark.createDataFrame([("r", c, 3 * i, float(v)) for c, y in x.items() for i, v in enumerate(y)], "recording_id string, cell int, frame int, value double")
+    got = signals.bleaching_correction(s).toPandas()
+    for c, y in x.items():
+        t = np.arange(len(y))
+        fit = np.polyval(np.polyfit(t, y, min(3, len(y) - 1)), t)
+        assert np.allclose(got[got.cell == c].sort_values("frame").value, y / fit)
+
+
+def test_randomized_trains_keep_their_numbers(spark):
+    t = spark.createDataFrame([("r", c, float(i)) for c, n in ((0, 5), (1, 20), (2, 30)) for i in range(n)], "recording_id string, cell int, t double")
+    got = surrogates.randomized(t, 0, 20, seed=3)
+    n = {r.cell: (r.n, r.d, r.lo, r.hi) for r in got.groupBy("cell").agg(F.count("*").alias("n"), F.count_distinct("t").alias("d"), F.min("t").alias("lo"), F.max("t").alias("hi")).collect()}
+    assert n[0][:2] == (5, 5) and n[1] == (20, 20, 0.0, 19.0) and n[2] == (20, 20, 0.0, 19.0)
+    assert got.schema == t.schema and sorted(got.collect()) == sorted(surrogates.randomized(t.repartition(3), 0, 20, seed=3).collect())
+    assert sorted(got.collect()) != sorted(surrogates.randomized(t, 0, 20, seed=4).collect())
 
 
 def test_peak_events_by_their_rules():
