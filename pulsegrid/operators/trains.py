@@ -1,11 +1,7 @@
-"""Spike-train distances and functional clustering."""
+"""Spike-train distances and their significance against surrogates."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,136 +49,3 @@ def scaled_significance(real: DataFrame, surrogate: DataFrame, n: int, ci: float
     s = surrogate.select("recording_id", "i", "j", F.col("d").alias("ds"))
     below = real.join(s, ["recording_id", "i", "j"], "left").groupBy("recording_id", "i", "j", "d").agg(F.count_if(F.col("ds") < F.col("d")).alias("below"))
     return below.select("recording_id", "i", "j", "d", scaled(F.col("below"), n, ci).alias("scaled"))
-
-
-def distance(a: np.ndarray, b: np.ndarray) -> float:
-    """The same distance of two sorted trains; an empty train gives 0."""
-    if not len(a) or not len(b):
-        return 0.0
-
-    def one(x: np.ndarray, y: np.ndarray) -> float:
-        at = np.searchsorted(y, x)
-        lo, hi = y[np.maximum(at - 1, 0)], y[np.minimum(at, len(y) - 1)]
-        return float(np.minimum(np.abs(x - lo), np.abs(hi - x)).sum())
-
-    return (one(a, b) + one(b, a)) / 2
-
-
-def jitter(train: np.ndarray, rng: np.random.Generator, sigma: float | None, span: float) -> np.ndarray:
-    if sigma is not None:
-        return np.sort(train + rng.normal(0, sigma, len(train)))
-    return np.sort(train + rng.permutation(np.linspace(-span, span, len(train))))
-
-
-def functional_clustering(trains: list[np.ndarray], n_surrogates: int, sigma: float | None = None, jitter_range: float = 0.0, early_stop: bool = True, seed: int = 0, compat: bool = False) -> list[tuple[int, int, int, float]]:
-    """Merge history (node, left, right, scale): the pair of highest scaled significance is merged until none reaches 1.
-
-    Nodes 0 .. n - 1 are the trains, merged ones follow. ``compat`` compares a merged
-    train's surrogates with real trains instead of surrogates.
-    """
-    rng = np.random.default_rng(seed)
-    real = {i: np.sort(np.asarray(t, float)) for i, t in enumerate(trains)}
-    surr = {i: [jitter(t, rng, sigma, jitter_range) for _ in range(n_surrogates)] for i, t in real.items()}
-    scale: dict[tuple[int, int], float] = {}
-
-    def rate(i: int, j: int, merged: bool = False) -> float:
-        d = distance(real[i], real[j])
-        null = [distance(surr[j][s], real[i] if compat and merged else surr[i][s]) for s in range(n_surrogates)]
-        below = sum(v < d for v in null)
-        return max(0.0, (n_surrogates / 2 - below) / (n_surrogates / 2 - n_surrogates * 0.05))
-
-    nodes = sorted(real)
-    for a, i in enumerate(nodes):
-        for j in nodes[a + 1 :]:
-            scale[i, j] = rate(i, j)
-    history, new = [], len(trains)
-    while len(real) > 1:
-        (i, j), top = max(scale.items(), key=lambda x: (x[1], -x[0][0], -x[0][1]))
-        if early_stop and top < 1:
-            break
-        history.append((new, i, j, top))
-        real[new] = np.sort(np.concatenate([real.pop(i), real.pop(j)]))
-        del surr[i], surr[j]
-        surr[new] = [jitter(real[new], rng, sigma, jitter_range) for _ in range(n_surrogates)]
-        scale = {k: v for k, v in scale.items() if i not in k and j not in k}
-        for k in real:
-            if k != new:
-                scale[k, new] = rate(k, new, True)
-        new += 1
-    return history
-
-
-def cluster_trains(trains: DataFrame, n_surrogates: int = 300, sigma: float | None = 0.1, jitter_range: float = 0.0, early_stop: bool = True, seed: int = 0, compat: bool = False) -> DataFrame:
-    """(recording_id, step, node, left, right, scale) per recording; nodes under n are the n cells in order, as ``functional_clustering`` numbers them."""
-    lists = trains.groupBy("recording_id", "cell").agg(F.sort_array(F.collect_list("t")).alias("t"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cell")
-        h = functional_clustering([np.array(t) for t in pdf.t], n_surrogates, sigma, jitter_range, early_stop, seed, compat)
-        return pd.DataFrame({"recording_id": pdf.recording_id.iloc[0], "step": range(len(h)), "node": [x[0] for x in h], "left": [x[1] for x in h], "right": [x[2] for x in h], "scale": [x[3] for x in h]})
-
-    return lists.groupBy("recording_id").applyInPandas(run, "recording_id string, step int, node int, left int, right int, scale double")
-
-
-@dataclass
-class MergeTree:
-    """Dendrogram of a merge history of ``n`` leaves."""
-
-    n: int
-    history: list[tuple[int, int, int, float]]
-    kids: dict[int, tuple[int, int]] = field(init=False)
-    scale: dict[int, float] = field(init=False)
-
-    def __post_init__(self):
-        self.kids = {node: (a, b) for node, a, b, _ in self.history}
-        self.scale = {node: s for node, _, _, s in self.history}
-
-    def roots(self) -> list[int]:
-        used = {k for ab in self.kids.values() for k in ab}
-        return [x for x in [*range(self.n), *self.kids] if x not in used]
-
-    def leaves(self, node: int) -> list[int]:
-        out, stack = [], [node]
-        while stack:
-            x = stack.pop()
-            if x in self.kids:
-                stack.extend(reversed(self.kids[x]))
-            else:
-                out.append(x)
-        return out
-
-    def inner_nodes(self, node: int) -> int:
-        return len(self.leaves(node)) - 1
-
-    def lowest(self, node: int) -> float:
-        """Smallest scale of the inner nodes under and at a node."""
-        if node not in self.kids:
-            return float("inf")
-        return min(self.scale[node], *(self.lowest(k) for k in self.kids[node]))
-
-    def clusters(self) -> list[list[int]]:
-        """Leaves of the topmost nodes whose inner nodes all reach scale 1."""
-        out, stack = [], self.roots()[::-1]
-        while stack:
-            x = stack.pop()
-            if x not in self.kids:
-                continue
-            if self.lowest(x) >= 1:
-                out.append(self.leaves(x))
-            else:
-                stack.extend(reversed(self.kids[x]))
-        return out
-
-    def scale_range(self) -> tuple[float, float] | None:
-        return (min(self.scale.values()), max(self.scale.values())) if self.scale else None
-
-    def x_positions(self) -> dict[int, float]:
-        """Leaves side by side in tree order, inner nodes over the middle of their outermost leaves."""
-        order = [leaf for r in self.roots() for leaf in self.leaves(r)]
-        at = {leaf: float(i) for i, leaf in enumerate(order)}
-        return at | {x: (at[self.leaves(x)[0]] + at[self.leaves(x)[-1]]) / 2 for x in self.kids}
-
-    def linkage(self) -> list[tuple[int, int, float, int]]:
-        """(left, right, height, leaves) per merge, heights falling with scale."""
-        top = max(self.scale.values(), default=0.0)
-        return [(a, b, top - s, len(self.leaves(node))) for node, a, b, s in self.history]

@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import assemblies, components, latent, loss, raster, sce, sequences, signals, spatial, spectral, surrogates, trains, transitions, waves
+from pulsegrid.operators import assemblies, components, latent, loss, merging, raster, sce, sequences, signals, spatial, spectral, surrogates, transitions, waves
 from pulsegrid.sources import tables as S
 
 N_DAYS = 2600
+#: Surrogates of a functional clustering in the registered queries.
+S_MERGES = 20
 
 
 def nation_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -118,9 +120,22 @@ def trace_events(spark, d):
     return sce.detect_on_traces(t, rec, n_cells=1)
 
 
+def _merges(spark, d, early_stop):
+    s, _, _ = busy_days(spark, d)
+    return merging.cluster_trains(s.withColumn("t", F.col("frame").cast("double")), S_MERGES, sigma=3.0, early_stop=early_stop)
+
+
 def fca_merges(spark, d):
+    return rounded(_merges(spark, d, False), "scale")
+
+
+def fca_tree(spark, d):
+    return rounded(rounded(rounded(merging.tree_nodes(_merges(spark, d, False)), "scale"), "lowest"), "height")
+
+
+def fca_clusters(spark, d):
     s, _, _ = busy_days(spark, d)
-    return trains.cluster_trains(s.withColumn("t", F.col("frame").cast("double")), 50, sigma=3.0, early_stop=False)
+    return merging.named_leaves(merging.tree_clusters(_merges(spark, d, True)), s)
 
 
 def train_jitter(spark, d):
@@ -196,7 +211,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         beam_paths, sequence_search, significant_sequences, best_order, order_loss, graph_paths, graph_waves, order_repetitions, kmeans_events, assembly_cells, peak_events,
-        sce_no_redundancy, trace_events, fca_merges, train_jitter, train_dither, smoothed, savitzky_golay, band_passed, blurred, morlet_spectrum, welch_spectrum, oscillations,
+        sce_no_redundancy, trace_events, fca_merges, fca_tree, fca_clusters, train_jitter, train_dither, smoothed, savitzky_golay, band_passed, blurred, morlet_spectrum, welch_spectrum, oscillations,
         component_order, latent_fit, graph_colours, run_transitions,
     )
 }

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from pulsegrid.operators import components, kernels as K, latent, loss, sequences, signals, spatial, spectral, surrogates, trains, waves
+from pulsegrid.operators import components, kernels as K, latent, loss, sequences, signals, spatial, spectral, surrogates, waves
 
 rng = np.random.default_rng(0)
 
@@ -144,16 +144,6 @@ def test_longest_paths():
     assert waves.longest_paths([(0, 1, 1), (1, 2, 1), (2, 3, 1), (5, 6, 1)]) == [[0, 1, 2, 3], [5, 6]]
 
 
-def test_clustering_of_trains():
-    one = np.arange(0, 300, 3.5)
-    ts = [np.sort(rng.random(90) * 300) for _ in range(4)] + [one] * 3
-    h = trains.functional_clustering(ts, 100, sigma=0.1)
-    t = trains.MergeTree(7, h)
-    assert any({4, 5, 6} <= set(c) for c in t.clusters())
-    assert trains.distance(one, one) == 0
-    assert trains.distance(np.array([0.0, 10]), np.array([1.0, 8])) == 3
-
-
 def test_components_centre_and_otsu():
     assert components.otsu(np.array([10] * 50 + [200] * 50)) in range(10, 200)
     a, b = rng.random(30), rng.random(30)
