@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import kernels as K
+from pulsegrid.operators import clustering
 from pulsegrid.operators.raster import islands, window_activity
-from pulsegrid.operators.surrogates import uniform
+from pulsegrid.operators.surrogates import uniform, with_surrogates
 from pulsegrid.sources.durable import durable
 
-#: Events of a recording for which the similarity matrix is held in one task.
-MAX_MATRIX = 20_000
-
-
 def event_similarity(sce_cells: DataFrame, recordings: DataFrame) -> DataFrame:
     """(recording_id, a, b, n_both, similarity) for pairs of events a < b that share a cell.
 
@@ -39,15 +33,30 @@ def event_similarity(sce_cells: DataFrame, recordings: DataFrame) -> DataFrame:
     return both.select("recording_id", "a", "b", "n_both", F.when(bottom > 0, top / bottom).otherwise(0.0).alias("similarity"))
 
 
-def _matrix(cells_in_sce: np.ndarray) -> np.ndarray:
-    """Similarity of all pairs of columns of a cells x events matrix."""
-    x = cells_in_sce.astype(float)
-    raw = x.T @ x
-    c = x - x.mean(0)
-    sd = x.std(0)
-    bottom = np.outer(sd, sd) * x.shape[1]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where((raw > 0) & (bottom > 0), c.T @ c / bottom, 0.0)
+def similarity_rows(sce_cells: DataFrame, n_surrogates: int, seed: int = 0) -> DataFrame:
+    """(recording_id, surr, place, sce_id, vector): each event's similarities with all events of its recording, itself among them, in order of event.
+
+    Surrogates 0 .. n - 1 permute every column for itself and then every row (``sce_id`` is
+    null there); -1 is the recording itself. Cells are those that take part in any event.
+    """
+    r = "recording_id"
+    cells = sce_cells.select(r, "sce_id", "cell").distinct()
+    n_cells = cells.groupBy(r).agg(F.count_distinct("cell").alias("n_cells"))
+    n = cells.groupBy(r, "sce_id").agg(F.count("*").alias("n")).join(n_cells, r)
+    events = n.withColumn("place", F.row_number().over(W.partitionBy(r).orderBy("sce_id")) - 1).withColumn("n_sce", F.count("*").over(W.partitionBy(r)))
+    near = event_similarity(cells, n_cells).select(r, "a", "b", "similarity")
+    near = near.union(near.select(r, "b", "a", "similarity")).union(events.select(r, "sce_id", "sce_id", F.when(F.col("n") < F.col("n_cells"), F.col("n_cells") / F.col("n_sce")).otherwise(0.0)))
+    at = lambda c, p: events.select(r, F.col("sce_id").alias(c), F.col("place").alias(p))
+    spine = at("a", "i").join(at("b", "j"), r)  # the matrix itself
+    matrix = durable(spine.join(near, [r, "a", "b"], "left").select(r, F.col("a").alias("sce_id"), "i", "j", F.coalesce("similarity", F.lit(0.0)).alias("v")))
+    drawn = with_surrogates(matrix.drop("sce_id"), n_surrogates) if n_surrogates else matrix.drop("sce_id").withColumn("surr", F.lit(0)).where("false")
+    down = W.partitionBy(r, "surr", "j").orderBy(uniform(seed, r, "surr", "j", "i"), "i")
+    drawn = drawn.withColumn("i", F.row_number().over(down) - 1)
+    along = W.partitionBy(r, "surr", "i").orderBy(uniform(seed + 1, r, "surr", "i", "j"), "j")
+    drawn = drawn.withColumn("j", F.row_number().over(along) - 1)
+    both = matrix.withColumn("surr", F.lit(-1)).unionByName(drawn, allowMissingColumns=True)
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"])
+    return both.groupBy(r, "surr", F.col("i").alias("place")).agg(F.max("sce_id").alias("sce_id"), rows.alias("vector"))
 
 
 #: Aggregates by which a trial's cluster silhouettes may be scored, beside any function of a column.
@@ -69,54 +78,28 @@ def best_trials(silhouettes: DataFrame, by: list[str], score: str | Callable[[Co
     return top.select(*by, (-F.col("m.t")).alias("trial"), F.col("m.score").alias("score"))
 
 
-def _trials(m: np.ndarray, k: int, trials: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(labels, mean silhouette of each cluster) of several runs."""
-    sq = (m**2).sum(1)
-    d = np.sqrt(np.maximum(sq[:, None] + sq - 2 * m @ m.T, 0))
-    for _ in range(trials):
-        labels = K.kmeans(m, k, rng)
-        s = K.silhouettes(d, labels)
-        yield labels, np.array([s[labels == j].mean() if (labels == j).any() else np.nan for j in range(k)])
-
-
 def cluster_events(sce_cells: DataFrame, ks: list[int], n_surrogates: int = 100, trials: int = 100, percentile: float = 95, seed: int = 0, score: str | Callable[[Column], Column] = "mean") -> DataFrame:
     """(recording_id, k, sce_id, label, cluster_silhouette, score, surrogate, significant).
 
-    For each k the run of best ``score`` over its clusters' silhouettes (see ``best_trials``),
-    compared with the percentile of cluster silhouettes over surrogates whose rows and
-    columns are permuted, one permutation per surrogate. (k, surrogate) is the unit of
-    work; a recording's events must fit a task.
+    For each k the trial of best ``score`` over its clusters' silhouettes (see ``best_trials``)
+    on the rows of event similarity, compared with the percentile of cluster silhouettes
+    over the best trials of surrogates (see ``similarity_rows``). All recordings,
+    surrogates, numbers of clusters and trials go side by side.
     """
-    lists = sce_cells.groupBy("recording_id", "sce_id").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
-    grid = lists.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).withColumn("surr", F.explode(F.sequence(F.lit(-1), F.lit(n_surrogates - 1))))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sce_id")
-        if len(pdf) > MAX_MATRIX:
-            raise ValueError(f"more than {MAX_MATRIX} events in one recording")
-        k, surr = int(pdf.k.iloc[0]), int(pdf.surr.iloc[0])
-        ids = sorted({int(c) for cs in pdf.cells for c in cs})
-        at = {c: i for i, c in enumerate(ids)}
-        x = np.zeros((len(ids), len(pdf)))
-        for j, cs in enumerate(pdf.cells):
-            x[[at[int(c)] for c in cs], j] = 1
-        rng = np.random.default_rng([seed, k, surr + 1])
-        m = _matrix(x)
-        if surr >= 0:
-            m = m[:, rng.permutation(m.shape[1])]
-            m = m[rng.permutation(m.shape[0])]
-        out = list(_trials(m, min(k, len(m)), trials, rng))
-        return pd.DataFrame({"recording_id": pdf.recording_id.iloc[0], "k": k, "surr": surr, "trial": range(len(out)), "sce_ids": [pdf.sce_id.to_numpy()] * len(out), "labels": [a for a, _ in out], "silhouettes": [b for _, b in out]})
-
-    key = ["recording_id", "k", "surr"]
-    out = durable(grid.groupBy(*key).applyInPandas(run, "recording_id string, k int, surr int, trial int, sce_ids array<int>, labels array<int>, silhouettes array<double>"))
-    best = best_trials(out.select(*key, "trial", F.posexplode("silhouettes").alias("cluster", "silhouette")), key, score)
-    won = out.join(best, [*key, "trial"])
-    null = won.where("surr >= 0").select("recording_id", "k", F.explode("silhouettes").alias("v")).where("v is not null and not isnan(v)")
-    null = null.groupBy("recording_id", "k").agg(F.percentile("v", F.lit(percentile / 100)).alias("surrogate"))
-    each = won.where("surr = -1").select("recording_id", "k", "score", "silhouettes", F.explode(F.arrays_zip("sce_ids", "labels")).alias("e"))
-    each = each.select("recording_id", "k", F.col("e.sce_ids").alias("sce_id"), F.col("e.labels").alias("label"), F.get("silhouettes", F.col("e.labels")).alias("cluster_silhouette"), "score")
-    return each.join(null, ["recording_id", "k"], "left").withColumn("significant", F.col("cluster_silhouette") > F.coalesce("surrogate", F.lit(-1.0)))
+    rows = durable(similarity_rows(sce_cells, n_surrogates, seed).withColumn("set", F.concat_ws("|", "recording_id", F.col("surr").cast("string"))))
+    points = rows.select("set", F.col("place").alias("id"), "vector")
+    runs = rows.select("set").distinct().withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    labels = durable(clustering.kmeans(points, runs, seed))
+    shape = clustering.silhouettes(points, labels).groupBy("set", "k", "trial", F.col("label").alias("cluster")).agg(F.avg("silhouette").alias("silhouette"))
+    shape = durable(shape)
+    best = durable(best_trials(shape, ["set", "k"], score))
+    named = rows.select("set", "recording_id", "surr").distinct()
+    won = shape.join(best, ["set", "k", "trial"]).join(named, "set")
+    null = won.where("surr >= 0").groupBy("recording_id", "k").agg(F.percentile("silhouette", F.lit(percentile / 100)).alias("surrogate"))
+    real = won.where("surr = -1").select("set", "k", "trial", F.col("cluster").alias("label"), F.col("silhouette").alias("cluster_silhouette"), "score")
+    each = labels.join(real, ["set", "k", "trial", "label"]).join(rows.where("surr = -1").select("set", "recording_id", F.col("place").cast("long").alias("id"), "sce_id"), ["set", "id"])
+    out = each.join(null, ["recording_id", "k"], "left").withColumn("significant", F.col("cluster_silhouette") > F.coalesce("surrogate", F.lit(-1.0)))
+    return out.select("recording_id", "k", "sce_id", "label", "cluster_silhouette", "score", "surrogate", "significant")
 
 
 def best_k(clusters: DataFrame) -> DataFrame:
@@ -125,16 +108,10 @@ def best_k(clusters: DataFrame) -> DataFrame:
 
 
 def silhouette(points: DataFrame, vector: str, label: str, key: str) -> DataFrame:
-    """(key, label, silhouette) with Euclidean distances, for points that fit a task."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf[vector].to_numpy()).astype(float)
-        sq = (x**2).sum(1)
-        d = np.sqrt(np.maximum(sq[:, None] + sq - 2 * x @ x.T, 0))
-        np.fill_diagonal(d, 0)
-        return pd.DataFrame({key: pdf[key], label: pdf[label], "silhouette": K.silhouettes(d, pdf[label].to_numpy())})
-
-    return points.groupBy(F.lit(0)).applyInPandas(run, f"{key} long, {label} int, silhouette double")
+    """(key, label, silhouette) with Euclidean distances, summed block by block."""
+    p = points.select(F.lit("all").alias("set"), F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
+    labels = points.select(F.lit("all").alias("set"), F.lit(0).alias("k"), F.lit(0).alias("trial"), F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("label"))
+    return clustering.silhouettes(p, labels).select(F.col("id").alias(key), F.col("label").alias(label), "silhouette")
 
 
 def cosine_silhouette(points: DataFrame, vector: str, label: str, key: str, by: list[str] = ()) -> DataFrame:

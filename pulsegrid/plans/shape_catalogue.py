@@ -333,3 +333,11 @@ def shape_hulls(spark, d):
     """Corners of the hulls of each nation's suppliers: points that lie on no line and in no triangle of others."""
     s = S.table(spark, d, "supplier").select(F.col("s_nationkey").cast("int").alias("cell"), (F.col("s_suppkey") * 11 % 40).cast("double").alias("x"), (F.col("s_suppkey") * 17 % 150).cast("double").alias("y"))
     return spatial.hulls(s, "cell").select("cell", "x", "y")
+
+
+@query("""WITH p AS (SELECT a.vec_id, a.label, b.label AS c, b.vec_id AS other, sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2))) AS d FROM embeddings a, embeddings b),
+n AS (SELECT label AS c, count(*) AS n FROM embeddings GROUP BY 1), m AS (SELECT vec_id, label, p.c, sum(d) AS d, any_value(n) AS n FROM p JOIN n USING (c) GROUP BY vec_id, label, p.c),
+ab AS (SELECT vec_id, label, max(CASE WHEN c = label AND n > 1 THEN d / (n - 1) END) AS a, min(CASE WHEN c <> label THEN d / n END) AS b FROM m GROUP BY 1, 2)
+SELECT vec_id, label, round(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM ab""")
+def silhouette_euclidean(spark, d):
+    return rounded(assemblies.silhouette(S.table(spark, d, "embeddings"), "embedding", "label", "vec_id"), "silhouette")
