@@ -4,9 +4,10 @@
 
 Learning reads whole training texts in passes that each end in a grouped sum:
 
-1. word counts; the most frequent words (at most ``words`` of them, three occurrences or
-   more) are to be clustered, all other words and unseen ones share the class RARE, the
-   end of a text has the class END;
+1. word counts; the most frequent words (at most ``looked_up`` of them, three occurrences
+   or more) and their counts are broadcast. The first ``words`` of these are to be
+   clustered, all other words and unseen ones share the class RARE, the end of a text has
+   the class END;
 2. counts of neighbouring words (numbers, not strings), staged once;
 3. exchange rounds: with the classes of the round (a short array, broadcast) each word's
    neighbours are summed by class, and the word moves to the class that raises the mean
@@ -43,17 +44,17 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.common import release, stage, table
 from pulsegrid.llm.lexicon import most_frequent, text_pieces
 
-#: Words that are clustered, classes they get, exchange rounds.
-WORDS, CLASSES, ROUNDS = 1 << 16, 64, 6
+#: Words that are clustered, classes they get, exchange rounds, and words whose counts are broadcast.
+WORDS, CLASSES, ROUNDS, LOOKED_UP = 1 << 15, 64, 6, 1 << 17
 #: Words that one task exchanges one after the other in a round.
 BLOCK = 2048
-#: Longer words are not clustered, which bounds what is broadcast.
+#: Longer words are not looked up, which bounds what is broadcast.
 WORD_BYTES = 64
 LEAST = 3
 FOLDS, HELD_OUT = 7, 2
 GAP = re.compile(rb"[\x20\x09-\x0d]")
 #: Different entries a task holds before it passes them on.
-HELD = 1_000_000
+HELD = 500_000
 
 
 def in_fold(doc_id: int | None) -> bool:
@@ -232,8 +233,10 @@ def _moves(state, classes: int, slots: int):
 
 class Model(NamedTuple):
     words: list[bytes]
+    #: the first of the words, those that have a class of their own
+    clustered: int
     of_word: np.ndarray
-    #: log10 P(class | class before) and log10 P(word | class) for words by number, RARE and END
+    #: log10 P(class | class before), and log10 P(word | class) for words by number, any other word (0) and END
     transition: np.ndarray
     emission: np.ndarray
     #: log10((n + 1) / (N + V + 1)) by word number, and the two figures it is made of
@@ -273,36 +276,39 @@ def _class_counts(pairs: DataFrame, of_word: np.ndarray, classes: int) -> np.nda
     return out.reshape(k, k)
 
 
-def learn(docs: DataFrame, words: int = WORDS, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+def learn(docs: DataFrame, words: int = WORDS, classes: int = CLASSES, rounds: int = ROUNDS, looked_up: int = LOOKED_UP) -> tuple[Model, DataFrame]:
     """The model, and the staged counts (word, n) of all training words."""
     sc = docs.sparkSession.sparkContext
     counts = stage(docs.mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     r = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == "", F.col("n"))).alias("ends"), F.sum((F.col("n") == 1).cast("int")).alias("once")).first()
     n, v = r["n"] or 0, r["v"]
     plain = counts.where((F.col("word") != "") & (F.octet_length("word") <= WORD_BYTES) & (F.col("n") >= LEAST))
-    chosen = plain.where(most_frequent(plain, F.col("n"), words)).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    chosen = plain.where(most_frequent(plain, F.col("n"), looked_up)).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     listed, each = [w.encode() for w in chosen.column("word").to_pylist()], chosen.column("n").to_numpy()
+    own = min(words, len(listed))
     # the most frequent words start in a class each, the others with the class of their place
-    of_word = np.concatenate([np.arange(len(listed)) % classes, [classes, classes + 1]]).astype(np.int64)
-    pairs = stage(docs.mapInArrow(_neighbours(sc.broadcast(listed)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "neighbours")
-    of_word, table_ = exchange(pairs, len(listed), of_word, classes, rounds)
+    of_word = np.concatenate([np.arange(own) % classes, [classes, classes + 1]]).astype(np.int64)
+    pairs = stage(docs.mapInArrow(_neighbours(sc.broadcast(listed[:own])), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "neighbours")
+    of_word, table_ = exchange(pairs, own, of_word, classes, rounds)
     release(pairs)
     once = (r["once"] or 0) - (1 if r["ends"] == 1 else 0)
-    return _model(listed, each, of_word, table_, n, v, once), counts
+    of_word = np.concatenate([of_word[:own], np.full(len(listed) - own, classes), of_word[own:]])
+    return _model(listed, own, each, of_word, table_, n, v, once), counts
 
 
-def _model(words: list[bytes], each: np.ndarray, of_word: np.ndarray, table_: np.ndarray, n: int, v: int, once: int) -> Model:
+def _model(words: list[bytes], own: int, each: np.ndarray, of_word: np.ndarray, table_: np.ndarray, n: int, v: int, once: int) -> Model:
     k = len(table_)
     per_class = table_.sum(0)
     frequency = (per_class + 1) / (n + k)
     followers = np.maximum((table_ > 0).sum(1), 1)
     transition = (table_ + followers[:, None] * frequency) / (table_.sum(1) + followers)[:, None]
-    emission = np.zeros(len(words) + 2)
-    emission[: len(words)] = np.log10(each / per_class[of_word[: len(words)]]) if words else []
-    base = np.zeros(len(words) + 2)
+    emission, base = np.zeros(len(words) + 2), np.zeros(len(words) + 2)
+    # of the class RARE, words seen once lend their number to the unseen word
+    whole = np.where(np.arange(len(words)) < own, per_class[of_word[: len(words)]], per_class[k - 2] + once + 1)
+    emission[: len(words)] = np.log10(each / whole) if words else []
     base[: len(words)] = np.log10((each + 1) / (n + v + 1))
     base[-1] = np.log10((per_class[k - 1] + 1) / (n + v + 1))
-    return Model(words, of_word, np.log10(transition), emission, base, n, v, int(per_class[k - 2]), once)
+    return Model(words, own, of_word, np.log10(transition), emission, base, n, v, int(per_class[k - 2]), once)
 
 
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -318,7 +324,7 @@ def _scored(model):
         ended = m.base[end] if m.train_tokens else -np.log10(m.train_tokens + m.n_words + 1)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            figures, left = [], []
+            figures, strangers, many, lengths = [], [], [], []
             for doc_id, text in _texts(batch):
                 last, n, known, base, score, rest = end, 1, int(m.train_tokens > 0), ended, 0.0, Counter()
                 for piece in text_pieces(text, GAP):
@@ -333,25 +339,28 @@ def _scored(model):
                     n, known, last = n + len(w), known + len(w) - len(strange), int(x[-1])
                 score += m.transition[m.of_word[last], m.of_word[end]]
                 figures.append((row, doc_id, in_fold(doc_id), n, known, base, score))
-                left.append([{"word": y.decode(), "n": k} for y, k in rest.items()])
+                strangers += rest
+                many += rest.values()
+                lengths.append(len(rest))
                 row += 1
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
             columns = [pa.array(x, k) for x, k in zip(zip(*figures, strict=True) if figures else [[]] * 7, kinds, strict=True)]
-            columns.append(pa.array(left, pa.list_(pa.struct({"word": pa.string(), "n": pa.int64()}))))
+            flat = pa.StructArray.from_arrays([pa.array(strangers, pa.binary()).cast(pa.string()), pa.array(many, pa.int64())], ["word", "n"])
+            columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), flat))
             yield pa.record_batch(columns, [f.split()[0] for f in SCORED.split(", ")] + ["rest"])
 
     return run
 
 
-def score(docs: DataFrame, words: int = WORDS, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, words: int = WORDS, classes: int = CLASSES, rounds: int = ROUNDS, looked_up: int = LOOKED_UP) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of ``docs``."""
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model, counts = learn(flat, words, classes, rounds)
+    model, counts = learn(flat, words, classes, rounds, looked_up)
     one = stage(flat.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), SCORED + ", rest array<struct<word: string, n: long>>"), "scored")
     rest = one.select("row", F.explode("rest").alias("x")).select("row", "x.word", F.col("x.n").alias("times"))
     found = rest.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     base = F.log10((F.col("n") + 1) / F.lit(float(model.train_tokens + model.n_words + 1)))
-    # in the class RARE a word seen has its share, the unseen one that of the words seen once
+    # all that is not looked up is of the class RARE
     weight = F.when(F.col("n") > 0, F.col("n")).otherwise(model.rare_once + 1)
     emitted = F.log10(weight / F.lit(float(model.rare_tokens + model.rare_once + 1)))
     sums = found.groupBy("row").agg(

@@ -122,12 +122,12 @@ def same_scores(got, want):
 def test_scores_equal_plain_ones(spark, odd, which):
     docs = odd if which == "odd" else spark.read.parquet(f"{DIR}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    settings = {"words": 300 if which == "few words" else 1 << 16, "classes": 8, "rounds": 2}
+    settings = {"words": 300 if which == "few words" else 1 << 16, "classes": 8, "rounds": 2, "looked_up": 700 if which == "few words" else 1 << 17}
     model, counts = class_lm.learn(docs.select("doc_id", "text"), **settings)
     want = plain_counts(rows)
     assert {r.word: r.n for r in counts.collect()} == want
     assert (model.train_tokens, model.n_words) == (sum(want.values()), len(want))
-    assert len(model.words) <= settings["words"] and all(want[w.decode()] >= class_lm.LEAST for w in model.words)
+    assert len(model.words) <= settings["looked_up"] and model.clustered == min(settings["words"], len(model.words)) and all(want[w.decode()] >= class_lm.LEAST for w in model.words)
     out = class_lm.score(docs, **settings).collect()
     assert {r.train_tokens for r in out} == {sum(want.values())}
     same_scores([(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.base_score, r.score) for r in out], plain_scores(rows, model, want))
@@ -135,15 +135,16 @@ def test_scores_equal_plain_ones(spark, odd, which):
 
 def test_probabilities_add_up_and_texts_beat_the_base(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
-    m, counts = class_lm.learn(docs.select("doc_id", "text"), words=500, classes=8, rounds=2)
+    m, counts = class_lm.learn(docs.select("doc_id", "text"), words=500, classes=8, rounds=2, looked_up=900)
     n = {r.word: r.n for r in counts.collect()}
-    known = set(m.words)
-    rare = sum(v for w, v in n.items() if w and w.encode() not in known)
-    assert rare == m.rare_tokens
+    own, seen = set(m.words[: m.clustered]), set(m.words)
+    assert m.clustered == 500 < len(seen)
+    assert sum(v for w, v in n.items() if w and w.encode() not in own) == m.rare_tokens
     emitted = np.zeros(10)
     np.add.at(emitted, m.of_word[: len(m.words)], 10 ** m.emission[: len(m.words)])
-    assert emitted[:8][np.unique(m.of_word[: len(m.words)])] == pytest.approx(1)
-    assert (rare + m.rare_once + 1) / (m.rare_tokens + m.rare_once + 1) == 1
+    assert emitted[:8][np.unique(m.of_word[:500])] == pytest.approx(1)
+    others = sum(v for w, v in n.items() if w and w.encode() not in seen)
+    assert emitted[8] + (others + m.rare_once + 1) / (m.rare_tokens + m.rare_once + 1) == pytest.approx(1)
     assert (10**m.transition).sum(1) == pytest.approx(1)
     out = class_lm.score(docs, words=500, classes=8, rounds=2).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > out[1]
