@@ -1,8 +1,9 @@
 """Latent factor model of fluorescence: traces as a kernel on stimulus-driven and latent activity.
 
 f[n, t] = alpha[n] * (kernel * (w s + b x))[n, t] + beta[n] + noise, with x >= 0 under an
-exponential prior of scale ``gamma``. Static parameters separate by neuron and are fitted
-in parallel; the latent factors are shared, and their gradient is a sum over neurons.
+exponential prior of scale ``gamma``. Static parameters separate by neuron; the latent factors are
+shared, and their gradient is a sum over neurons. These are the formulas for a few
+neurons in a task; ``latent_jobs`` fits recordings with them.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,40 +191,6 @@ def stimulus_rows(ids: np.ndarray) -> np.ndarray:
     return (ids == np.arange(1, ids.max(initial=0) + 1)[:, None]).astype(float)
 
 
-def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    m = pdf[pdf.kind == "f"].pivot(index="i", columns="t", values="v").fillna(0.0)
-    n = int(pdf.t.max()) + 1
-    s = pdf[pdf.kind == "s"]
-    out = np.zeros((int(s.i.max()) + 1 if len(s) else 1, n))
-    out[s.i, s.t] = s.v
-    return m.index.to_numpy(), m.reindex(columns=range(n), fill_value=0.0).to_numpy(), out
-
-
-def fit_models(traces: DataFrame, stimuli: DataFrame, grid: list[dict]) -> DataFrame:
-    """(recording_id, model, param, i, j, v): a fit per recording and setting, all in parallel.
-
-    ``traces(recording_id, cell, frame, value)``, ``stimuli(recording_id, k, t)``.
-    """
-    one = traces.select("recording_id", F.lit("f").alias("kind"), F.col("cell").alias("i"), F.col("frame").alias("t"), F.col("value").cast("double").alias("v"))
-    two = stimuli.select("recording_id", F.lit("s").alias("kind"), F.col("k").alias("i"), "t", F.lit(1.0).alias("v"))
-    rows = one.union(two).withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = int(pdf.model.iloc[0])
-        cells, f, s = _arrays(pdf)
-        m = train(f, s, **grid[k])
-        out = [("log_joint", 0, 0, -log_joint(m, f, s))]
-        for name in ("alpha", "beta", "sigma"):
-            out += [(name, int(c), 0, v) for c, v in zip(cells, getattr(m, name), strict=True)]
-        for name in ("w", "b"):
-            out += [(name, int(cells[i]), j, v) for (i, j), v in np.ndenumerate(getattr(m, name))]
-        out += [("x", i, j, v) for (i, j), v in np.ndenumerate(m.x)]
-        r = pd.DataFrame(out, columns=["param", "i", "j", "v"])
-        return r.assign(recording_id=pdf.recording_id.iloc[0], model=k)[["recording_id", "model", "param", "i", "j", "v"]]
-
-    return rows.groupBy("recording_id", "model").applyInPandas(run, "recording_id string, model int, param string, i int, j int, v double")
-
-
 def best_models(fits: DataFrame) -> DataFrame:
     """The setting of best log joint per recording, the first of equals."""
     s = fits.where("param = 'log_joint'")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import assemblies, components, latent, loss, merging, raster, sce, sequences, signals, spatial, spectral, surrogates, transitions, waves
+from pulsegrid.operators import assemblies, components, latent_jobs, loss, merging, raster, sce, sequences, signals, spatial, spectral, surrogates, transitions, waves
 from pulsegrid.sources import tables as S
 
 N_DAYS = 2600
@@ -194,7 +194,14 @@ def component_order(spark, d):
 def latent_fit(spark, d):
     t = nation_lines(spark, d)
     stim = t.select("recording_id", (F.col("frame") % 7).alias("k"), F.col("frame").alias("t")).distinct()
-    return latent.fit_models(t, stim, [{"n_factors": 2, "alternations": 1, "rounds": 4}])
+    return latent_jobs.fit_models(t, stim, [{"n_factors": 2, "alternations": 1, "rounds": 4}])
+
+
+def latent_parts(spark, d):
+    """Evoked and spontaneous parts of every nation's signal."""
+    t = nation_lines(spark, d)
+    stim = t.select("recording_id", (F.col("frame") % 7).alias("k"), F.col("frame").alias("t")).distinct()
+    return latent_jobs.parts_of_traces(*latent_jobs.fit(t, stim, [{"n_factors": 2, "alternations": 1, "rounds": 2}]))
 
 
 def graph_colours(spark, d):
@@ -212,6 +219,6 @@ QUERIES = {
     for f in (
         beam_paths, sequence_search, significant_sequences, best_order, order_loss, graph_paths, graph_waves, order_repetitions, kmeans_events, assembly_cells, peak_events,
         sce_no_redundancy, trace_events, fca_merges, fca_tree, fca_clusters, train_jitter, train_dither, smoothed, savitzky_golay, band_passed, blurred, morlet_spectrum, welch_spectrum, oscillations,
-        component_order, latent_fit, graph_colours, run_transitions,
+        component_order, latent_fit, latent_parts, graph_colours, run_transitions,
     )
 }

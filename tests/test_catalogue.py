@@ -35,7 +35,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 ROWS = {
-    "sequence_search": ["recording_id", "cells", "times"], "graph_waves": None, "graph_paths": None, "fca_merges": None, "fca_tree": None, "fca_clusters": None, "latent_fit": None, "component_order": None, "order_loss": ["recording_id", "order_id", "loss"],
+    "sequence_search": ["recording_id", "cells", "times"], "graph_waves": None, "graph_paths": None, "fca_merges": None, "fca_tree": None, "fca_clusters": None, "latent_fit": None, "latent_parts": None, "component_order": None, "order_loss": ["recording_id", "order_id", "loss"],
     "peak_events": ["recording_id", "sce_id", "start_frame", "end_frame", "peak_frame"], "oscillations": None, "band_passed": ["recording_id", "cell", "frame", "value"],
     "sce_no_redundancy": ["recording_id", "sce_id", "start_frame", "end_frame"], "order_repetitions": None, "train_dither": ["recording_id", "cell", "t"], "kmeans_events": None, "assembly_cells": None,
 }
