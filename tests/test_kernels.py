@@ -230,3 +230,47 @@ def test_peak_events_by_their_rules():
         last = min(range(p, hi), key=lambda i: (x[i], -i)) if last is None else last
         want.append((first, last, p))
     assert len(want) >= 3 and K.peak_events(raw) == want
+
+
+def plain_component_order(x: np.ndarray, n_components: int = 10, lags: int = 200) -> list[tuple[int, int, float, int]]:
+    """(component, cell, correlation, lag): cells over the level of their best correlation with a component's slope, by lag."""
+    width = x.shape[1] / 20
+    y = K.gauss_blur_1d(K.gauss_blur_1d(x, width), width)
+    _, courses = components.lagged_components(y, min(n_components, *y.shape))
+    out = []
+    for k, course in enumerate(courses):
+        slope = np.diff(course, append=course[-1])
+        rows = []
+        for c in range(len(y)):
+            if y[c].std() == 0 or slope.std() == 0:
+                continue
+            r = components.cross_covariance(y[c], slope, lags, True)
+            at = int(np.argmax(r))
+            rows.append((k, c, float(r[at]), at - (len(r) - 1) // 2))
+        if rows:
+            level = np.round(K.norm01(np.array([r[2] for r in rows])) * 255)
+            cut = components.otsu(level)
+            out += sorted((r for r, v in zip(rows, level, strict=True) if v > cut), key=lambda r: (r[3], r[1]))
+    return out
+
+
+@pytest.mark.parametrize("stretch", [16, 2048])
+def test_component_order_equals_the_whole_computation(spark, stretch, monkeypatch):
+    """Waves that pass the cells in order, with gaps, over stretches shorter than the recording."""
+    monkeypatch.setattr(components, "STRETCH", stretch)
+    r = np.random.default_rng(9)
+    mats = {}
+    for rec, n in (("a", 8), ("b", 5)):
+        x = 0.1 * r.random((n, 200))
+        for start in range(5, 180, 40):
+            for c in range(n):
+                x[c, start + 2 * c : start + 2 * c + 6] += 1
+        x[r.random(x.shape) < 0.1] = 0
+        mats[rec] = x
+    rows = [(rec, c, 3 * t, float(v)) for rec, x in mats.items() for (c, t), v in np.ndenumerate(x) if v]
+    got = components.order_by_components(spark.createDataFrame(rows, "recording_id string, cell int, frame int, value double"), 3, 20).collect()
+    for rec, x in mats.items():
+        want = plain_component_order(x, 3, 20)
+        mine = sorted(((g.component, g.place, g.cell, g.correlation, g.lag) for g in got if g.recording_id == rec))
+        assert [(k, c, lag) for k, _, c, _, lag in mine] == [(k, c, lag) for k, c, _, lag in want]
+        assert [v for *_, v, _ in mine] == pytest.approx([v for _, _, v, _ in want])
