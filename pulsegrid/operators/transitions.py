@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.surrogates import rolled
+from pulsegrid.sources.durable import durable
 
 
 def look_ahead(spikes: DataFrame, recordings: DataFrame, low: int, high: int, by: list[str] = (), skip: DataFrame | None = None) -> DataFrame:
@@ -64,10 +65,13 @@ def run_transitions(runs: DataFrame, run_frames: DataFrame, recordings: DataFram
 
 def significant_transitions(spikes: DataFrame, recordings: DataFrame, low: int, high: int, n_surrogates: int, percentile: float = 95, seed: int = 0) -> DataFrame:
     """Transitions over the percentile of the same pair's weight in rolled surrogates (0 where a surrogate has none)."""
-    real = transitions(spikes, recordings, low, high)
-    surr = transitions(rolled(spikes, recordings, n_surrogates, seed), recordings, low, high, by=["surr"])
+    real = durable(transitions(spikes, recordings, low, high))
+    pair = ["recording_id", "src", "dst"]
+    # only pairs that are real edges are counted at all
+    met = look_ahead(rolled(spikes, recordings, n_surrogates, seed), recordings, low, high, ["surr"]).join(real.select(*pair), pair, "left_semi")
+    surr = met.groupBy(*pair, "surr").agg(F.count("*").cast("double").alias("weight"))
     # zeros are counted, not stored: the list of found weights is filled up to the number of surrogates
-    lists = surr.join(real.select("recording_id", "src", "dst"), ["recording_id", "src", "dst"], "left_semi").groupBy("recording_id", "src", "dst").agg(F.sort_array(F.collect_list("weight")).alias("w"))
+    lists = surr.groupBy(*pair).agg(F.sort_array(F.collect_list("weight")).alias("w"))
     full = F.concat(F.array_repeat(F.lit(0.0), n_surrogates - F.size("w")), F.col("w"))
     at = percentile / 100 * (n_surrogates - 1)
     low_at = int(at)
