@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import assemblies, distributions, raster, sce, signals, spatial, spectral, surrogates, sweeps, trains, transitions
 from pulsegrid.plans import kernels_catalogue, shape_catalogue, signal_catalogue
+from pulsegrid.sources import graphs
 from pulsegrid.sources import tables as S
+from pulsegrid.sources.durable import shared_place
 
 N_FRAMES = 720
 N_DAYS = 2600
@@ -274,6 +276,16 @@ def q_topk_graph(spark, d):
     return transitions.top_followers(transitions.transitions(s, r, 1, 3), 2).select("src", "dst", "weight", "rank")
 
 
+@query(f"WITH {EV}, {TR}, k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank FROM tr) SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, weight FROM k WHERE rank <= 2")
+def q_graph_files(spark, d):
+    """The follower graph, written as GraphML by the executors and read back."""
+    s, r, _ = ev(spark, d)
+    edges = transitions.top_followers(transitions.transitions(s, r, 1, 3), 2)
+    path = shared_place(spark, "graph")
+    graphs.write_graph(edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "weight"), path)
+    return graphs.read_graph(spark, path)
+
+
 @query(f"""WITH {EV}, {TR}, {rolled_sql(S_EDGES)},
 sf AS (SELECT a.surr, a.cell AS src, a.frame AS f, b.cell AS dst FROM rolled a JOIN rolled b ON a.surr = b.surr AND b.frame >= a.frame + 1 AND b.frame < a.frame + 3 AND a.cell <> b.cell GROUP BY ALL),
 sw AS (SELECT surr, src, dst, count(*) AS w FROM sf GROUP BY ALL), al AS (SELECT tr.src, tr.dst, tr.weight, coalesce(sw.w, 0) AS w FROM tr CROSS JOIN surr LEFT JOIN sw ON sw.surr = surr.surr AND sw.src = tr.src AND sw.dst = tr.dst)

@@ -299,3 +299,14 @@ def test_catalogue_of_fits(spark, tmp_path):
     assert (best.first().fit, best.first().score) == ("fit2", -3.25)
     back = results.fit_values(spark, folder, best)
     assert sorted((r.part, r.row, r.column, r.value) for r in back.collect()) == sorted(parts)
+
+
+def test_durable_rows_are_read_back(spark):
+    from pulsegrid.sources.durable import durable
+
+    d = frame(spark, [("a", [1, 2], {"x": 1.5}), (None, None, None)], "k string, v array<int>, s struct<x: double>")
+    out = durable(d)
+    assert out.schema == d.schema and sorted(map(repr, out.collect())) == sorted(map(repr, d.collect()))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "pulsegrid-rows" in str(out.inputFiles()) and "LogicalRDD" not in plan
+    assert durable(d.where("false")).count() == 0
