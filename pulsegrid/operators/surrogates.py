@@ -14,9 +14,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def roll_offset(n_frames: Column, seed: int, surr: str = "surr", cell: str = "cell") -> Column:
+def roll_offset(n_frames: Column, seed: int, surr: str | Column = "surr", cell: str = "cell") -> Column:
     """1 .. n_frames - 1 (0 where there is one frame)."""
-    s, c = F.col(surr).cast("long"), F.col(cell).cast("long")
+    s, c = (F.col(surr) if isinstance(surr, str) else surr).cast("long"), F.col(cell).cast("long")
     mixed = F.lit(seed).cast("long") * 1000003 + s * 7919 + c * 104729 + s * c * 31 + c * c * 17
     return F.when(n_frames > 1, F.pmod(mixed, n_frames - 1) + 1).otherwise(0).cast("int")
 

@@ -2,55 +2,114 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from pulsegrid.operators.surrogates import rolled
-from pulsegrid.sources.durable import durable
-
-
-def look_ahead(spikes: DataFrame, recordings: DataFrame, low: int, high: int, by: list[str] = (), skip: DataFrame | None = None) -> DataFrame:
-    """(.., src, src_frame, dst, lag): for each source spike the first spike of every other cell in ``[t + low, t + high)``.
-
-    A source spike is handed to its candidate frames and met there by an equi-join.
-    ``skip(recording_id, frame)`` frames are not searched.
-    """
-    key = ["recording_id", *by]
-    start = F.greatest(F.lit(0), F.col("frame") + low)
-    stop = F.least(F.col("frame") + high, F.col("n_frames")) - 1
-    if skip is not None:
-        gone = skip.select("recording_id", "frame").distinct()
-        found = spikes.join(gone, ["recording_id", "frame"], "left_anti")
-    else:
-        found = spikes
-    # a spike is the first of its cell in a window iff the cell's spike before it lies ahead of the window
-    before = F.lag("frame").over(W.partitionBy(*key, "cell").orderBy("frame"))
-    dst = found.select(*key, F.col("cell").alias("dst"), "frame", F.coalesce(before, F.lit(-1)).alias("before"))
-    src = spikes.join(recordings.select("recording_id", "n_frames"), "recording_id").where(start <= stop)
-    src = src.select(*key, F.col("cell").alias("src"), F.col("frame").alias("src_frame"), start.alias("start"), F.explode(F.sequence(start, stop.cast("int"))).alias("frame"))
-    met = src.join(dst, [*key, "frame"]).where("src <> dst and before < start")
-    return met.select(*key, "src", "src_frame", "dst", (F.col("frame") - F.col("src_frame")).alias("lag"))
+from pulsegrid.operators import follow_blocks as B
+from pulsegrid.operators.surrogates import roll_offset
 
 
 def transitions(spikes: DataFrame, recordings: DataFrame, low: int, high: int, rates: DataFrame | None = None, no_reverse: bool = False, by: list[str] = (), skip: DataFrame | None = None) -> DataFrame:
-    """(.., src, dst, weight, mean_lag): how often dst follows src, once per source spike.
+    """(.., src, dst, weight, mean_lag): how often dst follows src in ``[t + low, t + high)``, once per source spike.
 
     ``rates(recording_id, cell, rate)`` weighs a follower by one less its rate;
     ``no_reverse`` takes off what the pair gains the other way round. Weights of 0 or less
-    have no row.
+    have no row. ``skip(recording_id, frame)`` frames are not searched. All pairs are
+    counted by products of blocks (see ``follow_blocks``).
     """
     key = ["recording_id", *by]
-    hit = look_ahead(spikes, recordings, low, high, by, skip).groupBy(*key, "src", "dst").agg(F.count("*").alias("n"), F.avg("lag").alias("mean_lag"))
-    gain: Column = F.col("n").cast("double")
-    if rates is not None:
-        hit = hit.join(rates.select("recording_id", F.col("cell").alias("dst"), "rate"), ["recording_id", "dst"])
-        gain = F.col("n") * (1 - F.col("rate"))
-    hit = hit.withColumn("gain", gain)
-    if no_reverse:
-        back = hit.select(*key, F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("gain").alias("loss"))
-        hit = hit.join(back, [*key, "src", "dst"], "left").withColumn("gain", F.col("gain") - F.coalesce("loss", F.lit(0.0)))
-    return hit.where("gain > 0").select(*key, "src", "dst", F.col("gain").alias("weight"), "mean_lag")
+    fields = [spikes.schema[c] for c in key] + [T.StructField(c, spikes.schema["cell"].dataType) for c in ("src", "dst")]
+    schema = T.StructType([*fields, T.StructField("weight", T.DoubleType()), T.StructField("mean_lag", T.DoubleType())])
+    types = to_arrow_schema(schema)
+    weighed = rates is not None
+
+    def each(first: B.Side, second: B.Side, names: dict) -> Iterator[pa.RecordBatch]:
+        for src, dst, same in B.strips(first, second):
+            left = np.nan_to_num(1 - dst.column("rate"), nan=0.0) if weighed else None  # a follower without a rate has no row
+            back = _reverse(dst, src, low, high, same) if no_reverse else None
+            gone = np.nan_to_num(1 - src.column("rate"), nan=0.0) if weighed else None
+            for top, n, lag in B.products(src, dst, low, high, same):
+                gain = n.astype(float) if left is None else n * left
+                if back is not None:
+                    other = back(top, len(n)).astype(float)
+                    gain = gain - (other if gone is None else other * gone[top : top + len(n), None])
+                i, j = np.nonzero((gain > 0) & (n > 0))
+                if len(i):
+                    yield _edges(types, names, src.cells.take(pa.array(top + i)), dst.cells.take(pa.array(j)), gain[i, j], lag[i, j] / n[i, j].astype(float))
+
+    return B.pair_blocks(spikes, recordings, key, each, schema, skip, rates)
+
+
+def _edges(types: pa.Schema, names: dict, src: pa.Array, dst: pa.Array, *values: np.ndarray) -> pa.RecordBatch:
+    n = len(src)
+    ids = [pa.repeat(pa.scalar(v, types.field(c).type), n) for c, v in names.items()]
+    return pa.RecordBatch.from_arrays([*ids, src, dst, *[pa.array(v, f.type) for v, f in zip(values, list(types)[len(ids) + 2 :], strict=True)]], schema=types)
+
+
+def _reverse(dst: B.Side, src: B.Side, low: int, high: int, same: bool) -> Callable[[int, int], np.ndarray]:
+    """Counts of the other direction, for a strip of the source's cells: how often they follow all of ``dst``."""
+    t, x = dst.sources()
+    hit, _ = B.follows(src.raster(), t, low, high, False)
+    kind = B.exact(src.n_frames, low, high)
+    x, hit = x.astype(kind, copy=False).T, hit.astype(kind, copy=False)
+
+    def part(top: int, many: int) -> np.ndarray:
+        n = hit[top : top + many] @ x
+        if same:
+            n[np.arange(many), np.arange(top, top + many)] = 0
+        return n
+
+    return part
+
+
+def top_transitions(spikes: DataFrame, recordings: DataFrame, low: int, high: int, k: int) -> DataFrame:
+    """``top_followers(transitions(..), k)``, of which no more than ``k`` followers of a cell leave a pair of blocks."""
+    schema = T.StructType([spikes.schema["recording_id"], *[T.StructField(c, spikes.schema["cell"].dataType) for c in ("src", "dst")], T.StructField("weight", T.DoubleType()), T.StructField("mean_lag", T.DoubleType())])
+    types = to_arrow_schema(schema)
+
+    def each(first: B.Side, second: B.Side, names: dict) -> Iterator[pa.RecordBatch]:
+        for src, dst, same in B.strips(first, second):
+            for top, n, lag in B.products(src, dst, low, high, same):
+                rows = np.arange(len(n))
+                left = n.copy()
+                for _ in range(min(k, n.shape[1])):
+                    j = left.argmax(1)  # of equals the lowest cell: cells are in order
+                    on = left[rows, j] > 0
+                    left[rows, j] = 0
+                    if not on.any():
+                        break
+                    i, j = rows[on], j[on]
+                    yield _edges(types, names, src.cells.take(pa.array(top + i)), dst.cells.take(pa.array(j)), n[i, j].astype(float), lag[i, j] / n[i, j].astype(float))
+
+    return top_followers(B.pair_blocks(spikes, recordings, ["recording_id"], each, schema), k)
+
+
+def transition_degrees(spikes: DataFrame, recordings: DataFrame, low: int, high: int) -> DataFrame:
+    """(recording_id, node, degree): how many other cells follow a cell or are followed by it, counted where the products are made."""
+    schema = T.StructType([spikes.schema["recording_id"], T.StructField("node", spikes.schema["cell"].dataType), T.StructField("n", T.LongType())])
+    types = to_arrow_schema(schema)
+
+    def each(first: B.Side, second: B.Side, names: dict) -> Iterator[pa.RecordBatch]:
+        same = first is second
+        back = _reverse(second, first, low, high, same)
+        rows, columns = np.zeros(len(first), int), np.zeros(len(second), int)
+        for top, n, _ in B.products(first, second, low, high, same, lags=False):
+            tied = (n > 0) | (back(top, len(n)) > 0)
+            rows[top : top + len(n)] = tied.sum(1)
+            columns += tied.sum(0)
+        for side, counts in [(first, rows)] if same else [(first, rows), (second, columns)]:
+            ids = [pa.repeat(pa.scalar(v, types.field(c).type), len(side)) for c, v in names.items()]
+            yield pa.RecordBatch.from_arrays([*ids, side.cells, pa.array(counts, pa.int64())], schema=types)
+
+    parts = B.pair_blocks(spikes, recordings, ["recording_id"], each, schema)
+    return parts.groupBy("recording_id", "node").agg(F.sum("n").alias("degree")).where("degree > 0")
 
 
 def run_transitions(runs: DataFrame, run_frames: DataFrame, recordings: DataFrame, low: int, high: int) -> DataFrame:
@@ -64,21 +123,35 @@ def run_transitions(runs: DataFrame, run_frames: DataFrame, recordings: DataFram
 
 
 def significant_transitions(spikes: DataFrame, recordings: DataFrame, low: int, high: int, n_surrogates: int, percentile: float = 95, seed: int = 0) -> DataFrame:
-    """Transitions over the percentile of the same pair's weight in rolled surrogates (0 where a surrogate has none)."""
-    real = durable(transitions(spikes, recordings, low, high))
-    pair = ["recording_id", "src", "dst"]
-    # only pairs that are real edges are counted at all
-    met = look_ahead(rolled(spikes, recordings, n_surrogates, seed), recordings, low, high, ["surr"]).join(real.select(*pair), pair, "left_semi")
-    surr = met.groupBy(*pair, "surr").agg(F.count("*").cast("double").alias("weight"))
-    # zeros are counted, not stored: the list of found weights is filled up to the number of surrogates
-    lists = surr.groupBy(*pair).agg(F.sort_array(F.collect_list("weight")).alias("w"))
-    full = F.concat(F.array_repeat(F.lit(0.0), n_surrogates - F.size("w")), F.col("w"))
+    """Transitions over the percentile of the same pair's weight in rolled surrogates (0 where a surrogate has none).
+
+    A pair of blocks is counted in all surrogates where its real counts are; of each pair of
+    cells the largest weights that the percentile lies among are kept.
+    """
+    schema = T.StructType([spikes.schema["recording_id"], *[T.StructField(c, spikes.schema["cell"].dataType) for c in ("src", "dst")], *[T.StructField(c, T.DoubleType()) for c in ("weight", "mean_lag", "cut")]])
+    types = to_arrow_schema(schema)
     at = percentile / 100 * (n_surrogates - 1)
-    low_at = int(at)
-    high_at = min(low_at + 1, n_surrogates - 1)
-    cut = lists.withColumn("full", full).select("recording_id", "src", "dst", (F.col("full")[low_at] + (F.col("full")[high_at] - F.col("full")[low_at]) * (at - low_at)).alias("cut"))
-    out = real.join(cut, ["recording_id", "src", "dst"], "left").withColumn("cut", F.coalesce("cut", F.lit(0.0)))
-    return out.where("weight > cut").select("recording_id", "src", "dst", "weight", "mean_lag", "cut")
+    most = n_surrogates - int(at)  # the largest of them, down to the one below the percentile
+
+    def each(first: B.Side, second: B.Side, names: dict) -> Iterator[pa.RecordBatch]:
+        for src, dst, same in B.strips(first, second):
+            own, other = (np.array(s.rows.field("offsets").to_pylist(), np.int64).reshape(len(s), -1) for s in (src, dst))
+            high_w = np.zeros((min(most, n_surrogates), len(src), len(dst)), np.float32)  # largest first
+            for k in range(n_surrogates):
+                for top, n, _ in B.products(src, dst, low, high, same, lags=False, own=own[:, k], other=other[:, k]):
+                    new, held = n, high_w[:, top : top + len(n)]
+                    for rank in held:
+                        new, rank[:] = np.minimum(rank, new), np.maximum(rank, new)
+            for top, n, lag in B.products(src, dst, low, high, same):
+                held = high_w[:, top : top + len(n)].astype(float)
+                below, above = held[-1], held[max(len(held) - 2, 0)]
+                cut = below + (above - below) * (at - int(at))
+                i, j = np.nonzero(n > cut)
+                if len(i):
+                    yield _edges(types, names, src.cells.take(pa.array(top + i)), dst.cells.take(pa.array(j)), n[i, j].astype(float), lag[i, j] / n[i, j].astype(float), cut[i, j])
+
+    rolls = F.array(*[roll_offset(F.col("n_frames"), seed, F.lit(s)) for s in range(n_surrogates)])
+    return B.pair_blocks(spikes, recordings, ["recording_id"], each, schema, offsets=rolls)
 
 
 def top_followers(edges: DataFrame, k: int, min_weight: float | None = None, second: DataFrame | None = None, by_lag: bool = False) -> DataFrame:

@@ -273,14 +273,14 @@ def q_transitions_no_reverse(spark, d):
 @query(f"WITH {EV}, {TR}, k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank FROM tr) SELECT src, dst, weight, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 2")
 def q_topk_graph(spark, d):
     s, r, _ = ev(spark, d)
-    return transitions.top_followers(transitions.transitions(s, r, 1, 3), 2).select("src", "dst", "weight", "rank")
+    return transitions.top_transitions(s, r, 1, 3, 2).select("src", "dst", "weight", "rank")
 
 
 @query(f"WITH {EV}, {TR}, k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank FROM tr) SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, weight FROM k WHERE rank <= 2")
 def q_graph_files(spark, d):
     """The follower graph, written as GraphML by the executors and read back."""
     s, r, _ = ev(spark, d)
-    edges = transitions.top_followers(transitions.transitions(s, r, 1, 3), 2)
+    edges = transitions.top_transitions(s, r, 1, 3, 2)
     path = shared_place(spark, "graph")
     graphs.write_graph(edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "weight"), path)
     return graphs.read_graph(spark, path)
@@ -298,7 +298,7 @@ def q_edge_filter(spark, d):
 @query(f"WITH {EV}, {TR}, e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM tr) SELECT node, count(*) AS degree FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY 1")
 def q_graph_degrees(spark, d):
     s, r, _ = ev(spark, d)
-    return transitions.degrees(transitions.transitions(s, r, 1, 3))
+    return transitions.transition_degrees(s, r, 1, 3).select("node", "degree")
 
 
 COV = f"""{SCE1}, {CELLS}, m AS (SELECT DISTINCT sce_id, cell FROM sce JOIN ev ON ev.frame BETWEEN start_frame AND end_frame), n AS (SELECT sce_id, count(*) AS n FROM m GROUP BY 1),
