@@ -60,3 +60,14 @@ def test_degrees_by_blocks(raster, few):
             want[k, c] = sum(c in p for p in tied)
     got = transitions.transition_degrees(s, r, 1, 3)
     assert {(x.recording_id, x.node): x.degree for x in got.collect()} == want
+
+
+def test_top_followers_by_blocks(raster, few):
+    rows, s, r = raster
+    want = {}
+    for k, v in rows.items():
+        edges = plain(v, 1, 3)
+        for c in {a for a, _ in edges}:
+            best = sorted((-w, d, m) for (a, d), (w, m) in edges.items() if a == c)[:2]
+            want |= {(k, c, d): (-w, m, i + 1) for i, (w, d, m) in enumerate(best)}
+    assert found(transitions.top_transitions(s, r, 1, 3, 2), "weight", "mean_lag", "rank") == want
