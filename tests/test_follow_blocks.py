@@ -71,3 +71,14 @@ def test_top_followers_by_blocks(raster, few):
             best = sorted((-w, d, m) for (a, d), (w, m) in edges.items() if a == c)[:2]
             want |= {(k, c, d): (-w, m, i + 1) for i, (w, d, m) in enumerate(best)}
     assert found(transitions.top_transitions(s, r, 1, 3, 2), "weight", "mean_lag", "rank") == want
+
+
+def test_graph_files_take_few_edges(spark, raster, few, tmp_path):
+    from pulsegrid.sources import graphs
+
+    rows, s, r = raster
+    top = transitions.top_transitions(s, r, 1, 3, 2).where("recording_id = 'a'")
+    graphs.write_graph(top.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "weight"), str(tmp_path / "g"))
+    back = {(int(x.src), int(x.dst)): x.weight for x in graphs.read_graph(spark, str(tmp_path / "g")).collect()}
+    every = {k: w for k, (w, _) in plain(rows["a"], 1, 3).items()}
+    assert back and all(every[k] == w for k, w in back.items()) and len(back) == 2 * len({a for a, _ in every})
