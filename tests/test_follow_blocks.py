@@ -82,3 +82,20 @@ def test_graph_files_take_few_edges(spark, raster, few, tmp_path):
     back = {(int(x.src), int(x.dst)): x.weight for x in graphs.read_graph(spark, str(tmp_path / "g")).collect()}
     every = {k: w for k, (w, _) in plain(rows["a"], 1, 3).items()}
     assert back and all(every[k] == w for k, w in back.items()) and len(back) == 2 * len({a for a, _ in every})
+
+
+def test_edge_filter_by_blocks(spark, raster, few):
+    rows, s, r = raster
+    s = s.where(f"frame >= 0 and frame < {N}")
+    drawn = {}
+    for x in surrogates.rolled(s, r, 20).collect():
+        drawn.setdefault((x.recording_id, x.surr), []).append((x.cell, x.frame))
+    want = {}
+    for k in ("a", "b"):
+        real = plain([x for x in rows[k] if 0 <= x[1] < N], 1, 3)
+        null = [plain(drawn[k, i], 1, 3) for i in range(20)]
+        for p, (w, m) in real.items():
+            cut = float(np.percentile([n.get(p, (0.0,))[0] for n in null], 95))
+            if w > cut:
+                want[k, *p] = (w, m, pytest.approx(cut))
+    assert want and found(transitions.significant_transitions(s, r, 1, 3, 20), "weight", "mean_lag", "cut") == want
