@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pulsegrid.sources.durable import durable
+
 
 def pixels(cells: DataFrame) -> DataFrame:
     """Distinct contour pixels of ``cells(cell, contour ARRAY<STRUCT<x, y>>)``."""
@@ -57,15 +59,25 @@ def overlaps(mask: DataFrame) -> DataFrame:
 def match_cells(first: DataFrame, second: DataFrame, radius: float = 2.0) -> DataFrame:
     """(cell, matched): the nearest centre of a second session within ``radius``, else -1; of equals the lowest cell.
 
-    Centres are dealt to grid squares of the radius, and each meets its own and the eight around.
+    Equal centres are one. They are dealt to grid squares and each meets its own and the
+    eight around, first in squares of a sixteenth of the radius, then of a quarter and of
+    the radius: what lies within a square's side is the nearest, and only centres that have
+    found nothing so near go on, so dense places don't make all their pairs.
     """
-    sq = lambda c: F.floor(F.col(c) / radius)
-    near = F.explode(F.array(*[F.struct((sq("cx") + i).alias("gx"), (sq("cy") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    a = first.select("cell", "cx", "cy", near.alias("g")).select("cell", "cx", "cy", "g.gx", "g.gy")
-    b = second.select(F.col("cell").alias("other"), F.col("cx").alias("ox"), F.col("cy").alias("oy"), sq("cx").alias("gx"), sq("cy").alias("gy"))
+    a = durable(first.groupBy("cx", "cy").agg(F.collect_list("cell").alias("cells")).select("cx", "cy", F.explode("cells").alias("cell")))
+    b = durable(second.groupBy(F.col("cx").alias("ox"), F.col("cy").alias("oy")).agg(F.min("cell").alias("other")))
+    left, found = a.select("cx", "cy").distinct(), None
     d = F.sqrt((F.col("cx") - F.col("ox")) ** 2 + (F.col("cy") - F.col("oy")) ** 2)
-    hit = a.join(b, ["gx", "gy"]).withColumn("d", d).where(F.col("d") <= radius).groupBy("cell").agg(F.min(F.struct("d", "other")).alias("m"))
-    return first.select("cell").join(hit, "cell", "left").select("cell", F.coalesce("m.other", F.lit(-1)).alias("matched"))
+    for part in (16, 4, 1):
+        side = radius / part
+        sq = lambda c: F.floor(F.col(c) / side)  # noqa: B023, E731
+        near = F.explode(F.array(*[F.struct((sq("cx") + i).alias("gx"), (sq("cy") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        x = left.select("cx", "cy", near.alias("g")).select("cx", "cy", "g.gx", "g.gy")
+        hit = x.join(b.withColumn("gx", sq("ox")).withColumn("gy", sq("oy")), ["gx", "gy"]).withColumn("d", d).where(F.col("d") <= side)
+        best = durable(hit.groupBy("cx", "cy").agg(F.min(F.struct("d", "other")).alias("m")).select("cx", "cy", "m.other"))
+        found = best if found is None else found.union(best)
+        left = durable(left.join(best, ["cx", "cy"], "left_anti"))
+    return a.join(found, ["cx", "cy"], "left").select("cell", F.coalesce("other", F.lit(-1)).alias("matched"))
 
 
 def translated(cells: DataFrame, dx: int, dy: int) -> DataFrame:

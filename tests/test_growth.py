@@ -14,3 +14,18 @@ def test_runs_across_words_and_of_repeated_spikes(spark):
     s = spark.createDataFrame([("r", 1, f) for f in frames + [63, 64]], S.SPIKES)
     got = sorted((r.run_id, r.start_frame, r.end_frame, r.length) for r in raster.runs(s).collect())
     assert got == [(0, -2, 1, 4), (1, 62, 65, 4), (2, 127, 128, 2), (3, 200, 200, 1)]
+
+
+def test_nearest_centres_near_far_and_equal(spark):
+    rng = random.Random(3)
+    point = lambda: (round(rng.uniform(0, 20), 1), round(rng.uniform(0, 20), 1))
+    a, b = [point() for _ in range(60)], [point() for _ in range(60)]
+    a, b = a + a, b + b
+    table = lambda rows: spark.createDataFrame([(i, *p) for i, p in enumerate(rows)], "cell long, cx double, cy double")
+    want = {}
+    for i, (x, y) in enumerate(a):
+        d, j = min((((x - u) ** 2 + (y - v) ** 2) ** 0.5, j) for j, (u, v) in enumerate(b))
+        want[i] = j if d <= 2 else -1
+    out = spatial.match_cells(table(a), table(b), 2.0)
+    assert {r.cell: r.matched for r in out.collect()} == want
+    assert "Sample" not in out._jdf.queryExecution().toString() and set(want.values()) - {-1}
