@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import kernels as K
@@ -101,23 +102,34 @@ def _within(rows: DataFrame, runs: DataFrame) -> DataFrame:
 
 def detect_no_redundancy(spikes: DataFrame, recordings: DataFrame, window: int, thresholds: DataFrame) -> DataFrame:
     """Like ``detect``, but a cell counts towards the open event only once: windows continue it while cells not seen in it before its last window reach the threshold."""
-    rows = spikes.join(recordings, "recording_id").join(F.broadcast(thresholds), "recording_id").select("recording_id", "cell", "frame", "n_frames", "threshold")
+    # a cell of a window counts if it spikes in the last frame, or if its last spike before the
+    # window lies ahead of the event: cells are counted by that spike's frame, and the counts scanned
+    held = spikes.where("cell is not null and frame >= 0").select("recording_id", "cell", "frame").distinct()
+    order = W.partitionBy("recording_id", "cell").orderBy("frame")
+    seen = held.withColumn("prev", F.coalesce(F.lag("frame").over(order), F.lit(-1)))
+    for k in range(1, window):
+        seen = seen.withColumn(f"next{k}", F.lead("frame", k).over(order))
+    starts = F.sequence(F.greatest(F.lit(0), F.col("prev") + 1, F.col("frame") - window + 1), F.col("frame"))
+    each = seen.withColumn("t", F.explode(starts))
+    newest = F.coalesce(F.col("t") + window - 1 == F.col("frame"), F.lit(False))
+    for k in range(1, window):
+        newest = newest | F.coalesce(F.col("t") + window - 1 == F.col(f"next{k}"), F.lit(False))
+    counts = each.select("recording_id", "t", F.when(newest, -1).otherwise(F.col("prev")).alias("prev")).groupBy("recording_id", "t", "prev").agg(F.count("*").alias("n"))
+    rec = recordings.join(thresholds, "recording_id").select("recording_id", "n_frames", "threshold")
+    rows = spikes.select("recording_id").distinct().join(F.broadcast(rec), "recording_id").join(counts, "recording_id", "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         n, thr = int(pdf.n_frames.iloc[0]), float(pdf.threshold.iloc[0])
-        at: dict[int, set] = {}
-        for c, f in zip(pdf.cell, pdf.frame, strict=True):
-            at.setdefault(int(f), set()).add(int(c))
-        out, start, seen = [], None, set()
+        at = {int(t): (g.prev.to_numpy(), g.n.to_numpy()) for t, g in pdf.dropna(subset=["t"]).groupby("t")}
+        out, start = [], None
         for t in range(max(n - window, 1)):
-            active = set().union(*(at.get(x, set()) for x in range(t, t + window)))
-            count = len(active if start is None else active - (seen - at.get(t + window - 1, set())))
+            prev, many = at.get(t, (np.zeros(0), np.zeros(0)))
+            count = int(many.sum() if start is None else many[prev < start].sum())
             if count >= thr:
                 start = t if start is None else start
-                seen |= at.get(t, set())
             elif start is not None:
                 out.append((start, t + window - 2))
-                start, seen = None, set()
+                start = None
         if start is not None:
             out.append((start, n - 2 if window > 1 else n - 1))
         return pd.DataFrame({"recording_id": pdf.recording_id.iloc[0], "sce_id": range(len(out)), "start_frame": [a for a, _ in out], "end_frame": [b for _, b in out]})

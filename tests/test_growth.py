@@ -29,3 +29,27 @@ def test_nearest_centres_near_far_and_equal(spark):
     out = spatial.match_cells(table(a), table(b), 2.0)
     assert {r.cell: r.matched for r in out.collect()} == want
     assert "Sample" not in out._jdf.queryExecution().toString() and set(want.values()) - {-1}
+
+
+def test_no_redundancy_hands_on_counts_and_not_spikes(spark):
+    rng = random.Random(5)
+    rows = sorted({(rng.randrange(30), int(rng.gauss(20, 6))) for _ in range(260)})
+    rows = [r for r in rows if 0 <= r[1] < 40]
+    s = spark.createDataFrame([("r", *x) for x in rows], S.SPIKES)
+    r = spark.createDataFrame([("r", 30, 40)], "recording_id string, n_cells int, n_frames int")
+    for w, thr in ((1, 9.0), (3, 12.0), (4, 8.0)):
+        at, want, start, seen = {}, [], None, set()
+        for c, f in rows:
+            at.setdefault(f, set()).add(c)
+        for t in range(40 - w):
+            active = set().union(*(at.get(x, set()) for x in range(t, t + w)))
+            if len(active if start is None else active - (seen - at.get(t + w - 1, set()))) >= thr:
+                start = t if start is None else start
+                seen |= at.get(t, set())
+            elif start is not None:
+                want.append((start, t + w - 2))
+                start, seen = None, set()
+        if start is not None:
+            want.append((start, 38 if w > 1 else 39))
+        out = sce.detect_no_redundancy(s, r, w, spark.createDataFrame([("r", thr)], "recording_id string, threshold double"))
+        assert [(x.start_frame, x.end_frame) for x in out.orderBy("sce_id").collect()] == want and want
