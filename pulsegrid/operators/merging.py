@@ -61,6 +61,7 @@ def cluster_trains(trains: DataFrame, n_surrogates: int = 300, sigma: float | No
     """
     if sigma is None and jitter_range <= 0:
         raise ValueError("a jitter needs a range")
+    trains = durable(trains.select(R, "cell", "t"))  # read once, not in every branch
     numbered = trains.select(R, "cell").distinct().withColumn("node", F.row_number().over(W.partitionBy(R).orderBy("cell")) - 1)
     size = durable(numbered.groupBy(R).agg(F.count("*").cast("int").alias("n")))
     real = durable(trains.join(numbered, [R, "cell"]).select(R, "node", F.col("node").alias("origin"), F.col("t").cast("double").alias("t")))

@@ -53,3 +53,16 @@ def test_no_redundancy_hands_on_counts_and_not_spikes(spark):
             want.append((start, 38 if w > 1 else 39))
         out = sce.detect_no_redundancy(s, r, w, spark.createDataFrame([("r", thr)], "recording_id string, threshold double"))
         assert [(x.start_frame, x.end_frame) for x in out.orderBy("sce_id").collect()] == want and want
+
+
+def test_trains_of_a_clustering_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    t = spark.createDataFrame([("r", c, float(5 * i + c)) for c in range(3) for i in range(4)], "recording_id string, cell int, t double")
+    assert merging.cluster_trains(t.mapInPandas(passed, t.schema), 4, sigma=1.0, early_stop=False).count() == 2
+    assert read.value == 12
