@@ -236,7 +236,7 @@ cr AS (SELECT px.cell, x, y,
 SELECT cell, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM cr WHERE edge OR crossings % 2 = 1""")
 def filled_masks(spark, d):
     functions.register(spark)
-    return spark.sql("SELECT cell, p.x, p.y FROM {cells}, LATERAL mask_pixels(xs, ys) p", cells=_corners(spark, d))
+    return spark.sql("SELECT cell, p.x, p.y FROM {cells}, LATERAL mask_pixels(xs, ys) p", cells=_corners(spark, d).repartition(4 * spark.sparkContext.defaultParallelism))  # the table is one small file
 
 
 @query(f"""WITH {BUSY}, isl AS (SELECT cell, frame, frame - row_number() OVER (PARTITION BY cell ORDER BY frame) AS g FROM busy), rn AS (SELECT cell, min(frame) AS t FROM isl GROUP BY cell, g),
