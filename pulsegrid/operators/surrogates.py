@@ -33,9 +33,9 @@ def rolled(spikes: DataFrame, recordings: DataFrame, n: int, seed: int = 0) -> D
     return s.select("recording_id", "surr", "cell", F.pmod(F.col("frame") + k, F.col("n_frames")).cast("int").alias("frame"))
 
 
-def uniform(seed: int, *cols: str) -> Column:
+def uniform(seed: int, *cols: str | Column) -> Column:
     """A number in [0, 1) drawn by a hash of the columns, one that any SQL engine has."""
-    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols])), 1, 13)
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols])), 1, 13)
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 

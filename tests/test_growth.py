@@ -66,3 +66,19 @@ def test_trains_of_a_clustering_are_read_once(spark):
     t = spark.createDataFrame([("r", c, float(5 * i + c)) for c in range(3) for i in range(4)], "recording_id string, cell int, t double")
     assert merging.cluster_trains(t.mapInPandas(passed, t.schema), 4, sigma=1.0, early_stop=False).count() == 2
     assert read.value == 12
+
+
+def test_cosine_silhouette_shuffles_no_vectors(spark):
+    rng = random.Random(7)
+    p = spark.createDataFrame([(i, i % 3, [rng.uniform(-1, 1) for _ in range(5)]) for i in range(40)], "id long, label int, v array<double>")
+    out = assemblies.cosine_silhouette(p, "v", "label", "id")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1  # elements become rows for the sums of clusters only
+    vs = {r.id: (r.label, r.v) for r in p.collect()}
+    unit = {i: [x / sum(y * y for y in v) ** 0.5 for x in v] for i, (_, v) in vs.items()}
+    far = lambda i, j: 1 - sum(x * y for x, y in zip(unit[i], unit[j], strict=True))
+    for r in out.collect():
+        mean = {c: [far(r.id, j) for j in vs if j != r.id and vs[j][0] == c] for c in range(3)}
+        mean = {c: sum(d) / len(d) for c, d in mean.items()}
+        a, b = mean[r.label], min(d for c, d in mean.items() if c != r.label)
+        assert abs(r.silhouette - (b - a) / max(a, b)) < 1e-9
