@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import assemblies, components, latent_jobs, loss, merging, raster, sce, sequences, signals, spatial, spectral, surrogates, transitions, waves
 from pulsegrid.sources import tables as S
+from pulsegrid.sources.durable import durable
 
 N_DAYS = 2600
 #: Surrogates of a functional clustering in the registered queries.
@@ -88,7 +89,7 @@ def order_repetitions(spark, d):
 def _events(spark, d):
     s = S.event_spikes(S.table(spark, d, "events"))
     r = S.recordings_of(s, 720)
-    e = sce.detect(s, r, 1, sce.detection_threshold(s, r, 1, 100))
+    e = durable(sce.detect(s, r, 1, sce.detection_threshold(s, r, 1, 100)))  # surrogates are drawn once
     return s, r, e
 
 
@@ -99,18 +100,20 @@ def kmeans_events(spark, d):
 
 def assembly_cells(spark, d):
     s, _, e = _events(spark, d)
-    cells = sce.sce_cells(s, e)
+    cells = durable(sce.sce_cells(s, e))
     k = assemblies.cluster_events(cells, [3], n_surrogates=5, trials=10)
     return assemblies.assemblies(cells, k.select("recording_id", "sce_id", "label"), n_surrogates=100)[0]
 
 
 def peak_events(spark, d):
-    s, r, _ = _events(spark, d)
+    s = S.event_spikes(S.table(spark, d, "events"))
+    r = S.recordings_of(s, 720)
     return sce.detect_peaks(s, r)
 
 
 def sce_no_redundancy(spark, d):
-    s, r, _ = _events(spark, d)
+    s = S.event_spikes(S.table(spark, d, "events"))
+    r = S.recordings_of(s, 720)
     return sce.detect_no_redundancy(s, r, 3, sce.detection_threshold(s, r, 3, 20))
 
 

@@ -82,3 +82,15 @@ def test_cosine_silhouette_shuffles_no_vectors(spark):
         mean = {c: sum(d) / len(d) for c, d in mean.items()}
         a, b = mean[r.label], min(d for c, d in mean.items() if c != r.label)
         assert abs(r.silhouette - (b - a) / max(a, b)) < 1e-9
+
+
+def test_dealt_counts_are_not_windowed_by_slot(spark):
+    cells = spark.createDataFrame([("r", e, c) for e in range(8) for c in range(12) if (e < 4) == (c < 6)], "recording_id string, sce_id int, cell int")
+    labels = spark.createDataFrame([("r", e, int(e >= 4)) for e in range(8)], "recording_id string, sce_id int, label int")
+    n = cells.join(labels, ["recording_id", "sce_id"]).groupBy("recording_id", "cell", "label").agg(F.count("*").alias("n"))
+    size = labels.groupBy("recording_id", "label").agg(F.count("*").cast("int").alias("size"))
+    cut = assemblies._null_cut(n, size, "cell", "label", 50, 0, 0.05, F.lit(2))
+    assert "Window" not in cut._jdf.queryExecution().optimizedPlan().toString()
+    for r in cut.collect():
+        draws = [sorted((int(hashlib.md5(f"0|{r.cell}|{u}|{x}|{p}".encode()).hexdigest()[:13], 16), x, p) for x in (0, 1) for p in range(1, 5))[:4] for u in range(50)]
+        assert r.cut == sorted(sum(x == r.label for _, x, _ in d) for d in draws)[48]
