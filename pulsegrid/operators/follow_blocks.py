@@ -1,10 +1,12 @@
 """How often cells follow each other, for all pairs of cells, as products of blocks.
 
-The cells of a recording are dealt to blocks, and a task holds one pair of blocks as two
-rasters: the spikes of the one side's cells, and for each of their frames whether (and how
-late) a cell of the other side follows. Their product counts every pair of cells at once;
-it is made strip by strip and handed on, or folded to what is asked of it, where it is
-made. Nothing of the size of the pairs is shuffled, sorted or kept.
+The cells of a recording are dealt to blocks, and a task holds one pair of blocks as trains.
+It takes parts of both as two rasters: the spikes of the one side's cells, and for each of
+their frames whether (and how late) a cell of the other side follows. Their product counts
+every pair of cells at once; it is made strip by strip and handed on, or folded to what is
+asked of it, where it is made. Nothing of the size of the pairs is shuffled, sorted or kept:
+a block is sent once for every block, and there are no more than ``WIDE`` of them until
+they are full.
 """
 
 from __future__ import annotations
@@ -19,17 +21,18 @@ from pyspark.sql import functions as F
 
 from pulsegrid.sources.durable import durable
 
-#: Cells of a block at most, cells at least, values of a block's raster, and rows of a product made at once.
+#: Cells of a part at most, cells of a block at least, values of a part's raster, and rows of a product made at once.
 MOST, LEAST, RASTER, STRIP = 4096, 64, 4_000_000, 128
+#: Blocks of a recording, unless one would hold more spikes than a task is to have.
+WIDE, SPIKES = 12, 4_000_000
 #: Tasks of one job at most.
 TASKS = 8192
 
 
 class Side:
-    """A block of cells in order, with their spikes, what the cells carry, and the rasters made of them."""
+    """A part of a block: cells in order, with their spikes, what the cells carry, and the rasters made of them."""
 
     def __init__(self, rows: pa.StructArray, n_frames: int):
-        rows = rows.take(pc.sort_indices(rows.field("cell")))
         self.cells, self.n_frames, self.rows = rows.field("cell"), n_frames, rows
         trains = rows.field("frames")
         self.at = np.repeat(np.arange(len(rows)), np.asarray(pc.list_value_length(trains)))
@@ -60,6 +63,13 @@ class Side:
         return self.frames if offsets is None else (self.frames + offsets[self.at]) % self.n_frames
 
 
+def parts(rows: pa.StructArray, n_frames: int) -> list[Side]:
+    """The cells of a block, in order, by as many as may be a raster at once."""
+    rows = rows.take(pc.sort_indices(rows.field("cell")))
+    size = max(LEAST, min(MOST, RASTER // max(n_frames, 1)))
+    return [Side(rows.slice(at, size), n_frames) for at in range(0, len(rows), size)]
+
+
 def follows(raster: np.ndarray, t: np.ndarray, low: int, high: int, lags: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
     """(hit, lag): whether each cell has a spike in ``[t + low, t + high)`` of every t, and how late its first comes."""
     n = raster.shape[1]
@@ -80,9 +90,9 @@ def exact(n_frames: int, low: int, high: int) -> type:
 
 
 def pair_blocks(spikes: DataFrame, recordings: DataFrame, key: list[str], each: Callable[..., Iterator[pa.RecordBatch]], schema, skip: DataFrame | None = None, rates: DataFrame | None = None, offsets=None) -> DataFrame:
-    """Rows of ``each(first, second, names)`` for all unordered pairs of blocks of a recording, a block with itself among them.
+    """Rows of ``each(first, second, names)`` for all unordered pairs of parts of a recording, a part with itself among them.
 
-    ``first`` and ``second`` are ``Side``s (the same one for a block with itself); ``names``
+    ``first`` and ``second`` are ``Side``s (the same one for a part with itself); ``names``
     are the values of ``key``. ``offsets`` is a column of an array for each cell.
     """
     held = spikes.where("cell is not null and frame is not null").select(*key, "cell", "frame")
@@ -101,31 +111,36 @@ def pair_blocks(spikes: DataFrame, recordings: DataFrame, key: list[str], each:
         trains = trains.withColumn("offsets", offsets)
     trains = durable(trains)
     carried = [c for c in trains.columns if c not in (*key, "n_frames")]
-    size = F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.floor(RASTER / F.greatest(F.col("n_frames"), F.lit(1)))))
-    many = durable(trains.groupBy(*key, "n_frames").agg(F.count("*").alias("n")).select(*key, F.ceil(F.col("n") / size).cast("int").alias("many")))  # a row a raster
+    counts = trains.groupBy(*key, "n_frames").agg(F.count("*").alias("n"), F.sum(F.size("frames") + 8).alias("held"))  # a row a raster
+    wide = F.least(F.lit(WIDE), F.ceil(F.col("n") / LEAST))
+    many = durable(counts.select(*key, F.greatest(wide, F.ceil(F.col("held") / SPIKES)).cast("int").alias("many")))
     pairs = many.agg(F.sum(F.col("many") * (F.col("many") + 1) / 2)).first()[0] or 1
     dealt = trains.join(F.broadcast(many), key).withColumn("block", F.pmod(F.xxhash64("cell"), F.col("many")).cast("int"))
     blocks = dealt.groupBy(*key, "n_frames", "many", "block").agg(F.collect_list(F.struct(*carried)).alias("rows"))
     sent = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
     sent = sent.select(*key, "n_frames", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "rows")
     # a block that has got no cell meets nobody: with it the other side stays alone
-    met = sent.repartition(int(min(max(pairs, 1), TASKS)), *key, "a", "b").sortWithinPartitions(*key, "a", "b", "block")
+    met = sent.repartition(int(min(4 * max(pairs, 1), TASKS)), *key, "a", "b").sortWithinPartitions(*key, "a", "b", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = None
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {c: batch.column(c)[i].as_py() for c in (*key, "n_frames", "a", "b", "block")}
-                side = Side(batch.column("rows")[i].values, int(r["n_frames"]))
+                block = parts(batch.column("rows")[i].values, int(r["n_frames"]))
                 names = {c: r[c] for c in key}
                 pair = (*names.values(), r["a"], r["b"])
                 if r["a"] == r["b"]:
-                    yield from each(side, side, names)
+                    for j, first in enumerate(block):
+                        for second in block[j:]:
+                            yield from each(first, second, names)
                 elif waiting is not None and waiting[0] == pair:
-                    yield from each(waiting[1], side, names)
+                    for first in waiting[1]:
+                        for second in block:
+                            yield from each(first, second, names)
                     waiting = None
                 else:
-                    waiting = (pair, side)
+                    waiting = (pair, block)
 
     return met.mapInArrow(run, schema)
 

@@ -99,3 +99,15 @@ def test_edge_filter_by_blocks(spark, raster, few):
             if w > cut:
                 want[k, *p] = (w, m, pytest.approx(cut))
     assert want and found(transitions.significant_transitions(s, r, 1, 3, 20), "weight", "mean_lag", "cut") == want
+
+
+def test_blocks_are_sent_in_proportion_to_the_spikes(spark):
+    """Five times the cells are dealt to as many blocks, so that each is sent as often."""
+
+    def meetings(cells):
+        s = spark.range(cells).select(F.lit("r").alias("recording_id"), F.col("id").cast("int").alias("cell"), (F.col("id") % 9).cast("int").alias("frame"))
+        r = spark.createDataFrame([("r", cells, 2000)], "recording_id string, n_cells int, n_frames int")
+        pairs = transitions.top_transitions(s, r, 1, 3, 1)._jdf.queryExecution().optimizedPlan().toString()
+        return int(pairs.split("RepartitionByExpression", 1)[1].split("\n", 1)[0].rsplit(", ", 1)[1])
+
+    assert meetings(2000) == meetings(10000) > 12
