@@ -111,3 +111,13 @@ def test_blocks_are_sent_in_proportion_to_the_spikes(spark):
         return int(pairs.split("RepartitionByExpression", 1)[1].split("\n", 1)[0].rsplit(", ", 1)[1])
 
     assert meetings(2000) == meetings(10000) > 12
+
+
+def test_no_reverse_by_parts_without_lags(raster, few):
+    rows, s, r = raster
+    want = {}
+    for k, v in rows.items():
+        edges = plain(v, 1, 3)
+        want |= {(k, a, d): (w - edges.get((d, a), (0.0,))[0],) for (a, d), (w, _) in edges.items() if w > edges.get((d, a), (0.0,))[0]}
+    got = transitions.transitions(s, r, 1, 3, no_reverse=True, lags=False)
+    assert got.columns == ["recording_id", "src", "dst", "weight"] and found(got, "weight") == want
