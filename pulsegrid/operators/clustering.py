@@ -14,6 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +23,10 @@ from pyspark.sql import functions as F
 from pulsegrid.sources.durable import durable
 
 BLOCK = 512
+#: Silhouettes: points of a block at most and at least, blocks of a set unless they are full, points of a tile, tasks of one job at most.
+MOST, LEAST, WIDE, TILE, TASKS = 32_768, 512, 12, 256, 8192
+#: Squares of distances under this share of a point's own square are made from differences.
+NEAR = 1e-6
 RUN = ["set", "k", "trial"]
 RUNS = "set string, k int, trial int"
 
@@ -125,28 +131,21 @@ def kmeans(points: DataFrame, runs: DataFrame, seed: int = 0, rounds: int = 100)
 def silhouettes(points: DataFrame, labels: DataFrame) -> DataFrame:
     """(set, k, trial, id, label, silhouette) with Euclidean distances, for ``labels(set, k, trial, id, label)``.
 
-    A pair of blocks gives each point of the first its sum of distances to every cluster
-    within the second. The only member of a cluster, and all points of a single one, have 0.
+    A pair of blocks gives each point of both its sums of distances to every cluster within
+    the other; each pair is met once. The only member of a cluster, and all points of a
+    single one, have 0.
     """
-    held = blocks(points)
-    at = held.select("set", "block", F.posexplode("ids").alias("place", "id"))
-    lists = labels.join(at, ["set", "id"]).groupBy(*RUN, "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "label"))), lambda s: s["label"]).alias("labels"))
-    lists = lists.groupBy("set", "block").agg(F.collect_list(F.struct("k", "trial", "labels")).alias("runs"))
-    a = held.select("set", F.col("ids").alias("own"), F.col("vectors").alias("mine"))
-    pairs = a.join(held.join(lists, ["set", "block"]), "set")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples():
-                x, y = (np.array(list(v), float).reshape(len(v), -1) for v in (r.mine, r.vectors))
-                d = np.sqrt(_squares(x, y))
-                d[np.equal.outer(np.asarray(r.own), np.asarray(r.ids))] = 0
-                for s in r.runs:
-                    ids, to = np.unique(np.asarray(s["labels"]), return_inverse=True)
-                    total = d @ np.eye(len(ids))[to]
-                    yield pd.DataFrame({"set": r.set, "k": s["k"], "trial": s["trial"], "id": np.repeat(np.asarray(r.own), len(ids)), "cluster": np.tile(ids, len(x)), "total": total.ravel()})
-
-    sums = pairs.mapInPandas(run, f"{RUNS}, id long, cluster int, total double").groupBy(*RUN, "id", "cluster").agg(F.sum("total").alias("total"))
+    runs = labels.groupBy("set", "id").agg(F.collect_list(F.struct("k", "trial", "label")).alias("runs"))
+    held = points.select("set", F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    held = durable(held.join(runs, ["set", "id"]))
+    count = held.groupBy("set").agg(F.count("*").alias("n"))
+    many = durable(count.select("set", F.greatest(F.ceil(F.col("n") / MOST), F.least(F.lit(WIDE), F.ceil(F.col("n") / LEAST))).cast("int").alias("many")))
+    pairs = many.agg(F.sum(F.col("many") * (F.col("many") + 1) / 2)).first()[0] or 1
+    dealt = held.join(F.broadcast(many), "set").withColumn("block", F.pmod(F.xxhash64("id"), F.col("many")).cast("int"))
+    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    sent = sent.select("set", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "id", "vector", "runs")
+    met = sent.repartition(int(min(4 * pairs, TASKS)), "set", "a", "b").groupBy("set", "a", "b")
+    sums = met.applyInArrow(_sums, f"{RUNS}, id long, cluster int, total double").groupBy(*RUN, "id", "cluster").agg(F.sum("total").alias("total"))
     size = labels.groupBy(*RUN, F.col("label").alias("cluster")).agg(F.count("*").alias("n"))
     each = sums.join(size, [*RUN, "cluster"]).join(labels, [*RUN, "id"])
     own = F.col("cluster") == F.col("label")
@@ -155,3 +154,55 @@ def silhouettes(points: DataFrame, labels: DataFrame) -> DataFrame:
     )
     s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).when(F.greatest("a", "b") == 0, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return ab.select(*RUN, "id", "label", s.alias("silhouette"))
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of rows; those of near rows by their differences, since the product loses them."""
+    norm = (x**2).sum(1)
+    d = (-2 * x) @ y.T
+    d += norm[:, None]
+    d += (y**2).sum(1)
+    rows = np.flatnonzero(d.min(1) <= NEAR * norm)
+    i, j = np.nonzero(d[rows] <= NEAR * norm[rows, None])
+    for at in range(0, len(i), TILE * 16):
+        u, v = rows[i[at : at + TILE * 16]], j[at : at + TILE * 16]
+        d[u, v] = ((x[u] - y[v]) ** 2).sum(1)
+    return np.sqrt(d, out=d)
+
+
+def _sums(table: pa.Table) -> pa.Table:
+    """Sums of distances of the points of a pair of blocks (or of one with itself) to the clusters of the other, tile by tile."""
+    table = table.combine_chunks().sort_by("block")
+    ids, block = (table.column(c).to_numpy() for c in ("id", "block"))
+    x = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    lists = table.column("runs").combine_chunks()
+    at = np.repeat(np.arange(len(ids)), np.asarray(pc.list_value_length(lists)))
+    flat = lists.flatten()
+    codes, of = np.unique(np.stack([flat.field(c).to_numpy() for c in ("k", "trial", "label")], 1), axis=0, return_inverse=True)
+    member = np.zeros((len(ids), len(codes)))
+    member[at, of.ravel()] = 1
+    total = np.zeros_like(member)
+    same = block[0] == block[-1]
+    first = len(ids) if same else int(np.searchsorted(block, block[-1]))
+    for top in range(0, first, TILE):
+        a = slice(top, min(top + TILE, first))
+        for left in range(top if same else first, len(ids), TILE):
+            b = slice(left, left + TILE)
+            d = _distances(x[a], x[b])
+            total[a] += d @ member[b]
+            if a.start != b.start:
+                total[b] += d.T @ member[a]
+    return _rows(table, ids, codes, member, total, same, first)
+
+
+def _rows(table: pa.Table, ids: np.ndarray, codes: np.ndarray, member: np.ndarray, total: np.ndarray, same: bool, first: int) -> pa.Table:
+    """A row for each point and each cluster that the other block has a member of."""
+    seen = member.any(0) if same else None
+    i, j = [], []
+    for own, other in [(slice(0, len(ids)), seen)] if same else [(slice(0, first), member[first:].any(0)), (slice(first, len(ids)), member[:first].any(0))]:
+        at, to = np.meshgrid(np.arange(len(ids))[own], np.flatnonzero(other), indexing="ij")
+        i.append(at.ravel())
+        j.append(to.ravel())
+    i, j = np.concatenate(i), np.concatenate(j)
+    k, trial, label = (pa.array(codes[j, c].astype(np.int32)) for c in range(3))
+    return pa.table({"set": pa.repeat(table.column("set")[0], len(i)), "k": k, "trial": trial, "id": pa.array(ids[i]), "cluster": label, "total": pa.array(total[i, j])})

@@ -95,3 +95,22 @@ def test_events_of_two_kinds_are_significant(spark):
     assert out.where("significant").count() == 16
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, assemblies.cluster_events(cells.repartition(5), [2], n_surrogates=4, trials=5, score="median").collect()))
     assert out.agg(F.max("score")).first()[0] > 0.5
+
+
+def test_silhouettes_by_tiles_of_near_points(spark, monkeypatch):
+    """Points that lie much nearer to each other than to the origin, over several blocks and tiles."""
+    for name, n in (("LEAST", 7), ("WIDE", 4), ("TILE", 3)):
+        monkeypatch.setattr(clustering, name, n)
+    rng = np.random.default_rng(5)
+    x = 1000 + rng.integers(0, 64, (41, 6)) / 2.0**20
+    x[7] = x[30]
+    labels = rng.integers(0, 3, 41)
+    rows = [("s", 1, 0, i, int(c)) for i, c in enumerate(labels)]
+    held = spark.createDataFrame([("s", i, v.tolist()) for i, v in enumerate(x)], "set string, id long, vector array<double>")
+    got = {r.id: r.silhouette for r in clustering.silhouettes(held, spark.createDataFrame(rows, "set string, k int, trial int, id long, label int")).collect()}
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    for i, c in enumerate(labels):
+        mean = [d[i, labels == o].sum() / ((labels == o).sum() - (o == c)) for o in range(3)]
+        a, b = mean[c], min(m for o, m in enumerate(mean) if o != c)
+        assert abs(got[i] - (b - a) / max(a, b)) < 1e-9
+    assert len(got) == 41
