@@ -62,10 +62,16 @@ def similarity_rows(sce_cells: DataFrame, n_surrogates: int, seed: int = 0) -> D
 #: Aggregates by which a trial's cluster silhouettes may be scored, beside any function of a column.
 SCORES: dict[str, Callable[[Column], Column]] = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max}
 
+#: Scores of trials that differ by no more are equal.
+EQUAL = 1e-12
+
 
 def best_trials(silhouettes: DataFrame, by: list[str], score: str | Callable[[Column], Column] = "mean") -> DataFrame:
     """(*by, trial, score): the trial of best score of each group; of equals the first.
 
+    Scores within ``EQUAL`` of the best are equal to it: two labellings that are the same
+    differ by the order in which Spark adds up what they are scored by.
+
     ``silhouettes(*by, trial, cluster, silhouette)`` has a row for each cluster of a trial;
     ``score`` is the name of an aggregate in ``SCORES``, or what makes one of a column, such
     as a grouped-aggregate ``pandas_udf``. Missing silhouettes don't count, a trial without
@@ -74,8 +80,9 @@ def best_trials(silhouettes: DataFrame, by: list[str], score: str | Callable[[Co
     f = SCORES[score] if isinstance(score, str) else score
     known = silhouettes.where(F.col("silhouette").isNotNull() & ~F.isnan("silhouette"))
     scored = known.groupBy(*by, "trial").agg(f(F.col("silhouette")).cast("double").alias("score")).where("score is not null")
-    top = scored.groupBy(*by).agg(F.max(F.struct("score", (-F.col("trial")).alias("t"))).alias("m"))
-    return top.select(*by, (-F.col("m.t")).alias("trial"), F.col("m.score").alias("score"))
+    held = scored.groupBy(*by).agg(F.max("score").alias("best"), F.collect_list(F.struct("trial", "score")).alias("trials"))  # as many as trials
+    first = F.array_min(F.filter("trials", lambda t: (t["score"] == F.col("best")) | (t["score"] >= F.col("best") - EQUAL)))
+    return held.withColumn("m", first).select(*by, F.col("m.trial").alias("trial"), F.col("m.score").alias("score"))
 
 
 def cluster_events(sce_cells: DataFrame, ks: list[int], n_surrogates: int = 100, trials: int = 100, percentile: float = 95, seed: int = 0, score: str | Callable[[Column], Column] = "mean") -> DataFrame:

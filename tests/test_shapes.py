@@ -310,3 +310,12 @@ def test_durable_rows_are_read_back(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "pulsegrid-rows" in str(out.inputFiles()) and "LogicalRDD" not in plan
     assert durable(d.where("false")).count() == 0
+
+
+def test_best_trials_of_equal_scores_but_for_rounding(spark):
+    """Of the same silhouettes in another order the first trial is best, though its sum is the smaller by a last place."""
+    silhouettes = [("a", 0, 0, 0.3), ("a", 1, 0, 0.1 + 0.2), ("a", 2, 0, 0.3 - 1e-9), ("b", 0, 0, 0.2), ("b", 1, 0, 0.2 + 1e-9)]
+    s = spark.createDataFrame(silhouettes, "k string, trial int, cluster int, silhouette double")
+    assert 0.1 + 0.2 > 0.3
+    for score in ("mean", "median"):
+        assert {r.k: r.trial for r in assemblies.best_trials(s, ["k"], score).collect()} == {"a": 0, "b": 1}
