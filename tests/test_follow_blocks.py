@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,19 @@ def test_no_reverse_by_parts_without_lags(raster, few):
         want |= {(k, a, d): (w - edges.get((d, a), (0.0,))[0],) for (a, d), (w, _) in edges.items() if w > edges.get((d, a), (0.0,))[0]}
     got = transitions.transitions(s, r, 1, 3, no_reverse=True, lags=False)
     assert got.columns == ["recording_id", "src", "dst", "weight"] and found(got, "weight") == want
+
+
+def test_blocks_are_packed_before_they_are_sent(spark, raster):
+    rng = random.Random(6)
+    for kind, frames in ((pa.int32(), range(-3, 700)), (pa.int64(), [-(2**63), 2**63 - 1, 2**40, -5, 0])):
+        cells = [{"cell": c, "frames": sorted(rng.choices(frames, k=rng.randrange(1, 90))), "rate": None if c == 4 else c / 7} for c in rng.sample(range(300), 200)]
+        searched = [dict(c, searched=[x % 2 == 0 for x in c["frames"]]) for c in cells]
+        for rows in (cells, searched):
+            fields = [("cell", pa.int32()), ("frames", pa.list_(kind)), ("rate", pa.float64()), ("searched", pa.list_(pa.bool_()))][: 3 + (rows is searched)]
+            block = follow_blocks.pack(pa.array([{"cell": -1, "frames": [9]}, *rows], pa.struct(fields)).slice(1))
+            assert follow_blocks.unpack(pa.py_buffer(block)).to_pylist() == [{k: r[k] for k in ("cell", "rate", *["searched"] * (rows is searched), "frames")} for r in sorted(rows, key=lambda r: r["cell"])]
+        if kind == pa.int32():
+            assert len(follow_blocks.pack(pa.array(cells, pa.struct(fields[:3])))) < 2 * sum(len(c["frames"]) for c in cells)
+    _, s, r = raster
+    plan = transitions.top_transitions(s, r, 1, 3, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan.split("RepartitionByExpression", 1)[1]
