@@ -138,3 +138,27 @@ def test_blocks_are_packed_before_they_are_sent(spark, raster):
     _, s, r = raster
     plan = transitions.top_transitions(s, r, 1, 3, 2)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan.split("RepartitionByExpression", 1)[1]
+
+
+def test_surrogate_counts_are_kept_in_place_and_not_sorted(monkeypatch):
+    rng = np.random.default_rng(8)
+    cells = [{"cell": c, "frames": [int(f) for f in rng.integers(-3, N + 3, 30)]} for c in range(7)]
+    side = follow_blocks.Side(pa.array(cells, pa.struct([("cell", pa.int32()), ("frames", pa.list_(pa.int32()))])), N)
+    t, x = side.sources()
+    for low, high in ((1, 3), (-2, 2), (N, N + 2), (-N - 5, -N)):
+        hit, lag = follow_blocks.follows(side.raster(), t, low, high)
+        for i, c in enumerate(cells):
+            first = [min((f for f in c["frames"] if max(0, u + low) <= f < min(u + high, N)), default=None) for u in t]
+            assert hit[i].tolist() == [f is not None for f in first] and all(f is None or lag[i, j] == f - t[j] for j, f in enumerate(first))
+    offsets = rng.integers(0, N, 7)
+    moved = (side.frames + offsets[side.at]) % N
+    want, n = np.unique(moved), np.zeros((7, N))
+    np.add.at(n, (side.at, moved), 1)
+    monkeypatch.delattr(np, "unique")
+    t, x = side.sources(offsets)
+    assert (t == want).all() and (x == n[:, want]).all()
+    for most in (1, 2, 4):
+        drawn, held = rng.integers(0, 9, (12, 3, 5)), np.zeros((most, 3, 5), np.float32)
+        for d in drawn:
+            transitions.keep_largest(held, d.astype(np.float32))
+        assert (held == -np.sort(-drawn, axis=0)[:most]).all()
