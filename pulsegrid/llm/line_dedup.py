@@ -41,8 +41,11 @@ WORDS = 16
 
 def shingles(line: Column | str, k: int = K) -> Column:
     """64-bit hashes of all distinct shingles of a line, of the line itself if it is shorter."""
-    s = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
-    return F.when(F.length(line) < k, F.array(F.xxhash64(line))).otherwise(F.array_distinct(F.transform(s, lambda x: F.xxhash64(x))))
+    # of four bytes a character, so that each shingle is found by its place; the array holds the line for the inner function
+    wide = F.array(F.encode(line, "UTF-32"))
+    at = lambda w: F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - (4 * k - 1)), F.lit(4))
+    found = F.get(F.transform(wide, lambda w: F.transform(at(w), lambda i: F.xxhash64(F.substr(w, i, F.lit(4 * k))))), F.lit(0))
+    return F.when(F.length(line) >= 0, F.array_distinct(found))
 
 
 def _sketch(line: Column, pattern: str) -> Column:

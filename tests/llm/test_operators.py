@@ -225,6 +225,20 @@ def test_line_dedup(spark, docs):
     assert not got - want and len(want - got) <= 0.02 * len(want)
 
 
+def test_line_shingles_are_found_by_place(spark):
+    lines = ["", "short", "exactly8", "a \U0001f600 b\u00e9\u4e2d c a \U0001f600 b\u00e9\u4e2d c", "aaaaaaaaaaaaaaaa", "x" * 7 + "\n" + "y" * 9, None]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select("line", line_dedup.shingles("line").alias("s"))
+    assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
+    hashes = {}
+    for r in df.collect():
+        want = None if r.line is None else {r.line[i : i + 8] for i in range(max(1, len(r.line) - 7))}
+        assert (r.s is None) == (want is None) and len(r.s or []) == len(set(r.s or [])) == len(want or [])
+        for h in r.s or []:
+            hashes.setdefault(h, []).append(want)
+    other = spark.createDataFrame([("__exactly8__", "exactly8")], "a string, b string").select(line_dedup.shingles("a").alias("a"), line_dedup.shingles("b").alias("b")).first()
+    assert len(hashes) == len(set().union(*(w for ws in hashes.values() for w in ws))) and set(other.b) < set(other.a)
+
+
 def test_line_dedup_recall_of_edited_lines(spark):
     r = random.Random(0)
     rows, same = [], 0
