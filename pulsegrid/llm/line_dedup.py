@@ -52,16 +52,23 @@ def _sketch(line: Column, pattern: str) -> Column:
     return F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), lambda x: F.xxhash64(x))))
 
 
+def _sketch_ascii(line: Column, k: int) -> Column:
+    """The ``_sketch`` of every place of an ASCII line of at least ``k`` characters, without a regular expression."""
+    places = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - (k - 1)), lambda i: F.xxhash64(F.substr(w, i, F.lit(k))))
+    return F.sort_array(F.array_distinct(F.get(F.transform(F.array(line.cast("binary")), places), F.lit(0))))
+
+
 def _bands(sketch: str, salt: int, rows: int, bands: int) -> Column:
-    """Hashes of ``rows`` neighbours from each of the first places, null past the end; null without a sketch."""
-    one = lambda i: F.xxhash64(F.lit(salt), *[F.get(sketch, F.lit(i + j)) for j in range(rows)])
-    places = F.array(one(0), *[F.when(F.size(sketch) >= i + rows, one(i)) for i in range(1, bands)])
-    return F.when(F.col(sketch).isNotNull(), places)
+    """Hashes of ``rows`` neighbours from each of the first places that have as many, the first place always; null without a sketch."""
+    # one expression for all places: written out, they make a method too long for the JVM to compile
+    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.least(F.lit(bands - 1), F.size(sketch) - rows)))
+    return F.when(F.col(sketch).isNotNull(), F.transform(places, lambda i: F.xxhash64(F.lit(salt), *[F.get(sketch, i + j) for j in range(rows)])))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
     """(doc_id, th, ln, line): the non-blank lines, trimmed; th is the text's hash."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    # the outer form adds no filter that would split each text twice; the row of a null text goes with the blank lines
+    lines = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode_outer(F.split("text", "\n")).alias("ln", "line"))
     return lines.select("doc_id", "th", "ln", F.trim("line").alias("line")).where("line <> ''")
 
 
@@ -84,7 +91,10 @@ def _open(met: DataFrame, groups: DataFrame) -> DataFrame:
 def _profiles(texts: DataFrame, k: int) -> DataFrame:
     """(lh, p): of each line the number of shingles and, for the hash values of ``64 * WORDS`` bits, the parity of their numbers."""
     word = lambda j: F.expr(f"bit_xor(if((s & {WORDS - 1}) = {j}, shiftleft(1L, cast((s >> 8) & 63 as int)), 0L))").alias(f"b{j}")
-    each = texts.select("lh", F.explode(shingles(F.col("line"), k)).alias("s")).groupBy("lh").agg(F.count("*").alias("size"), *[word(j) for j in range(WORDS)])
+    # a column of its own, so that making rows of a set and counting them is compiled as one; no line has an empty set,
+    # and the outer form adds no filter that would make each set twice
+    sets = texts.select("lh", shingles(F.col("line"), k).alias("set"))
+    each = sets.select("lh", F.explode_outer("set").alias("s")).groupBy("lh").agg(F.count("*").alias("size"), *[word(j) for j in range(WORDS)])
     return stage(each.select("lh", F.struct("size", *[f"b{j}" for j in range(WORDS)]).alias("p")), "profiles")
 
 
@@ -142,9 +152,10 @@ def removed_lines(docs: DataFrame, k: int = K, rows: int = ROWS, bands: int = BA
     # columns of their own, so that each sketch is made once and not for each band; a line of under k characters has none
     sketched = lines.select("doc_id", "th", "ln", "line", *names, F.when(n >= DENSE, _sketch(F.concat(F.lit(" "), line), some)).alias("long"))
     few = F.coalesce(F.size("long"), F.lit(0))
+    all_places = (n >= k) & ((n < OVERLAP) | (few < 2 * ENOUGH))
     sketched = sketched.select(
         "doc_id", "th", "ln", "lh", "ck", F.when(few >= ENOUGH, F.col("long")).alias("long"),
-        F.when((n >= k) & ((n < OVERLAP) | (few < 2 * ENOUGH)), _sketch(line, every)).alias("short"),
+        F.when(~all_places, None).when(F.octet_length("line") == n, _sketch_ascii(line, k)).otherwise(_sketch(line, every)).alias("short"),
     )
     none = F.array().cast("array<bigint>")
     short, long = _bands("short", 1, rows, bands), _bands("long", 2, rows, bands)
@@ -154,8 +165,9 @@ def removed_lines(docs: DataFrame, k: int = K, rows: int = ROWS, bands: int = BA
     # bands of very many lines, known by the lines of one hash in 64, need no window to be known as shared
     some = banded.where(F.pmod(F.xxhash64("lh"), F.lit(64)) == 0).groupBy("band").agg(F.count("*").alias("m"), F.min("lh").alias("low"), F.max("lh").alias("high"))
     hot = stage(some.where((F.col("m") > HOT_BAND) & (F.col("low") != F.col("high"))).select("band"), "hot")
-    by_band = W.partitionBy("band").orderBy("lh").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    usual = banded.join(bounded(hot), "band", "left_anti").select("band", "lh", F.first("lh").over(by_band).alias("hub"), F.last("lh").over(by_band).alias("far"))
+    # in no order within a band: rows are sorted by one number
+    by_band = W.partitionBy("band")
+    usual = banded.join(bounded(hot), "band", "left_anti").select("band", "lh", F.min("lh").over(by_band).alias("hub"), F.max("lh").over(by_band).alias("far"))
     crowd = banded.join(bounded(hot), "band").select("band", "lh").distinct()
     crowd = crowd.join(crowd.groupBy("band").agg(F.min("lh").alias("hub")), "band").select("band", "lh", "hub")
     met = stage(usual.where("hub <> far").select("band", "lh", "hub").union(crowd).distinct(), "met")

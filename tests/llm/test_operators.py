@@ -239,6 +239,33 @@ def test_line_shingles_are_found_by_place(spark):
     assert len(hashes) == len(set().union(*(w for ws in hashes.values() for w in ws))) and set(other.b) < set(other.a)
 
 
+def test_line_dedup_generates_methods_that_are_compiled(spark, docs, monkeypatch):
+    """The JVM runs methods of over 8,000 bytes uncompiled, and a filter with a set in it makes the set again."""
+    seen, stage = [], line_dedup.stage
+
+    def staged(df, tag):
+        seen.append((tag, spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen"), df._jdf.queryExecution().optimizedPlan().toString()))
+        return stage(df, tag)
+
+    monkeypatch.setattr(line_dedup, "stage", staged)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        line_dedup.removed_lines(docs)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [(tag, int(n)) for tag, code, _ in seen for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert {"lines", "met", "profiles", "pairs", "first"} <= {tag for tag, _ in sizes} and max(n for _, n in sizes) < 8000
+    assert all(plan.count("split(") == 1 for tag, _, plan in seen if tag == "lines") and all("Filter" not in plan for tag, _, plan in seen if tag == "profiles")
+
+
+def test_line_sketches_and_bands_by_place(spark):
+    lines = ["exactly8", "a line of some words, a line of some words", "aaaaaaaaaaaaaaaa", "tab\tand space  end"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    r = df.select("line", line_dedup._sketch_ascii(F.col("line"), 8).alias("a"), line_dedup._sketch(F.col("line"), "(?s)(?=(.{8}))").alias("b"))
+    for x in r.withColumn("bands", line_dedup._bands("a", 1, 3, 4)).collect():
+        assert x.a == x.b and len(x.a) == len({x.line[i : i + 8] for i in range(len(x.line) - 7)}) and len(x.bands) == max(1, min(4, len(x.a) - 2))
+
+
 def test_line_dedup_recall_of_edited_lines(spark):
     r = random.Random(0)
     rows, same = [], 0
