@@ -42,6 +42,8 @@ CHUNK_SHINGLES = 2_000_000
 MAP_BYTES = 16 << 20
 #: A key is hot if so many sets of one hash in 64 have it.
 HOT_KEY = 1_000
+#: How often sets that meet too few others' keys go, and the keys that only they had.
+ROUNDS = 2
 #: Members of a large block that every chunk of it meets first.
 HUBS = 64
 #: Sets with keys that a task remembers, so that copies within it repeat no keys.
@@ -80,12 +82,14 @@ class Levels:
     def differences(self, size: int) -> int:
         return (self.den - self.num) * size // self.num
 
-    def keys(self, s: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, int]]:
-        """(level, keys, weak keys, need) on each level of a set.
+    def keys(self, s: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, int, int]]:
+        """(level, keys, weak keys, need, shared) on each level of a set.
 
         A set with q parts of ``least`` shingles or more, and at most d differences from a
         linked partner, shares ``need`` = q - d of those with it. Other filled parts are weak
-        keys: they count only where some member of their group has no such bound.
+        keys: they count only where some member of their group has no such bound. ``shared``
+        is how many of its keys a linked partner has in any case: without such a bound all
+        parts of the set count, and all but d of those that are filled are equal.
         """
         n = len(s)
         own = int(np.searchsorted(self.low, n, "right")) - 1
@@ -96,10 +100,10 @@ class Levels:
             top = self.low[level + 1] - 1
             d = self.differences(top)
             if d == 0:  # linked only if equal
-                out.append((level, np.zeros(0, np.uint64), np.zeros(0, np.uint64), 1))
+                out.append((level, np.zeros(0, np.uint64), np.zeros(0, np.uint64), 1, 1))
                 continue
             parts, least, salts = (2 * d + 6, 1, 2) if top <= 25 else (2 * d, 2, 2) if top <= 60 else (d + d // 4 + 10, 2, 1) if top <= 600 else (d + d // 4 + 20, 3, 1)
-            full, weak, need = [], [], 0
+            full, weak, need, filled = [], [], 0, 0
             for salt in range(salts):
                 t = mix(s ^ _C) if salt else s
                 part = ((t >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -112,8 +116,11 @@ class Levels:
                 full.append(key[enough])
                 weak.append(key[~enough])
                 need += max(0, int(enough.sum()) - self.differences(min(n, top)))
+                filled += max(0, len(key) - self.differences(min(n, top)))
             # of a pair of this level the smaller has its size, and its bound is enough for both
-            out.append((level, np.concatenate(full), np.concatenate(weak), need if n <= top else max(need, 1)))
+            if n > top:
+                need = max(need, 1)
+            out.append((level, np.concatenate(full), np.concatenate(weak), need, need or max(filled, 1)))
         return out
 
 
@@ -136,7 +143,7 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, h1, h2, level, own, need, keys, weak, map, least): a row for each row of ``docs`` (``own``) and each further level.
+    """(doc_id, n, h1, h2, level, own, need, shared, keys, weak, map, least): a row for each row of ``docs`` (``own``) and each further level.
 
     A set repeated within a task has keys once.
     """
@@ -152,9 +159,9 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 for at, s in enumerate(sets_of(buf[off[i] : off[j]], off[i : j + 1] - off[i], k), i):
                     a, c = identity(s)
                     new = a not in seen and len(s)
-                    for level, full, rest, need in levels.keys(s) if new else [(0, none, none, 1)]:
-                        own = not rows or rows[-1][7] != at
-                        rows.append((ids[at], len(s), a, c, level, own, need, at, int(s[:1].view(np.int64).sum())))
+                    for level, full, rest, need, shared in levels.keys(s) if new else [(0, none, none, 1, 1)]:
+                        own = not rows or rows[-1][8] != at
+                        rows.append((ids[at], len(s), a, c, level, own, need, shared, at, int(s[:1].view(np.int64).sum())))
                         keys.append(full)
                         weak.append(rest)
                         maps.append(bitmap(s, level_bits(levels.low[level])).tobytes() if len(full) + len(rest) else None)
@@ -162,11 +169,11 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                         seen.add(a)
                 col = lambda i, t: pa.array([r[i] for r in rows], t)  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
-                    [*(col(i, pa.int64()) for i in range(4)), col(4, pa.int32()), col(5, pa.bool_()), col(6, pa.int32()), _lists(keys), _lists(weak), pa.array(maps, pa.binary()), col(8, pa.int64())],
-                    names=["doc_id", "n", "h1", "h2", "level", "own", "need", "keys", "weak", "map", "least"],
+                    [*(col(i, pa.int64()) for i in range(4)), col(4, pa.int32()), col(5, pa.bool_()), col(6, pa.int32()), col(7, pa.int32()), _lists(keys), _lists(weak), pa.array(maps, pa.binary()), col(9, pa.int64())],
+                    names=["doc_id", "n", "h1", "h2", "level", "own", "need", "shared", "keys", "weak", "map", "least"],
                 )
 
-    schema = "doc_id long, n long, h1 long, h2 long, level int, own boolean, need int, keys array<long>, weak array<long>, map binary, least long"
+    schema = "doc_id long, n long, h1 long, h2 long, level int, own boolean, need int, shared int, keys array<long>, weak array<long>, map binary, least long"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -332,17 +339,20 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, chunk: i
     usual = keyed.join(bounded(hot), "key", "left_anti").select("node", "key", F.lag("node").over(by_key).alias("before"), F.lead("node").over(by_key).alias("after"))
     usual = usual.where("before <> node or after <> node").select("node", "key")
     met = stage(usual.union(keyed.join(bounded(hot), "key").select("node", "key")), "met")  # copies of a row only loosen the bound below
-    # a set that meets fewer parts than any partner would share has no partner here
-    needs = sig.select(node.alias("node"), "need").where("need > 0").distinct()
-    alive = met.groupBy("node").agg(F.count("*").alias("n")).join(needs, "node", "left").where("need is null or n >= need").select("node")
-    hubs = met.join(alive, "node").select("key", "node")
-    hubs = stage(hubs, "alive")
-    hub = hubs.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
-    pairs = hubs.join(hub, "key").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    # a set that meets fewer parts than any partner would share has no partner here; nor do larger sets among themselves
+    bounds = sig.where("size(keys) > 0 or size(weak) > 0").select(node.alias("node"), "shared", "own").distinct()
+    hubs, shared_keys = met.distinct(), None
+    for _ in range(ROUNDS):
+        if shared_keys is not None:
+            hubs = hubs.join(shared_keys, "key").select("key", "node")
+        alive = hubs.groupBy("node").agg(F.count("*").alias("n")).join(bounds, "node").where("n >= shared").select("node", "own")
+        hubs = stage(hubs.join(alive, "node").select("key", "node", "own"), "alive")
+        shared_keys = hubs.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.max("own").alias("any")).where("any and hub <> last").select("key", "hub")
+    pairs = hubs.join(shared_keys, "key").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
     blocks = stage(connected_components(pairs).withColumnRenamed("root", "block"), "blocks")
     maps = sig.where("map is not null").select("n", "h1", "h2", node.alias("node"), "map", "least").join(bounded(blocks), "node")
     maps = stage(maps.dropDuplicates(["node"]), "maps")
-    release(sig, needed, hot, met, hubs)
+    release(sig, needed, hot, met)
 
     def join_maps(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("node").reset_index(drop=True)
