@@ -36,6 +36,26 @@ def test_sums_are_the_products(monkeypatch, low, high):
             assert got.dtype == np.uint8 and (got == want).all()
 
 
+def test_a_pair_of_parts_is_counted_once_in_each_direction(monkeypatch):
+    """Weights less those the other way round: two counts of a pair of parts, where there were four, both directions from them."""
+    rng = random.Random(2)
+    a, b = side(rng, 30, 60, 9), side(rng, 41, 60, 9)
+    made, products = [], follow_blocks.products
+
+    def counted(*args, **o):
+        made.append(args[:2])
+        return products(*args, **o)
+
+    held = {}
+    monkeypatch.setattr(follow_blocks, "NARROW", 2)
+    monkeypatch.setattr(follow_blocks, "products", counted)
+    monkeypatch.setattr(follow_blocks, "pair_blocks", lambda s, r, key, each, schema, skip, rates: held.setdefault("each", each))
+    spikes = type("Spikes", (), {"schema": S_SCHEMA})
+    transitions.transitions(spikes, None, 1, 3, no_reverse=True, lags=False)
+    got = {(x["src"], x["dst"]) for x in pa.Table.from_batches(held["each"](a, b, {"recording_id": "r"})).to_pylist()}
+    assert got and len(made) == 2
+
+
 def test_no_reverse_weighed_by_rates(spark, monkeypatch):
     monkeypatch.setattr(follow_blocks, "MOST", 3)
     monkeypatch.setattr(follow_blocks, "LEAST", 3)
