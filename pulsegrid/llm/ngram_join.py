@@ -5,7 +5,8 @@ representatives are joined. Two sets x, y (x the smaller) with Jaccard >= t diff
 most d = floor((1 - t) / t * |x|) shingles, so when x fills more than d parts of the shingle
 space, some part is equal in both. Hashes of the parts, dealt per size level, bring all
 linked sets of a level into one candidate block (a document's number of keys follows its
-size, and in all but the smallest sets a key needs two or three shingles of the set).
+size, and in all but the smallest sets a key needs two or three shingles of the set). Linked
+sets share all filled parts but d; those that meet fewer go before blocks are made.
 
 Each block is joined by a signature tree: leaves are sets ordered by smallest shingles,
 inner nodes hold the OR of their children's token bitmaps, the range of sizes and the
